@@ -12,11 +12,19 @@ GAMMA = 2.0
 _U = np.uint64
 
 
+#: The finaliser of splitmix64 (fixed values).
+_S30, _S27, _S31, _M1, _M2 = _U(30), _U(27), _U(31), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64 (fixed values)."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    """A bijective mix of 64-bit words."""
+    out = x >> _S30
+    out ^= x
+    out *= _M1
+    out ^= out >> _S27
+    out *= _M2
+    out ^= out >> _S31
+    return out
 
 
 def _at(h1: np.ndarray, h2: np.ndarray, level: int, bits: int) -> np.ndarray:

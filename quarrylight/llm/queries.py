@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm.bpe import encode
-from quarrylight.llm.common import prepare
+from quarrylight.llm.common import prepare, scratch
+from quarrylight.llm.dart_minhash import near_duplicate_classes
 from quarrylight.llm.exact_dedup import exact_dedup
+from quarrylight.llm.fingerprints import edited_fingerprints
+from quarrylight.llm.html_extract import extract
 from quarrylight.llm.line_dedup import dedup_lines
 from quarrylight.llm.mixing import words_taken
+from quarrylight.llm.quality import fit_quality, held_out, score_quality
 from quarrylight.llm.url_filters import filter_urls
+from quarrylight.llm.warc import page_number, read_warc, write_warc
 
 #: The ranks that the BPE query and the pipeline encode with.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -54,6 +59,24 @@ from marked group by doc_id
 """
 
 
+def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicate_classes(table(spark, sf_dir, "documents", "doc_id", "text"), threshold=0.8, words=5)
+    return found.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(prepare(spark), "warc")
+    write_warc(table(spark, sf_dir, "pages", "page_id", "url", "html"), path, revisit_bytes=0)
+    pages = read_warc(spark, path)
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", page_number("refers_to").alias("refers_to"), "segments")
+
+
+def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = fit_quality(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return score_quality(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op5_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words_taken(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
@@ -93,6 +116,14 @@ from served
 """
 
 
+def op6_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+def op7_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = exact_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
     return docs.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -141,7 +172,12 @@ group by rid, page_id, host, path
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_dart_minhash": op2_dart_minhash,
+        "op3_warc_segments": op3_warc_segments,
+        "op4_attention_quality": op4_attention_quality,
         "op5_weighted_fair_mix": op5_weighted_fair_mix,
+        "op6_html_blocks": op6_html_blocks,
+        "op7_minhash_fingerprints": op7_minhash_fingerprints,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_url_filters": op10_url_filters,
