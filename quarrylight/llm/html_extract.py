@@ -4,8 +4,9 @@ The page is cut into blocks at block-level tags; inline tags, comments, scripts,
 First pass, context-free: blocks in menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by
 tag, role, class or id of an enclosing element) are boilerplate; of the rest, link density, length and stop-word density
 decide: bad, good, near-good or short. Second pass: headings, and blocks that are short or near-good, inherit the label
-of the nearest decided neighbours; where the two sides differ, near-good blocks and those inside an article or main
-element are content. Blocks of an article or main element are never bad for being short or for having few stop words.
+of the nearest decided neighbour, first of those in their own container (the innermost div, section or the like), then
+of all; if there are as near ones of both labels, near-good blocks are content and others not. Blocks of an article or
+main element are content unless the first pass found them bad, which there only boilerplate marks and links can do.
 
 Nothing is dropped or capped but boilerplate blocks. White space in a block becomes one space; character references are
 decoded. Null pages count as empty, malformed pages are read as far as they make sense. Scale: one pass, no shuffle.
@@ -36,6 +37,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BAD_TAGS = frozenset("nav header footer aside form menu dialog".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert alertdialog dialog form toolbar".split())
 GOOD_TAGS = frozenset("article main".split())
+CONTAINERS = frozenset("article aside body div fieldset footer form header html main nav section table td th".split())
 BAD_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer|foot|header|masthead|topbar|toolbar"
     r"|cookies?|consent|gdpr|notices?|alerts?|popup\w*|modal\w*|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social\w*|comments?|comment\w*|respond|replies|reply|disqus|discussion|reactions"
@@ -59,12 +61,12 @@ CLOSES = {"p": BLOCKS - {"body", "html"}, "li": frozenset(["li"]), "dt": frozens
 class Block:
     """A block's text, letters inside links, and where it stands."""
 
-    __slots__ = ("parts", "linked", "heading", "bad", "good", "text", "label")
+    __slots__ = ("parts", "linked", "heading", "bad", "good", "home", "text", "label")
 
-    def __init__(self, heading: bool, bad: bool, good: bool):
+    def __init__(self, heading: bool, bad: bool, good: bool, home: int):
         self.parts: list[str] = []
         self.linked = 0
-        self.heading, self.bad, self.good = heading, bad, good
+        self.heading, self.bad, self.good, self.home = heading, bad, good, home
         self.text = self.label = ""
 
 
@@ -86,10 +88,10 @@ def _marks(name: str, attributes: str) -> tuple[bool, bool]:
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, those without text left out."""
     found: list[Block] = []
-    # Of each open element: name, whether it is in boilerplate, in main text, in a heading.
-    opened: list[tuple[str, bool, bool, bool]] = []
-    links = 0
-    block = Block(False, False, False)
+    # Of each open element: name, whether it is in boilerplate, in main text, in a heading, and the number of its container.
+    opened: list[tuple[str, bool, bool, bool, int]] = []
+    links = serial = 0
+    block = Block(False, False, False, 0)
 
     def close() -> None:
         nonlocal block
@@ -97,8 +99,8 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             block.text = text
             found.append(block)
-        _, bad, good, heading = opened[-1] if opened else ("", False, False, False)
-        block = Block(heading, bad, good)
+        _, bad, good, heading, home = opened[-1] if opened else ("", False, False, False, 0)
+        block = Block(heading, bad, good, home)
 
     def put(text: str) -> None:
         if text:
@@ -145,11 +147,12 @@ def blocks_of(page: str) -> list[Block]:
                 while opened and name in CLOSES.get(opened[-1][0], ()):
                     opened.pop()
                 bad, good = _marks(name, tag[3])
-                _, was_bad, was_good, was_heading = opened[-1] if opened else ("", False, False, False)
+                _, was_bad, was_good, was_heading, home = opened[-1] if opened else ("", False, False, False, 0)
+                serial += name in CONTAINERS
                 # What stands in an article's own header, as a title does, is not the page's header.
                 if name == "header" and was_good and not was_bad:
                     bad = False
-                opened.append((name, bad or was_bad, good or was_good, name in HEADINGS or was_heading))
+                opened.append((name, bad or was_bad, good or was_good, name in HEADINGS or was_heading, serial if name in CONTAINERS else home))
                 close()
             links = 0
     opened.clear()
@@ -177,35 +180,42 @@ def _first(block: Block) -> str:
     return "near" if block.good or n >= LONG else "bad"
 
 
+def _nearest(blocks: list[Block], homes: bool) -> list[str]:
+    """The label of each block's nearest decided neighbour, in its own container or anywhere; "both" for a tie of the two."""
+    n = len(blocks)
+    labels, distance = [""] * n, [n + 1] * n
+    for order in (range(n), range(n - 1, -1, -1)):
+        last: dict[int, tuple[int, str]] = {}
+        for i in order:
+            home = blocks[i].home if homes else 0
+            if blocks[i].label in ("good", "bad"):
+                last[home] = (i, blocks[i].label)
+            elif home in last:
+                at, label = last[home]
+                if abs(i - at) < distance[i]:
+                    labels[i], distance[i] = label, abs(i - at)
+                elif abs(i - at) == distance[i] and label != labels[i]:
+                    labels[i] = "both"
+    return labels
+
+
 def classify(blocks: list[Block]) -> None:
     """Labels every block good or bad."""
     for block in blocks:
         block.label = _first(block)
-    n = len(blocks)
-    before, after, last = [""] * n, [""] * n, ""
-    for i in range(n):
-        before[i] = last
-        if blocks[i].label in ("good", "bad"):
-            last = blocks[i].label
-    last = ""
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        if blocks[i].label in ("good", "bad"):
-            last = blocks[i].label
-    for block, left, right in zip(blocks, before, after, strict=True):
+    found = []
+    for block, own, anywhere in zip(blocks, _nearest(blocks, True), _nearest(blocks, False), strict=True):
+        label = own or anywhere
         if block.label in ("good", "bad"):
-            continue
-        if block.good:
-            block.label = "good"
-        elif left == right:
-            # No decided neighbour: what is on the page is all there is.
-            block.label = left or "good"
-        elif block.label == "heading":
-            block.label = right or left
-        elif block.label == "near":
-            block.label = "good"
-        else:
-            block.label = "bad"
+            label = block.label
+        elif block.good or not label:
+            # Without a decided neighbour, what is on the page is all there is.
+            label = "good"
+        elif label == "both":
+            label = "good" if block.label == "near" else "bad"
+        found.append(label)
+    for block, label in zip(blocks, found, strict=True):
+        block.label = label
 
 
 def main_text(page: str | None) -> str:
