@@ -302,7 +302,10 @@ def build_gradle(source: str, dev: bool = False) -> list[Row]:
         for m in re.finditer(r"""\bid\s*\(?\s*["']([^"']+)["']\s*\)?(?:\s*version\s*\(?\s*["']([^"']+)["'])?""", body):
             if m[1] in GRADLE_PLUGINS:
                 rows.append((GRADLE_PLUGINS[m[1]], "maven", None if m[2] is None or "$" in m[2] else m[2], "runtime"))
-    return list({(r[0], r[1], r[3]): r for r in reversed(rows)}.values())[::-1]
+    first: dict[tuple, Row] = {}
+    for row in rows:
+        first.setdefault((row[0], row[1], row[3]), row)
+    return list(first.values())
 
 
 def settings_gradle(source: str) -> list[str]:
