@@ -88,10 +88,17 @@ class Engine:
         with_text = window.join(chunks.select(*CHUNK_KEY, "text", "commit_sha", "github_path"), CHUNK_KEY)
         score = self.score(F.col("query"), F.col("text")) if self.score else None
         ordered = ranking.reranked(with_text, queries, score)
+        degraded = False
+        if score is not None:
+            # The window is small; a scorer that fails shows here, and the fused order stays.
+            try:
+                ordered.agg(F.max("rerank_score")).collect()
+            except Exception:
+                ordered, degraded = ranking.reranked(with_text, queries, F.lit(None).cast("double")), True
         if ranking.citation_state(ordered).where("status = 'retry'").count():
             return Answer("retry")
         rows = cited(ranking.page(ordered, k, offset), now_ms, self.base)
-        return Answer("ready", rows)
+        return Answer("ready", rows, {"degraded": degraded})
 
     def find_neighbours(self, kind: str, query: str | None = None, **args) -> Answer:
         """One-hop neighbours; with a query, by likeness to it."""

@@ -1,15 +1,18 @@
 import datetime
 import json
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from quarrylight.config import Config
 from quarrylight.operators import metrics as me
+from quarrylight.plans import output
 from quarrylight.plans.engine import Engine
 from quarrylight.plans.store import Store, migrated, upserted
 from quarrylight.streaming import feeds
+from quarrylight.streaming.heartbeat import Heartbeat
 from tests.engine.test_documents_and_graph import SHA, TREE, nodes_of
 
 
@@ -36,6 +39,44 @@ def test_index_and_ask(spark, engine):
     assert [r["dst_id"] for r in near.rows.collect()] == ["o/r#setup"]
 
 
+def test_a_failing_scorer_degrades(spark, engine):
+    engine.index("o/r", nodes_of(spark, TREE), 1000, SHA)
+    queries = spark.createDataFrame([(0, "deep")], "query_id int, query string")
+    engine.score = lambda query, text: F.raise_error(F.lit("no model")).cast("double")
+    answer = engine.find_chunks(queries, 2000)
+    rows = answer.rows.collect()
+    assert answer.envelope["degraded"] and rows and all(r["rerank_score"] is None for r in rows)
+    engine.score = lambda query, text: F.length(text).cast("double")
+    answer = engine.find_chunks(queries, 2000)
+    scores = [r["rerank_score"] for r in answer.rows.orderBy("pos").collect()]
+    assert not answer.envelope["degraded"] and scores == sorted(scores, reverse=True)
+
+
+def test_output_and_heartbeat(spark, tmp_path):
+    import logging
+
+    rows = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
+    assert [r["value"] for r in output.as_json(rows).collect()] == ['{"a":1}', '{"a":2,"b":"x"}']
+    output.write_json(rows, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    log = output.json_log(str(tmp_path / "log"), 400, 2)
+    for i in range(20):
+        log.info("built", extra={"fields": {"repo": "o/r", "n": i}})
+    logging.shutdown()
+    assert len(list(tmp_path.glob("log*"))) == 3 and json.loads((tmp_path / "log").read_text().splitlines()[-1])["n"] == 19
+    beat = Heartbeat()
+    spark.streams.addListener(beat)
+    rows.write.parquet(str(tmp_path / "in"))
+    q = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    for _ in range(50):
+        if beat.beats and beat.ended:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(beat)
+    assert sum(b[2] for b in beat.beats) == 2 and beat.ended[0][1] is None
+
+
 def test_pages(spark, engine):
     nodes = nodes_of(spark, TREE)
     assert engine.get_page(nodes, "x/y", SHA).status == "no_docs"
