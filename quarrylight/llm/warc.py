@@ -5,15 +5,15 @@ into segments: the first keeps the record's type, the others are continuation re
 WARC-Segment-Origin-ID, the last with WARC-Segment-Total-Length. Of records with equal payloads of at least
 ``revisit_bytes``, that with the smallest id is the response; the others are revisits without a payload, which name it.
 Records are written by Spark's text writer with the record's end as line separator, so files are committed like any
-output of Spark and may be in any store that Spark can reach. ``file_bytes`` sets how many files there are.
+output of Spark and may be in any store that Spark can reach. A task's share of the shuffle makes a file of each kind.
 
 Reading: every file is parsed record by record by Content-Length. Segments are grouped by the identifier of their origin,
 ordered by segment number, and must have the numbers from 1 on and the total length that the last one gives. Then the
 chunk framing is decoded.
 
 Scale: a file is read whole and is bounded: no more than ``file_records`` segments of ``segment_bytes``. Payloads are
-shuffled once, by a hash of record and segment, so that long records are spread. Equal payloads are found by their
-digests alone, combined on the map side. A group that is reassembled is one record.
+shuffled once, by digest, to meet the digests that several pages share; those are found by digest alone, combined on the
+map side, and a large group of equal payloads is left to adaptive skew handling. A group that is reassembled is one record.
 
 A null payload counts as empty, a null URL as an empty one. A null id comes last and has no number in its record's name.
 Rows that share an id are told apart by URL and payload; rows that repeat all three are one record each, which all read
@@ -107,63 +107,62 @@ def open_block(block: bytes) -> bytes:
     return unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
+def _line(text: str) -> str:
+    """The text without line breaks, which would end a header."""
+    return text.replace("\r", " ").replace("\n", " ")
+
+
 def _name(page_id: int | None, digest: str, uri: str) -> str:
     known = hashlib.sha1(f"{page_id}\n{digest}\n{uri}".encode()).hexdigest()
     return f"<urn:page:{'' if page_id is None else page_id}:{known[:16]}>"
 
 
-def records_of(page_id: int | None, uri: str, payload: bytes, refers_to: int | None, revisit: bool, segment_bytes: int) -> list[tuple[str, int, bytes]]:
-    """The records of one page: name, segment number (0 if whole), bytes."""
+def records_of(page_id: int | None, uri: str, payload: bytes, refers_to: str | None, segment_bytes: int) -> list[tuple[int, bytes]]:
+    """The records of one page: segment number (0 if whole), bytes."""
     digest = base32_sha1(payload)
     name = _name(page_id, digest, uri)
     page = "" if page_id is None else str(page_id)
-    common = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", name), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", page), ("Content-Type", "application/http;msgtype=response")]
-    if revisit:
-        known = "" if refers_to is None else str(refers_to)
-        return [(name, 0, record([*common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{known}>")], http_block(payload, False)))]
+    common = [("WARC-Type", "revisit" if refers_to else "response"), ("WARC-Record-ID", name), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", page), ("Content-Type", "application/http;msgtype=response")]
+    if refers_to:
+        return [(0, record([*common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", refers_to)], http_block(payload, False)))]
     block = http_block(payload, True)
     if len(block) <= segment_bytes:
-        return [(name, 0, record(common, block))]
+        return [(0, record(common, block))]
     parts = [block[at : at + segment_bytes] for at in range(0, len(block), segment_bytes)]
-    out = [(name, 1, record([*common, ("WARC-Segment-Number", "1")], parts[0]))]
+    out = [(1, record([*common, ("WARC-Segment-Number", "1")], parts[0]))]
     for i, part in enumerate(parts[1:], 2):
         last = [("WARC-Segment-Total-Length", str(len(block)))] if i == len(parts) else []
         own = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"{name[:-1]}:{i}>"), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", str(i)), *last]
-        out.append((name, i, record(own, part)))
+        out.append((i, record(own, part)))
     return out
 
 
 def first_of_equal(pages: DataFrame, revisit_bytes: int) -> DataFrame:
-    """pages (id, payload) to (digest, first) for the payloads that several pages share."""
-    digests = pages.where(F.length("payload") >= revisit_bytes).select("id", F.sha2("payload", 256).alias("digest"))
-    return digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
+    """pages (id, uri, payload) to (digest, first, first_uri) for the payloads that several pages share."""
+    digests = pages.where(F.length("payload") >= revisit_bytes).select("id", "uri", F.sha2("payload", 256).alias("digest"))
+    firsts = digests.groupBy("digest").agg(F.min(F.struct("id", "uri")).alias("first"), F.max("id").alias("last")).where("first.id < last")
+    return firsts.select("digest", F.col("first.id").alias("first"), F.col("first.uri").alias("first_uri"))
 
 
-def write_warc(df: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", revisit_bytes: int = 0, segment_bytes: int = 1 << 18, file_bytes: int = 1 << 24, file_records: int = 4096) -> None:
+def write_warc(df: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", revisit_bytes: int = 0, segment_bytes: int = 1 << 18, file_records: int = 4096) -> None:
     """Writes a record a row to ``path``, in gzipped archives; segmented records go to a folder of their own."""
     pages = df.select(order_id(f"`{page_id}`").alias("id"), F.coalesce(F.col(f"`{url}`"), F.lit("")).alias("uri"), F.coalesce(F.col(f"`{html}`").cast("binary"), F.lit(b"")).alias("payload"))
-    size = pages.agg(F.coalesce(F.sum(F.length("payload") + 800), F.lit(0))).first()[0]
     firsts = first_of_equal(pages, revisit_bytes)
-    known = pages.withColumn("digest", F.sha2("payload", 256)).join(firsts, "digest", "left").select("id", "uri", "payload", "first")
+    known = pages.withColumn("digest", F.sha2("payload", 256)).join(firsts.hint("shuffle_hash"), "digest", "left").select("id", "uri", "payload", "first", "first_uri")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, parts, kinds, values = [], [], [], []
-            for doc, uri, payload, first in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                revisit = first is not None and first < doc
-                uri = "".join(" " if c in "\r\n" else c for c in uri)
-                page, refers = (None if x == NULL_ID else x for x in (doc, first))
-                for name, i, value in records_of(page, uri, payload, refers, revisit, segment_bytes):
-                    names.append(name)
-                    parts.append(i)
+            kinds, values = [], []
+            for doc, uri, payload, first, first_uri in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                # The first of equal payloads has an id, as others come after it.
+                refers = _name(first, base32_sha1(payload), _line(first_uri)) if first is not None and first < doc else None
+                for i, value in records_of(None if doc == NULL_ID else doc, _line(uri), payload, refers, segment_bytes):
                     kinds.append("segmented" if i else "whole")
                     values.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(parts, pa.int32()), pa.array(kinds, pa.string()), pa.array(values, pa.binary())], names=["name", "part", "kind", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.binary())], names=["kind", "value"])
 
-    rows = known.mapInArrow(run, "name string, part int, kind string, value binary")
-    files = max(1, size // file_bytes)
-    dealt = rows.repartition(int(files), F.xxhash64("name", "part")).select("kind", F.col("value").cast("string").alias("value"))
-    dealt.write.partitionBy("kind").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    rows = known.mapInArrow(run, "kind string, value binary").select("kind", F.col("value").cast("string").alias("value"))
+    rows.write.partitionBy("kind").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
 
 def _parsed(files: DataFrame) -> DataFrame:
