@@ -38,9 +38,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_scratched: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratched.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes what this session's operators wrote to the shared folder; to be called when their results are stored."""
+    while _scratched:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratched.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -104,7 +104,9 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_c
         "line-index",
     )
     size = index.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    shards = max(4 * width(spark), -(-size[0] // KEYS), -(-size[1] // PROBES))
+    # No more probes than lines.
+    n_lines = slim.agg(F.coalesce(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1), F.lit(0))).first()[0]
+    shards = max(4 * width(spark), -(-size[0] // KEYS), -(-n_lines // PROBES))
     # At most SHARE lines can each have more than a SHARE-th of the occurrences, which bounds what is broadcast.
     hot = F.broadcast(index.where(F.col("n") * SHARE > size[1]).select("h1", "h2", F.ceil(F.col("n") * SHARE / F.lit(max(1, size[1]))).cast("int").alias("copies")))
     copies = F.coalesce("copies", F.lit(1))
