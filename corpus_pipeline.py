@@ -33,9 +33,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that a document with a smaller id holds as well; a document left without words goes."""
+    """Drops lines that a document with a smaller id holds as well. Every document stays, if need be with an empty text."""
     prepare(spark)
-    return as_documents(dedup_lines(docs).where(F.col("n_dropped").eqNullSafe(F.lit(0)) | F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    return as_documents(dedup_lines(docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
