@@ -1,16 +1,20 @@
 """Classes of near duplicates from banded signatures, without emitting the pairs of a bucket.
 
 1. Documents with the same sequence of words are one node, the smallest id.
-2. Nodes with equal bands share a bucket. Each node is first compared with the smallest pivot of its buckets.
-3. Verified links are contracted to components. In a bucket that still holds several components, the next pivots (1, 8,
-   64, ... smallest ids) are compared with the nodes of other components there, and leave the bucket. This goes on until
-   no bucket holds two components, so every pair that shares a bucket is either compared, or already in one component,
-   or has sizes that rule the similarity out. A group of copies contracts at once and costs one comparison a copy.
-
-A comparison is exact: the Jaccard similarity of the two feature sets, in the JVM.
+2. Nodes with equal bands share a bucket. A bucket's pivot is the node whose buckets hold the most nodes together, which in
+   a group of copies is the text that they were made from. Each node is compared with the foremost of its pivots.
+3. Verified links are contracted to components. For buckets that still hold several components, each node is noted as its
+   difference from the bucket's pivot: the features that it lacks and those that it adds. A node that is not similar enough
+   to the pivot itself can be so to another node only if the two share part of their differences: with r features lacking
+   and a added, more than (r + t a) / (1 + t) of the other's, t being the threshold; and two similar nodes differ by no more
+   than (1 - t) / t of either one's size. So the two share one of the first few of their differences in any fixed order;
+   the order is from rare to common among the pivot's nodes. Nodes are joined on these, and compared by their differences.
+
+So each two nodes that share a bucket are in one component, or compared, or can't be similar enough. A group of copies
+costs one comparison a copy. Comparisons are exact: the Jaccard similarity of the two feature sets, in the JVM.
 
 Scale: a signature is a few hundred bytes; texts are shuffled once, and of those only nodes in shared buckets go on.
-Bucket minima combine on the map side, and joins on hot keys are left to adaptive skew handling, which may split them.
+Bucket sums combine on the map side, and joins on hot keys are left to adaptive skew handling, which may split them.
 Between rounds, rows are written to the shared folder. Links and components never reach the driver.
 """
 
@@ -26,37 +30,33 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm.common import NULL_ID, order_id, written
 from quarrylight.llm.components import components
-from quarrylight.llm.shingles import word_hashes
-
-#: Pivots a bucket gets in each round, times those of the round before.
-GROWTH = 8
+from quarrylight.llm.shingles import shingle_hashes, shingles_of, word_hashes
 
 
-def _signed(docs: DataFrame, banded: Callable) -> DataFrame:
-    """docs (id, text) to id, h1 and h2 (of the sequence of words), size (of the feature set), bands."""
+def _signed(docs: DataFrame, banded: Callable, words: int) -> DataFrame:
+    """docs (id, text) to id, h1 and h2 (of the sequence of words), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads, tails, sizes, bands = [], [], [], []
+            heads, tails, bands = [], [], []
             for text in batch.column(1).to_pylist():
-                digest = xxhash.xxh3_128_digest(word_hashes(text).tobytes())
+                hashed = word_hashes(text)
+                digest = xxhash.xxh3_128_digest(hashed.tobytes())
                 heads.append(int.from_bytes(digest[:8], "big", signed=True))
                 tails.append(int.from_bytes(digest[8:], "big", signed=True))
-                own, features = banded(text)
-                sizes.append(len(features))
-                bands.append(own)
+                bands.append(banded(shingles_of(hashed, words)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(heads, pa.int64()), pa.array(tails, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["id", "h1", "h2", "size", "bands"],
+                [batch.column(0), pa.array(heads, pa.int64()), pa.array(tails, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["id", "h1", "h2", "bands"],
             )
 
-    return docs.mapInArrow(run, "id long, h1 long, h2 long, size long, bands array<long>")
+    return docs.mapInArrow(run, "id long, h1 long, h2 long, bands array<long>")
 
 
-def _features(docs: DataFrame, features: Callable) -> DataFrame:
+def _features(docs: DataFrame, features: Callable, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [features(text).view(np.int64) for text in batch.column(1).to_pylist()]
+            sets = [features(shingle_hashes(text, words)).view(np.int64) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
 
     return docs.mapInArrow(run, "id long, set array<long>")
@@ -68,62 +68,94 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     right = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     both = pairs.join(left, "b").join(right, "a").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
     union = F.size("set_a") + F.size("set_b") - F.col("common")
-    return both.where(F.col("common") >= threshold * union).select("a", "b")
-
-
-def _nothing(df: DataFrame) -> bool:
-    return df.isEmpty()
-
-
-def links_between(nodes: DataFrame, docs: DataFrame, features: Callable, threshold: float) -> DataFrame:
-    """nodes (id, size, bands) and their texts to (id, root) for those that are not the smallest of their class."""
-    spark = nodes.sparkSession
-    rows = nodes.select("id", "size", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
-    rows = written(rows.join(shared, "key"), "bucket-rows")
-    none = spark.createDataFrame([], "id long, root long")
-    if _nothing(rows):
+    return both.where(_similar(F.col("common"), union, threshold)).select("a", "b")
+
+
+def _similar(common: F.Column, union: F.Column, threshold: float) -> F.Column:
+    # Not below the threshold by rounding.
+    return common + 1e-9 >= threshold * union
+
+
+def differences(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """pairs (p, id) to n (features of p), lacks and adds (how many), delta (added features, then lacking ones, each
+    sorted), linked (similar enough to p)."""
+    own = sets.select("id", F.col("set").alias("own"))
+    of_p = sets.select(F.col("id").alias("p"), F.col("set").alias("of_p"))
+    both = pairs.join(own, "id").join(of_p, "p").select(
+        "p", "id", F.size("of_p").alias("n"), F.array_sort(F.array_except("own", "of_p")).alias("added"), F.array_sort(F.array_except("of_p", "own")).alias("lacking"))
+    out = both.select("p", "id", "n", F.size("lacking").alias("lacks"), F.size("added").alias("adds"), F.concat("added", "lacking").alias("delta"))
+    return out.withColumn("linked", _similar(F.col("n") - F.col("lacks"), F.col("n") + F.col("adds"), threshold))
+
+
+def links_by_differences(noted: DataFrame, threshold: float) -> DataFrame:
+    """noted (differences, and root) to links (a, b) between nodes of different components, one of them not linked to p."""
+    open_ = noted.where("not linked").select("p").distinct()
+    noted = noted.join(open_, "p", "left_semi")
+    size = F.size("delta")
+    # Two similar nodes differ by no more features than this share of either one's size.
+    apart = F.floor((1 - threshold) / threshold * (F.col("n") - F.col("lacks") + F.col("adds")) + 1e-9) + 1
+    spare = size - F.floor((F.col("lacks") + threshold * F.col("adds")) / (1 + threshold) - 1e-9)
+    every = noted.select("p", "id", "root", "linked", F.least(size, apart).alias("asking"), F.least(size, apart, spare).alias("asked"), F.explode("delta").alias("feature"))
+    common = every.groupBy("p", "feature").agg(F.count(F.lit(1)).alias("n"))
+    rare = Window.partitionBy("p", "id").orderBy("n", "feature")
+    first = every.join(common, ["p", "feature"]).withColumn("place", F.row_number().over(rare)).where("place <= asking")
+    one = first.where("not linked").select("p", "feature", F.col("id").alias("a"), F.col("root").alias("root_a"))
+    other = first.where("place <= asked").select("p", "feature", F.col("id").alias("b"), F.col("root").alias("root_b"))
+    found = one.join(other, ["p", "feature"]).where("root_a <> root_b").select("p", "a", "b").distinct()
+    side = lambda x: noted.select("p", F.col("id").alias(x), "n", *[F.col(c).alias(f"{c}_{x}") for c in ("lacks", "adds", "delta")])
+    both = found.join(side("a"), ["p", "a"]).join(side("b").drop("n"), ["p", "b"])
+    shared = F.size(F.array_intersect("delta_a", "delta_b"))
+    common = F.col("n") - F.col("lacks_a") - F.col("lacks_b") + shared
+    union = F.col("n") + F.col("adds_a") + F.col("adds_b") - shared
+    return both.where(_similar(common, union, threshold)).select("a", "b").distinct()
+
+
+def links_between(nodes: DataFrame, docs: DataFrame, features: Callable, threshold: float, words: int) -> DataFrame:
+    """nodes (id, bands) and their texts to (id, root) for those that are not the smallest of their class."""
+    none = nodes.sparkSession.createDataFrame([], "id long, root long")
+    every = nodes.select("id", F.explode("bands").alias("key"))
+    shared = every.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select("key", "n")
+    rows = written(every.join(shared, "key"), "bucket-rows")
+    if rows.isEmpty():
         return none
-    wanted = rows.select("id").distinct()
-    sets = written(_features(docs.join(wanted.hint("shuffle_hash"), "id", "left_semi"), features), "feature-sets")
-    sizes = (F.col("size_a") >= threshold * F.col("size_b")) & (F.col("size_b") >= threshold * F.col("size_a"))
-    pairs = rows.groupBy("id").agg(F.min("pivot").alias("a")).where("a < id").select("a", F.col("id").alias("b"))
-    links = written(_verified(pairs, sets, threshold), "links")
-    roots = none if _nothing(links) else components(links)
-    pivots = 1
-    while True:
-        placed = rows.select("key", "id", "size").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
-        rows = written(placed.join(mixed, "key", "left_semi"), "bucket-rows")
-        if _nothing(rows):
-            return roots
-        order = Window.partitionBy("key").orderBy("id", "size")
-        first = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots)
-        first = first.select("key", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
-        other = rows.select("key", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-        pairs = first.join(other, "key").where((F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b")) & sizes).select("a", "b").distinct()
-        found = written(_verified(pairs, sets, threshold), "links")
-        if not _nothing(found):
-            links = links.unionByName(found)
-            roots = components(links)
-        rows = rows.join(first.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti").select("key", "id", "size")
-        pivots *= GROWTH
-
-
-def classes(df: DataFrame, doc_id: str, text: str, banded: Callable, features: Callable, threshold: float) -> DataFrame:
+    fame = rows.groupBy("id").agg(F.sum("n").alias("fame"))
+    wanted = fame.select("id")
+    sets = written(_features(docs.join(wanted.hint("shuffle_hash"), "id", "left_semi"), features, words), "feature-sets")
+    known = rows.select("key", "id").join(fame, "id")
+    rank = F.struct("fame", -F.col("id"))
+    pivots = known.groupBy("key").agg(F.max_by("id", rank).alias("p"), F.max(rank).alias("rank"))
+    rows = written(rows.select("key", "id").join(pivots, "key"), "bucket-pivots")
+    foremost = rows.groupBy("id").agg(F.max_by("p", "rank").alias("a")).where("a <> id").select("a", F.col("id").alias("b"))
+    links = written(_verified(foremost, sets, threshold), "links")
+    roots = none if links.isEmpty() else components(links)
+    placed = rows.join(roots, "id", "left").select("key", "id", "p", F.coalesce("root", "id").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+    pairs = placed.join(mixed, "key", "left_semi").where("id <> p").select("p", "id").distinct()
+    noted = written(differences(pairs, sets, threshold), "differences")
+    if noted.isEmpty():
+        return roots
+    direct = noted.where("linked").select(F.col("p").alias("a"), F.col("id").alias("b"))
+    links = links.unionByName(direct)
+    roots = components(links)
+    noted = noted.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    more = written(links_by_differences(noted, threshold), "links")
+    return roots if more.isEmpty() else components(links.unionByName(more))
+
+
+def classes(df: DataFrame, doc_id: str, text: str, banded: Callable, features: Callable, threshold: float, words: int) -> DataFrame:
     """doc_id, class_id (the smallest id of the class) and class_size, a row for each row of df.
 
-    ``banded`` gives a text's bands and its feature set, ``features`` the set alone. Texts without words are copies of
+    ``banded`` gives the bands of a text's shingles, ``features`` their set; ``words`` make a shingle. Texts without words are copies of
     each other. Null ids come last. Rows that share an id are one node where they come first among their copies, and
     are else classified each by its own text.
     """
     docs = df.select(order_id(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    signed = written(_signed(docs, banded), "signatures")
+    signed = written(_signed(docs, banded, words), "signatures")
     copies = signed.groupBy("h1", "h2").agg(F.min("id").alias("node"))
     members = written(signed.select("id", "h1", "h2").join(copies, ["h1", "h2"]).select("id", "node"), "members")
     lone = members.where("id = node").select("id").distinct()
-    nodes = signed.select("id", "size", "bands").join(lone, "id", "left_semi")
-    roots = links_between(nodes, docs, features, threshold).select(F.col("id").alias("node"), "root")
+    nodes = signed.select("id", "bands").join(lone, "id", "left_semi")
+    roots = links_between(nodes, docs, features, threshold, words).select(F.col("id").alias("node"), "root")
     placed = members.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("class_id"))
     sizes = placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
     null = F.lit(NULL_ID)

@@ -8,8 +8,8 @@ agree on a coordinate with the probability of their weighted Jaccard similarity.
 which about k ln k + 2k darts hit, and, if a coordinate is still without a hit, up to twice that, and so on.
 
 Signatures are cut into bands; bucket_links makes the classes and verifies each link by the exact weighted Jaccard
-similarity. With 34 bands of 6, of pairs with similarity 0.8 about 1 in 30,000 shares no band, and of pairs with 0.3
-about 1 in 40 shares one.
+similarity. With 48 bands of 8, of pairs with similarity 0.8 about 1 in 7,000 shares no band, and of pairs with 0.3
+about 1 in 300 shares one, so that passages which many documents share make few candidates.
 
 Null texts count as empty; texts without words are copies of each other. Null ids come last. Columns of the input stay,
 but for those named like a result column.
@@ -27,24 +27,28 @@ from pyspark.sql import functions as F
 from quarrylight.llm.bucket_links import classes
 from quarrylight.llm.common import as_row, order_id, replace_columns
 from quarrylight.llm.minimal_hash import mix64
-from quarrylight.llm.shingles import WORDS, as_set, numbered, shingle_hashes
+from quarrylight.llm.shingles import WORDS, as_set, numbered
 
-BANDS, ROWS = 34, 6
+BANDS, ROWS = 48, 8
 #: Width of the first rank region; the region after it is as wide, then they double.
 UNIT = 1 / 2
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
 
 
-def _unit(h: np.ndarray) -> np.ndarray:
-    return (h >> _U(11)).astype(np.float64) * 2.0**-53
+def _salts(numbers: np.ndarray) -> np.ndarray:
+    return (numbers.astype(_U) + _U(1)) * _U(_STEP)
 
 
-def _salted(h: np.ndarray, salt: int) -> np.ndarray:
-    return mix64(h + _U(salt * _STEP % 2**64))
+_turns = mix64(_salts(np.arange(4096)))
+_tables: dict[float, np.ndarray] = {}
 
 
-_tables: dict[float, np.ndarray] = {}
+def _turns_to(n: int) -> np.ndarray:
+    global _turns
+    if len(_turns) < n:
+        _turns = mix64(_salts(np.arange(2 * n)))
+    return _turns
 
 
 def _poisson(mean: float) -> np.ndarray:
@@ -56,70 +60,70 @@ def _poisson(mean: float) -> np.ndarray:
     return _tables[mean]
 
 
-def _thrown(elements: np.ndarray, weights: np.ndarray, v: int, p: int, light: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The darts of weight region v and rank region p that hit: their hashes and ranks."""
+def _rank_region(p: int) -> tuple[float, float]:
+    """Begin and width of a rank region."""
+    return (0.0, UNIT) if p == 0 else (UNIT * 2.0 ** (p - 1), UNIT * 2.0 ** (p - 1))
+
+
+def _thrown(elements: np.ndarray, weights: np.ndarray, v: int, first: int, end: int, light: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The darts of weight region v and rank regions first to end that hit: their hashes and ranks. A dart's hash holds its
+    rank in the upper 44 bits and its coordinate in the lower 20."""
     low_w, wide_w = 2.0**v - 1, 2.0**v
-    low_r, wide_r = (0.0, UNIT) if p == 0 else (UNIT * 2.0 ** (p - 1), UNIT * 2.0 ** (p - 1))
-    region = _salted(elements, 1 + v * 4096 + p)
-    n = np.searchsorted(_poisson(wide_w * wide_r), _unit(region), side="right")
-    own = np.repeat(np.arange(len(elements)), n)
+    ranges = range(first, end + 1)
+    region = mix64(elements[None, :] + _salts(np.arange(first, end + 1) + v * 4096)[:, None])
+    unit = (region >> _U(11)) * 2.0**-53
+    n = np.concatenate([np.searchsorted(_poisson(wide_w * _rank_region(p)[1]), unit[i], side="right") for i, p in enumerate(ranges)])
+    own = np.repeat(np.arange(len(n)), n)
     turn = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-    dart = mix64(region[own] ^ mix64((turn + 1).astype(_U) * _U(_STEP)))
+    dart = mix64(region.ravel()[own] ^ _turns_to(int(n.max()) + 1)[turn])
+    row = own // len(elements)
     if v or light:
-        below = low_w + wide_w * _unit(_salted(dart, 2)) < weights[own]
-        dart = dart[below]
-    return dart, low_r + wide_r * _unit(_salted(dart, 3))
+        below = low_w + wide_w * ((mix64(dart + _U(_STEP)) >> _U(11)) * 2.0**-53) < weights[own - row * len(elements)]
+        dart, row = dart[below], row[below]
+    lows, wides = (np.array(x) for x in zip(*map(_rank_region, ranges), strict=True))
+    return dart, lows[row] + wides[row] * ((dart >> _U(20)) * 2.0**-44)
 
 
 def dart_signature(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     """The k values of a weighted set: elements are distinct 64-bit hashes, weights are positive."""
-    darts = k * math.log(k) + 2 * k
-    bound = darts / float(weights.sum())
+    bound = (k * math.log(k) + 2 * k) / float(weights.sum())
     best, value = np.full(k, np.inf), np.zeros(k, _U)
-    light = bool((weights < 1).any())
-    p = 0
+    light, top = bool((weights < 1).any()), float(weights.max())
+    first = 0
     while True:
-        end = max(0, math.ceil(math.log2(max(bound / UNIT, 1))))
-        hashes, ranks = [], []
-        for q in range(p, end + 1):
-            v = 0
-            while True:
-                inside = weights > 2.0**v - 1
-                if not inside.any():
-                    break
-                some = elements if v == 0 else elements[inside]
-                heavy = weights if v == 0 else weights[inside]
-                h, r = _thrown(some, heavy, v, q, light)
-                hashes.append(h)
-                ranks.append(r)
-                v += 1
-        h, r = np.concatenate(hashes), np.concatenate(ranks)
-        place = (_salted(h, 4) % _U(k)).astype(np.int64)
-        order = np.argsort(-r, kind="stable")
-        # The last of several values for one place stays: the earliest rank.
-        first, name = np.full(k, np.inf), np.zeros(k, _U)
-        first[place[order]], name[place[order]] = r[order], h[order]
-        better = first < best
-        best[better], value[better] = first[better], name[better]
-        # What lies past the last region looked at can't come before what was found.
+        end = max(first, math.ceil(math.log2(max(bound / UNIT, 1))))
+        parts = [_thrown(elements, weights, 0, first, end, light)]
+        v = 1
+        while top > 2.0**v - 1:
+            heavy = weights > 2.0**v - 1
+            parts.append(_thrown(elements[heavy], weights[heavy], v, first, end, light))
+            v += 1
+        dart, rank = (np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*parts, strict=True))
+        place = ((dart & _U(0xFFFFF)) % _U(k)).astype(np.int64)
+        order = np.argsort(-rank)
+        # Of several values for one place the last written stays: that of the earliest rank.
+        earliest, name = np.full(k, np.inf), np.zeros(k, _U)
+        earliest[place[order]], name[place[order]] = rank[order], dart[order]
+        better = earliest < best
+        best[better], value[better] = earliest[better], name[better]
+        # Ranks past the last region can't come before those that were found.
         if np.isfinite(best).all():
             return value
-        p, bound = end + 1, UNIT * 2.0 ** (end + 1)
+        first = end + 1
 
 
-def banded(text: str | None, words: int = WORDS) -> tuple[list[int], np.ndarray]:
-    """A text's bands and its feature set."""
-    shingles = shingle_hashes(text, words)
+def bands_of(shingles: np.ndarray) -> list[int]:
+    """The bands of a document's shingles."""
     if not len(shingles):
-        return [], shingles
+        return []
     elements, counts = numbered(shingles)
     values = dart_signature(elements, counts.astype(np.float64), BANDS * ROWS).reshape(BANDS, ROWS)
-    return [xxhash.xxh3_64_intdigest(bytes([i]) + band.tobytes()) - 2**63 for i, band in enumerate(values)], as_set(shingles)
+    return [xxhash.xxh3_64_intdigest(band.tobytes(), i) - 2**63 for i, band in enumerate(values)]
 
 
 def near_duplicate_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, words: int = WORDS) -> DataFrame:
     """doc_id, class_id (the smallest id of the class) and class_size, a row for each row of df."""
-    return classes(df, doc_id, text, lambda t: banded(t, words), lambda t: as_set(shingle_hashes(t, words)), threshold)
+    return classes(df, doc_id, text, bands_of, as_set, threshold, words)
 
 
 def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, words: int = WORDS) -> DataFrame:

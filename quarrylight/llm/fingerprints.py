@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,14 +133,14 @@ def edited_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text
     return out.select(F.nullif("id", F.lit(2**63 - 1)).alias(doc_id), *out.columns[1:])
 
 
-def _banded(text: str | None, words: int) -> tuple[list[int], np.ndarray]:
-    shingles = shingle_hashes(text, words)
+def bands_of(shingles: np.ndarray) -> list[int]:
+    """The bands of a document's signature."""
     if not len(shingles):
-        return [], shingles
+        return []
     least = signature(shingles)[: PERMUTATIONS // ROWS * ROWS].reshape(-1, ROWS)
-    return [int.from_bytes(hashlib.blake2b(band.tobytes(), digest_size=8).digest(), "big", signed=True) for band in least], np.unique(shingles)
+    return [xxhash.xxh3_64_intdigest(band.tobytes(), i) - 2**63 for i, band in enumerate(least)]
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, words: int = WORDS) -> DataFrame:
     """doc_id with class_id and class_size: documents linked by a verified Jaccard similarity of their shingle sets."""
-    return classes(df, doc_id, text, lambda t: _banded(t, words), lambda t: np.unique(shingle_hashes(t, words)), threshold)
+    return classes(df, doc_id, text, bands_of, np.unique, threshold, words)

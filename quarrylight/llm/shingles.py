@@ -50,7 +50,11 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
     """A 64-bit hash of each shingle, in order, repeats included."""
-    own = word_hashes(text)
+    return shingles_of(word_hashes(text), words)
+
+
+def shingles_of(own: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """The shingles of hashed words."""
     if not len(own):
         return own
     n = min(words, len(own))
