@@ -5,9 +5,10 @@ sorted run with a Bloom filter on the digest: (digest, smallest id, count), a Pa
 into one level of sorted files without overlap and keeps the smallest identifier of a digest. Documents then look up
 their digests; every hit is verified byte by byte against the text of the document that stays.
 
-Scale: runs and levels hold 48 bytes a text and no texts. Texts are shuffled once, by digest. Digests with over a
-thousandth of all documents, of which there can be a thousand at most, are dealt out over salts, with the text that stays
-copied to each salt. DataFrame operations only.
+Scale: runs and levels hold 48 bytes a text and no texts; lookups move digests and ids. Texts are shuffled once, hashed
+by digest and id, and only those of hits go on, to be compared with the text of the document that stays. Digests with
+over a thousandth of all documents, of which there can be a thousand at most, are dealt out over salts, with the text
+that stays copied to each salt. DataFrame operations only.
 
 Texts are equal when identical after each run of ``[\\x20\\x09-\\x0D]`` is replaced by one space; null counts as empty.
 A null id comes after all others and stays only if its group has no other id. Rows that repeat both id and text are one
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import NULL_ID, as_row, order_id, replace_columns, scratch, width
+from quarrylight.llm.common import NULL_ID, as_row, order_id, replace_columns, scratch, written
 
 SHARE = 1000
 
@@ -72,10 +73,8 @@ class DigestIndex:
 
 def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """df with keep_id, group_size, kept and text_sha256 (of the normalised text)."""
-    spark = df.sparkSession
-    index = DigestIndex(spark)
-    rows = df.select(as_row(df), order_id(f"`{doc_id}`").alias("id"), normalised(text).alias("norm"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
+    index = DigestIndex(df.sparkSession)
+    rows = df.select(as_row(df), order_id(f"`{doc_id}`").alias("id"), F.unhex(F.sha2(normalised(text).cast("binary"), 256)).alias("digest"))
     index.flush(rows.select("digest", "id"))
     index.compact()
     hits = index.lookup().where("n > 1")
@@ -85,23 +84,28 @@ def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         .select("digest", F.ceil(F.col("n") * SHARE / F.col("total")).cast("int").alias("salts"))
     )
     salts = F.coalesce("salts", F.lit(1))
-    salted = (
-        rows.join(hot, "digest", "left")
-        .select("__row", "id", "norm", "digest", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
-        .repartition(width(spark), "digest", "salt")
-    )
+    salt = F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt")
     spread = hits.join(hot, "digest", "left").select(
         "digest", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "keep_id", "n", salts.alias("salts")
     )
-    members = salted.join(spread.hint("shuffle_hash"), ["digest", "salt"], "left")
-    first = members.where("n > 1 and id = keep_id").groupBy("digest", "salts").agg(F.first("norm").alias("stays"))
-    first = first.select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "stays")
-    checked = members.join(first.hint("shuffle_hash"), ["digest", "salt"], "left").withColumn("same", F.coalesce(F.col("norm") == F.col("stays"), F.lit(False)))
-    own = F.when(F.col("same"), F.col("keep_id")).otherwise(F.col("id"))
-    checked = checked.withColumn("own", own)
-    return replace_columns(checked, "__row", {
+    # Digests and ids alone find the documents whose texts must be compared.
+    looked = rows.select("digest", "id").join(hot, "digest", "left").select("digest", "id", salt)
+    members = looked.join(spread.hint("shuffle_hash"), ["digest", "salt"]).groupBy("digest", "id").agg(
+        *[F.first(c).alias(c) for c in ("salt", "salts", "keep_id", "n")]
+    )
+    # As a column of its own, so that both uses of the texts below share one shuffle.
+    members = written(members.withColumn("first", F.col("id") == F.col("keep_id")), "digest-hits")
+    texts = df.select(order_id(f"`{doc_id}`").alias("id"), normalised(text).alias("norm")).withColumn("digest", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
+    texts = texts.join(members.hint("shuffle_hash"), ["digest", "id"])
+    stays = texts.where("first").groupBy("digest", "salts").agg(F.first("norm").alias("stays"))
+    stays = stays.select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "stays")
+    compared = texts.join(stays, ["digest", "salt"]).groupBy("digest", "id").agg(F.bool_and(F.col("norm") == F.col("stays")).alias("same"), F.first("keep_id").alias("keep_id"), F.first("n").alias("n"))
+    found = rows.join(compared.hint("shuffle_hash"), ["digest", "id"], "left")
+    same = F.coalesce("same", F.lit(False))
+    found = found.withColumn("own", F.when(same, F.col("keep_id")).otherwise(F.col("id")))
+    return replace_columns(found, "__row", {
         "keep_id": F.when(F.col("own") != NULL_ID, F.col("own")),
-        "group_size": F.when(F.col("same"), F.col("n")).otherwise(F.lit(1)).cast("long"),
+        "group_size": F.when(same, F.col("n")).otherwise(F.lit(1)).cast("long"),
         "kept": F.col("own") == F.col("id"),
         "text_sha256": F.lower(F.hex("digest")),
     })
