@@ -8,6 +8,10 @@ of the nearest decided neighbour, first of those in their own container (the inn
 of all; if there are as near ones of both labels, near-good blocks are content and others not. Blocks of an article or
 main element are content unless the first pass found them bad, which there only boilerplate marks and links can do.
 
+A class, an id or a form around an article or main element, or on it, is a wrapper's and does not make it boilerplate;
+names like has-sidebar, no-sidebar or content-sidebar-wrap are of layouts and say nothing. Articles in parts named for
+reader comments, related pages or adverts are boilerplate only on pages with other main text.
+
 Nothing is dropped or capped but boilerplate blocks. White space in a block becomes one space; character references are
 decoded. Null pages count as empty, malformed pages are read as far as they make sense. Scale: one pass, no shuffle.
 Columns of the input stay, but for those named like a result column, which are replaced.
@@ -36,7 +40,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BAD_TAGS = frozenset("nav header footer aside form menu dialog".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert alertdialog dialog form toolbar".split())
-GOOD_TAGS = frozenset("article main".split())
+#: Elements and roles of main text; a main element is the page's own.
+ARTICLE, MAIN = 1, 2
+GOOD_NAMES = {"article": ARTICLE, "main": MAIN}
 CONTAINERS = frozenset("article aside body div fieldset footer form header html main nav section table td th".split())
 BAD_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer|foot|header|masthead|topbar|toolbar"
@@ -44,6 +50,12 @@ BAD_NAMES = re.compile(
     r"|related|recommended|widget\w*|pagination|pager|legal|copyright|disclaimer|search\w*|form|hidden|skip|outbrain|taboola)(?:$|[\s_-])",
     re.I,
 )
+#: Of these names, those of parts that hold articles of others.
+PART_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|comment\w*|respond|replies|reply|disqus|discussion|reactions|related|recommended|outbrain|taboola)(?:$|[\s_-])", re.I)
+#: What a name says of the layout of its element: parts that it has or lacks, and the wrapper of the content and of parts.
+_LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without)[_-]\S*|(?<!\S)(?=\S*content)\S+[_-]wrap(?:per)?(?!\S)|(?<!\S)\S+[_-]layout(?!\S)", re.I)
+#: How firmly an element is boilerplate: not, unless main text is inside, unless it is the only main text, by all means.
+CLEAN, WRAPPER, PART, BAD = range(4)
 STOP_WORDS = frozenset(
     "a about after all also an and are as at be been but by can could did do for from had has have he her his how i if in into is it its just like may more no not of on one only or other our out over she so some than that the their them then there these they this to up was we were what when which who will with would you your "
     "aber als am an auch auf aus bei bin bis das dass dem den der des die durch ein eine einem einen einer es für hat ich ihr im in ist mit nach nicht noch nur oder sich sie sind so über um und uns unter vom von vor war was wenn werden wie wir wird zu zum zur "
@@ -63,35 +75,45 @@ class Block:
 
     __slots__ = ("parts", "linked", "heading", "bad", "good", "home", "text", "label")
 
-    def __init__(self, heading: bool, bad: bool, good: bool, home: int):
+    def __init__(self, heading: bool, bad: int, good: int, home: int):
         self.parts: list[str] = []
         self.linked = 0
         self.heading, self.bad, self.good, self.home = heading, bad, good, home
         self.text = self.label = ""
 
 
-def _marks(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element's own tag and attributes say boilerplate, or main text."""
-    bad, good = name in BAD_TAGS, name in GOOD_TAGS
+def _within(bad: int, good: int) -> int:
+    """What a mark is inside or on an element that says main text."""
+    return CLEAN if bad == WRAPPER and good or bad == PART and good == MAIN else bad
+
+
+def _marks(name: str, attributes: str) -> tuple[int, int]:
+    """How firmly an element's own tag and attributes say boilerplate, and whether they say main text."""
+    bad = (WRAPPER if name == "form" else BAD) if name in BAD_TAGS else CLEAN
+    good = GOOD_NAMES.get(name, 0)
     if attributes:
         for key, value, hidden in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
             if hidden or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-                bad = True
+                bad = BAD
             elif key == "role":
-                bad, good = bad or value in BAD_ROLES, good or value in ("main", "article")
-            elif key in ("class", "id") and name not in ("body", "html") and BAD_NAMES.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)):
-                bad = True
-    return bad, good and not bad
+                if value in BAD_ROLES:
+                    bad = max(bad, WRAPPER if value == "form" else BAD)
+                good = max(good, GOOD_NAMES.get(value, 0))
+            elif key in ("class", "id") and name not in ("body", "html"):
+                value = _LAYOUT.sub(" ", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value))
+                if BAD_NAMES.search(value):
+                    bad = max(bad, PART if PART_NAMES.search(value) else WRAPPER)
+    return _within(bad, good), good
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, those without text left out."""
     found: list[Block] = []
-    # Of each open element: name, whether it is in boilerplate, in main text, in a heading, and the number of its container.
-    opened: list[tuple[str, bool, bool, bool, int]] = []
+    # Of each open element: name, how firmly it is in boilerplate, whether it is in main text, in a heading, and the number of its container.
+    opened: list[tuple[str, int, int, bool, int]] = []
     links = serial = 0
-    block = Block(False, False, False, 0)
+    block = Block(False, CLEAN, 0, 0)
 
     def close() -> None:
         nonlocal block
@@ -99,7 +121,7 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             block.text = text
             found.append(block)
-        _, bad, good, heading, home = opened[-1] if opened else ("", False, False, False, 0)
+        _, bad, good, heading, home = opened[-1] if opened else ("", CLEAN, 0, False, 0)
         block = Block(heading, bad, good, home)
 
     def put(text: str) -> None:
@@ -147,16 +169,23 @@ def blocks_of(page: str) -> list[Block]:
                 while opened and name in CLOSES.get(opened[-1][0], ()):
                     opened.pop()
                 bad, good = _marks(name, tag[3])
-                _, was_bad, was_good, was_heading, home = opened[-1] if opened else ("", False, False, False, 0)
+                _, was_bad, was_good, was_heading, home = opened[-1] if opened else ("", CLEAN, 0, False, 0)
                 serial += name in CONTAINERS
                 # What stands in an article's own header, as a title does, is not the page's header.
                 if name == "header" and was_good and not was_bad:
-                    bad = False
-                opened.append((name, bad or was_bad, good or was_good, name in HEADINGS or was_heading, serial if name in CONTAINERS else home))
+                    bad = CLEAN
+                # Marks inside an article of others hold even where that article is the page's.
+                elif bad and was_bad == PART and was_good:
+                    bad = BAD
+                opened.append((name, max(bad, _within(was_bad, good)), max(good, was_good), name in HEADINGS or was_heading, serial if name in CONTAINERS else home))
                 close()
             links = 0
     opened.clear()
     close()
+    parts = [b for b in found if b.bad == PART and b.good]
+    if parts and not any(_first(b) in ("good", "near") for b in found):
+        for b in parts:
+            b.bad = CLEAN
     return found
 
 

@@ -360,6 +360,23 @@ def test_html_parts():
     assert main_text("plain words only") == "plain words only"
 
 
+WRAPPED = [
+    '<div class="content-sidebar-wrap"><main><article>{}</article></main></div>', '<div class="layout has-sidebar"><p>{}</div>',
+    '<main class="content no-sidebar">{}</main>', '<form id=aspnetForm><div class=page><article>{}</article></div></form>',
+    '<div class="sidebar-left"><h1>Title</h1><article class="post widget">{}</article></div>', '<div class="sidebar-layout"><p>{}</div>',
+    '<div role="form"><div role="main" class="with-comments">{}</div></div>', '<div id="comments"><article>{}</article></div>', '<div class="contentSidebarWrap"><p>{}</div>',
+]
+
+
+@pytest.mark.parametrize("wrapped", WRAPPED)
+def test_marks_of_wrappers_keep_the_article(wrapped):
+    body = "It is the first part of the text that we would like to have from this page, and it has many of the words that are in all texts. " * 3
+    clean = re.sub(r"\s+", " ", body).strip()
+    inner = f"<p>{body}</p><div class='has-children menu-item-has-children'>A line of the menu</div><form>{body}</form><div class=comments><article class=comment>{body}</article></div>"
+    page = f"<body><nav>Menu</nav>{wrapped.format(inner)}<div class='footer-wrap'>{body}</div><div class='sidebar'><p>{body}</div><aside><article>{body}</article></aside></body>"
+    assert main_text(page) == clean
+
+
 # 8 exact dedup
 
 
