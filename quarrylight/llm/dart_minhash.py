@@ -8,8 +8,8 @@ agree on a coordinate with the probability of their weighted Jaccard similarity.
 which about k ln k + 2k darts hit, and, if a coordinate is still without a hit, up to twice that, and so on.
 
 Signatures are cut into bands; bucket_links makes the classes and verifies each link by the exact weighted Jaccard
-similarity. With 48 bands of 8, of pairs with similarity 0.8 about 1 in 7,000 shares no band, and of pairs with 0.3
-about 1 in 300 shares one, so that passages which many documents share make few candidates.
+similarity. With 57 bands of 8, of pairs with similarity 0.8 about 1 in 35,000 shares no band, and of pairs with 0.3
+about 1 in 270 shares one, so that passages which many documents share make few candidates.
 
 Null texts count as empty; texts without words are copies of each other. Null ids come last. Columns of the input stay,
 but for those named like a result column.
@@ -29,7 +29,7 @@ from quarrylight.llm.common import as_row, order_id, replace_columns
 from quarrylight.llm.minimal_hash import mix64
 from quarrylight.llm.shingles import WORDS, as_set, numbered
 
-BANDS, ROWS = 48, 8
+BANDS, ROWS = 57, 8
 #: Width of the first rank region; the region after it is as wide, then they double.
 UNIT = 1 / 2
 _U = np.uint64

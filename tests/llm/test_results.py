@@ -18,7 +18,7 @@ from quarrylight.llm import queries as q
 from quarrylight.llm.bpe import Codec, decode, encode, pieces, read_ranks
 from quarrylight.llm.common import scratch
 from quarrylight.llm.components import components
-from quarrylight.llm.dart_minhash import dart_signature, near_dedup, near_duplicate_classes
+from quarrylight.llm.dart_minhash import BANDS, ROWS, dart_signature, near_dedup, near_duplicate_classes
 from quarrylight.llm.exact_dedup import DigestIndex, exact_dedup
 from quarrylight.llm.fingerprints import digits, likeness, near_duplicates, signature
 from quarrylight.llm.html_extract import main_text
@@ -182,6 +182,13 @@ def test_dart_signatures_estimate_weighted_similarity():
         assert abs(got - true) < 0.06
 
 
+def test_few_similar_pairs_share_no_band():
+    """No more than with the 34 bands of 6 that came before."""
+    missed = lambda bands, rows, similarity: (1 - similarity**rows) ** bands
+    for similarity in (0.8, 0.85, 0.9):
+        assert missed(BANDS, ROWS, similarity) <= missed(34, 6, similarity)
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(70)]
