@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm.bucket_links import classes
-from quarrylight.llm.common import as_row, order_id, replace_columns
+from quarrylight.llm.common import as_row, order_id, replace_columns, written
 from quarrylight.llm.minimal_hash import mix64
 from quarrylight.llm.shingles import WORDS, as_set, numbered
 
@@ -127,9 +127,19 @@ def near_duplicate_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "t
 
 
 def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, words: int = WORDS) -> DataFrame:
-    """The rows of df that are the first of their class, with class_size. Rows that share the first id all stay."""
-    found = near_duplicate_classes(df, doc_id, text, threshold, words)
-    first = found.where(F.col(doc_id).eqNullSafe(F.col("class_id"))).select(order_id(f"`{doc_id}`").alias("id"), "class_size")
-    first = first.groupBy("id").agg(F.max("class_size").alias("class_size"))
-    rows = df.select(as_row(df), order_id(f"`{doc_id}`").alias("id"))
-    return replace_columns(rows.join(first.hint("shuffle_hash"), "id"), "__row", {"class_size": F.col("class_size")})
+    """One row of df for each class, with class_size. It is the row with the smallest id; of rows with equal or null ids, each
+    is classed by its own text, and one with the smallest hash of id and text stays."""
+    id_ = order_id(f"`{doc_id}`")
+    if df.select(id_.alias("id")).groupBy("id").count().where("count > 1").isEmpty():
+        found = near_duplicate_classes(df, doc_id, text, threshold, words)
+        first = found.where(F.col(doc_id).eqNullSafe(F.col("class_id"))).select(order_id(f"`{doc_id}`").alias("key"), "class_size")
+        rows = df.select(as_row(df), id_.alias("key"))
+        return replace_columns(rows.join(first.hint("shuffle_hash"), "key"), "__row", {"class_size": F.col("class_size")})
+    # Ids repeat: rows go by a hash of id and text instead, rows equal in both as one.
+    rows = df.select(as_row(df), id_.alias("id"), F.col(f"`{text}`").alias("text"), F.xxhash64(id_, F.col(f"`{text}`")).alias("key"))
+    nodes = written(rows.groupBy("key").agg(F.min("id").alias("id"), F.min("text").alias("text"), F.count(F.lit(1)).alias("n")), "rows-by-hash")
+    found = near_duplicate_classes(nodes.select("key", "text"), "key", "text", threshold, words).select("key", "class_id")
+    classed = found.join(nodes.select("key", "id", "n"), "key").groupBy("class_id")
+    first = classed.agg(F.min(F.struct("id", "key")).alias("least"), F.sum("n").alias("class_size")).select("least.key", "class_size")
+    kept = rows.select("key", "__row").join(first.hint("shuffle_hash"), "key").groupBy("key").agg(F.first("__row").alias("__row"), F.first("class_size").alias("class_size"))
+    return replace_columns(kept, "__row", {"class_size": F.col("class_size")})

@@ -153,6 +153,13 @@ def test_near_classes_lose_no_link(docs, copies):
     assert sorted(r["doc_id"] for r in kept) == sorted({r["class_id"] for r in found})
 
 
+def test_near_dedup_keeps_one_row_a_class(docs, prose):
+    a, b, c, d, e = (prose(i) for i in range(20, 25))
+    rows = [(3, b), (7, a), (7, b), (8, a), (9, c), (9, c), (9, c), (None, c), (None, d), (None, d), (None, e), (None, a), (10, e + " more")]
+    kept = near_dedup(docs(rows)).collect()
+    assert sorted((r["text"], r["doc_id"], r["class_size"]) for r in kept) == sorted([(b, 3, 2), (a, 7, 3), (c, 9, 4), (e + " more", 10, 2), (d, None, 2)])
+
+
 def test_copies_far_from_their_pivot(docs, prose):
     """Copies with up to eight edits of a text: some are near others only, some near none."""
     r, made = random.Random(9), []
