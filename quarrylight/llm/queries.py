@@ -22,6 +22,8 @@ from quarrylight.llm.warc import page_number, read_warc, write_warc
 
 #: The ranks that the BPE query and the pipeline encode with.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: Longest block of the WARC query's records; longer pages are segmented.
+SEGMENT_BYTES = 1 << 12
 #: (host, path, verdict) of the URL query.
 RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -66,7 +68,7 @@ def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(prepare(spark), "warc")
-    write_warc(table(spark, sf_dir, "pages", "page_id", "url", "html"), path, revisit_bytes=0)
+    write_warc(table(spark, sf_dir, "pages", "page_id", "url", "html"), path, revisit_bytes=0, segment_bytes=SEGMENT_BYTES)
     pages = read_warc(spark, path)
     return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", page_number("refers_to").alias("refers_to"), "segments")
 

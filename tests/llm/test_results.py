@@ -251,6 +251,13 @@ def test_op3(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_op3_reassembles_long_pages(spark):
+    size = {i: len((h or "").encode()) for i, h in rows("pages", "page_id", "html")}
+    got = [r for r in q.op3_warc_segments(spark, DATA).collect() if r["record_type"] == "response"]
+    assert any(r["segments"] for r in got)
+    assert all(r["segments"] >= size[r["page_id"]] / q.SEGMENT_BYTES for r in got if size[r["page_id"]] > q.SEGMENT_BYTES)
+
+
 def test_segments_are_reassembled(spark, docs):
     made = [(1, "ä€\U0001f600" * 5000), (2, "small"), (3, "ä€\U0001f600" * 5000), (4, ""), (5, "\r\n\r\nWARC/1.1\r\n" * 900)]
     path = scratch(spark, "warc")
