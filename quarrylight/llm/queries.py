@@ -12,7 +12,7 @@ from quarrylight.llm.bpe import encode
 from quarrylight.llm.common import prepare, scratch
 from quarrylight.llm.dart_minhash import near_duplicate_classes
 from quarrylight.llm.exact_dedup import exact_dedup
-from quarrylight.llm.fingerprints import edited_fingerprints
+from quarrylight.llm.fingerprints import edited_fingerprints, near_duplicates
 from quarrylight.llm.html_extract import extract
 from quarrylight.llm.line_dedup import dedup_lines
 from quarrylight.llm.mixing import words_taken
@@ -126,6 +126,10 @@ def op7_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = exact_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
     return docs.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -180,6 +184,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_weighted_fair_mix": op5_weighted_fair_mix,
         "op6_html_blocks": op6_html_blocks,
         "op7_minhash_fingerprints": op7_minhash_fingerprints,
+        "op7_near_duplicates": op7_near_duplicates,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_url_filters": op10_url_filters,

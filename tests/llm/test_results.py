@@ -226,6 +226,11 @@ def test_op7(spark):
     assert len(got) == len(docs)
 
 
+def test_op7_near_duplicates(spark):
+    found = q.queries()["op7_near_duplicates"](spark, DATA).collect()
+    assert sorted(map(tuple, found)) == brute_classes(rows("documents", "doc_id", "text"), plain)
+
+
 def test_fingerprint_likeness_estimates_jaccard(prose):
     a, b = prose(1, 900).split(), prose(2, 900).split()
     mixed = a[:600] + b[:300]
