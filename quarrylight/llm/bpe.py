@@ -3,7 +3,8 @@
 The rank file is read once on the driver and broadcast (under a megabyte); each Python worker builds its encoder once.
 Long texts are encoded piece by piece, so that the library never holds one whole: a piece may end only before a white
 space character that follows another character, where no match of the pattern can reach across. The ids of the pieces
-together are the ids of the text. Decoding joins the raw bytes of the ids, so that ids which cut a character in two give
+together are the ids of the text. Long runs of white space, on which the library's pattern engine overflows, are matched
+here: the pattern takes a run but for its last character, or all of it at the end of the text, as one match. Decoding joins the raw bytes of the ids, so that ids which cut a character in two give
 the bytes they stand for, not replacement characters.
 
 Scale: one pass, no shuffle, memory bounded by an Arrow batch.
@@ -25,9 +26,12 @@ from pyspark.sql import types as T
 
 from quarrylight.llm.common import as_row, replace_columns
 
-#: Code points from which a piece ends at the next safe place.
+#: Code points from which a piece ends at the next safe place, and longest run of white space that the pattern engine is given.
 PIECE = 1 << 16
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+#: White_Space of Unicode, which is ``\s`` in the pattern; Python's ``\s`` takes four control characters more (fixed values).
+_WHITE = r"\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SAFE = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])")
+_RUN = re.compile(f"(?<![{_WHITE}])[{_WHITE}]{{{PIECE},}}")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -60,7 +64,17 @@ class Codec:
             return []
         if len(text) <= PIECE:
             return self.encoding.encode_ordinary(text)
-        return [i for piece in pieces(text) for i in self.encoding.encode_ordinary(piece)]
+        return [i for piece in pieces(text) for i in self._encode_piece(piece)]
+
+    def _encode_piece(self, piece: str) -> list[int]:
+        """The ids of a piece; only the last piece of a text can end with white space."""
+        ids, at = [], 0
+        for run in _RUN.finditer(piece):
+            end = run.end() if run.end() == len(piece) else run.end() - 1
+            ids += self.encoding.encode_ordinary(piece[at : run.start()])
+            ids += self.encoding._encode_single_piece(piece[run.start() : end])
+            at = end
+        return ids + self.encoding.encode_ordinary(piece[at:])
 
     def decode(self, ids: list[int] | None) -> bytes:
         return self.encoding.decode_bytes(ids) if ids else b""

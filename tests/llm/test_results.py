@@ -457,6 +457,29 @@ def test_long_texts_in_pieces(docs, spark):
     assert "\U0001f600".encode().startswith(codec.decode(half)) and codec.decode(half)
 
 
+def test_long_white_space():
+    codec = Codec(read_ranks(q.RANKS), public_tokenizers.PATTERN)
+    one = lambda text: codec.encoding._encode_single_piece(text)
+    n = 1_000_000
+    for white in (" ", "\n", " \t\n\u3000"):
+        run = white * (n // len(white))
+        assert codec.encode(run) == one(run)
+        assert codec.encode(f"a{run} b") == [*one("a"), *one(run), *one(" b")]
+    assert codec.decode(codec.encode("\n" * n + "x")) == b"\n" * n + b"x"
+
+
+def test_white_space_is_cut_where_the_pattern_cuts(monkeypatch):
+    from quarrylight.llm import bpe
+
+    monkeypatch.setattr(bpe, "PIECE", 20)
+    monkeypatch.setattr(bpe.pieces, "__defaults__", (20,))
+    monkeypatch.setattr(bpe, "_RUN", re.compile(bpe._RUN.pattern.replace(str(1 << 16), "5")))
+    codec, r = Codec(read_ranks(q.RANKS), public_tokenizers.PATTERN), random.Random(1)
+    for _ in range(2000):
+        text = "".join(r.choice("ab1.' \t\n\x1c\x85\u3000\u00e9") * r.choice([1, 1, 1, 2, 7]) for _ in range(r.randrange(1, 60)))
+        assert codec.encode(text) == codec.encoding.encode_ordinary(text)
+
+
 # 10 URL filters
 
 
