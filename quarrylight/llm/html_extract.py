@@ -5,8 +5,9 @@ First pass, context-free: blocks in menus, headers, footers, sidebars, notices,
 tag, role, class or id of an enclosing element) are boilerplate; of the rest, link density, length and stop-word density
 decide: bad, good, near-good or short. Second pass: headings, and blocks that are short or near-good, inherit the label
 of the nearest decided neighbour, first of those in their own container (the innermost div, section or the like), then
-of all; if there are as near ones of both labels, near-good blocks are content and others not. Blocks of an article or
-main element are content unless the first pass found them bad, which there only boilerplate marks and links can do.
+of all; if there are as near ones of both labels, near-good blocks are content and others not. On a page without a good
+block, the near-good ones with the most stop words are good. Blocks of an article or
+main element are content unless the first pass found them bad, which there only boilerplate marks and lists of links can do.
 
 A class, an id or a form around an article or main element, or on it, is a wrapper's and does not make it boilerplate;
 names like has-sidebar, no-sidebar or content-sidebar-wrap are of layouts and say nothing. Articles in parts named for
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +39,8 @@ BLOCKS = frozenset("address article aside blockquote body caption center col col
 UNSEEN = frozenset("script style noscript template iframe object embed svg math canvas audio video map head title select textarea button datalist".split())
 RAW = frozenset("script style noscript template iframe svg math title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that menus are made of.
+ENTRIES = frozenset("li dt dd td th option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BAD_TAGS = frozenset("nav header footer aside form menu dialog".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert alertdialog dialog form toolbar".split())
@@ -47,11 +51,11 @@ CONTAINERS = frozenset("article aside body div fieldset footer form header html
 BAD_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer|foot|header|masthead|topbar|toolbar"
     r"|cookies?|consent|gdpr|notices?|alerts?|popup\w*|modal\w*|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social\w*|comments?|comment\w*|respond|replies|reply|disqus|discussion|reactions"
-    r"|related|recommended|widget\w*|pagination|pager|legal|copyright|disclaimer|search\w*|form|hidden|skip|outbrain|taboola)(?:$|[\s_-])",
+    r"|related|recommended|widget\w*|pagination|pager|legal|copyright|disclaimer|search\w*|form|hidden|skip|outbrain|taboola|kommentar\w*|comentarios?|werbung|anzeigen?|publicit\w*|publicidad|impressum|datenschutz)(?:$|[\s_-])",
     re.I,
 )
 #: Of these names, those of parts that hold articles of others.
-PART_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|comment\w*|respond|replies|reply|disqus|discussion|reactions|related|recommended|outbrain|taboola)(?:$|[\s_-])", re.I)
+PART_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|comment\w*|respond|replies|reply|disqus|discussion|reactions|related|recommended|outbrain|taboola|kommentar\w*|comentarios?|werbung|anzeigen?|publicit\w*|publicidad)(?:$|[\s_-])", re.I)
 #: What a name says of the layout of its element: parts that it has or lacks, and the wrapper of the content and of parts.
 _LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without)[_-]\S*|(?<!\S)(?=\S*content)\S+[_-]wrap(?:per)?(?!\S)|(?<!\S)\S+[_-]layout(?!\S)", re.I)
 #: How firmly an element is boilerplate: not, unless main text is inside, unless it is the only main text, by all means.
@@ -73,13 +77,14 @@ CLOSES = {"p": BLOCKS - {"body", "html"}, "li": frozenset(["li"]), "dt": frozens
 class Block:
     """A block's text, letters inside links, and where it stands."""
 
-    __slots__ = ("parts", "linked", "heading", "bad", "good", "home", "text", "label")
+    __slots__ = ("parts", "linked", "heading", "bad", "good", "home", "entry", "text", "label", "dense")
 
-    def __init__(self, heading: bool, bad: int, good: int, home: int):
+    def __init__(self, heading: bool, bad: int, good: int, home: int, entry: bool):
         self.parts: list[str] = []
         self.linked = 0
-        self.heading, self.bad, self.good, self.home = heading, bad, good, home
+        self.heading, self.bad, self.good, self.home, self.entry = heading, bad, good, home, entry
         self.text = self.label = ""
+        self.dense = 0.0
 
 
 def _within(bad: int, good: int) -> int:
@@ -113,7 +118,10 @@ def blocks_of(page: str) -> list[Block]:
     # Of each open element: name, how firmly it is in boilerplate, whether it is in main text, in a heading, and the number of its container.
     opened: list[tuple[str, int, int, bool, int]] = []
     links = serial = 0
-    block = Block(False, CLEAN, 0, 0)
+    block = Block(False, CLEAN, 0, 0, False)
+    # How many elements of a name are open, and the ends that the rest of the page does not have: nothing is searched twice.
+    n_open: Counter[str] = Counter()
+    endless: set[str] = set()
 
     def close() -> None:
         nonlocal block
@@ -122,7 +130,13 @@ def blocks_of(page: str) -> list[Block]:
             block.text = text
             found.append(block)
         _, bad, good, heading, home = opened[-1] if opened else ("", CLEAN, 0, False, 0)
-        block = Block(heading, bad, good, home)
+        block = Block(heading, bad, good, home, bool(opened) and opened[-1][0] in ENTRIES)
+
+    def end_of(name: str, pattern: re.Pattern, at: int) -> re.Match | None:
+        end = None if name in endless else pattern.search(page, at)
+        if end is None:
+            endless.add(name)
+        return end
 
     def put(text: str) -> None:
         if text:
@@ -144,11 +158,10 @@ def blocks_of(page: str) -> list[Block]:
         if name in UNSEEN and not closing:
             if name in RAW or name in ("button", "select", "audio", "video", "canvas", "object", "map", "head", "datalist"):
                 if name == "head":
-                    end = re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
+                    end = end_of(name, re.compile(r"</head\s*>|<body\b", re.I), at)
                     at = (end.end() if end[0].startswith("</") else end.start()) if end else at
                 elif not tag[4]:
-                    raw = re.compile(rf"</{name}\s*(?:>|\Z)", re.I)
-                    end = raw.search(page, at)
+                    end = end_of(name, re.compile(rf"</{name}\s*(?:>|\Z)", re.I), at)
                     at = end.end() if end else len(page) if name in ("script", "style") else at
                 put(" ")
             continue
@@ -158,16 +171,17 @@ def blocks_of(page: str) -> list[Block]:
             links = 0 if closing else 1
         elif name in BLOCKS:
             if closing:
-                for i in range(len(opened) - 1, -1, -1):
-                    if opened[i][0] == name:
-                        del opened[i:]
+                while n_open[name]:
+                    last = opened.pop()[0]
+                    n_open[last] -= 1
+                    if last == name:
                         break
                 close()
             elif name == "hr" or name in VOID:
                 close()
             else:
                 while opened and name in CLOSES.get(opened[-1][0], ()):
-                    opened.pop()
+                    n_open[opened.pop()[0]] -= 1
                 bad, good = _marks(name, tag[3])
                 _, was_bad, was_good, was_heading, home = opened[-1] if opened else ("", CLEAN, 0, False, 0)
                 serial += name in CONTAINERS
@@ -177,6 +191,7 @@ def blocks_of(page: str) -> list[Block]:
                 # Marks inside an article of others hold even where that article is the page's.
                 elif bad and was_bad == PART and was_good:
                     bad = BAD
+                n_open[name] += 1
                 opened.append((name, max(bad, _within(was_bad, good)), max(good, was_good), name in HEADINGS or was_heading, serial if name in CONTAINERS else home))
                 close()
             links = 0
@@ -195,11 +210,12 @@ def _first(block: Block) -> str:
     n = len(block.text)
     linked = block.linked / n
     if linked > LINKS:
-        return "bad"
+        # A paragraph of an article may be a link; a list of links is a menu wherever it stands.
+        return "short" if block.good and not block.entry else "bad"
     if block.heading:
         return "heading"
     words = _WORD.findall(block.text.lower())
-    dense = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    dense = block.dense = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if n < SHORT:
         return "short"
     if dense >= MANY:
@@ -232,6 +248,11 @@ def classify(blocks: list[Block]) -> None:
     """Labels every block good or bad."""
     for block in blocks:
         block.label = _first(block)
+    if not any(b.label == "good" for b in blocks):
+        # A page without a good block has its main text in the best of its near-good ones.
+        near = [b for b in blocks if b.label == "near"]
+        for block in [b for b in near if b.dense >= MANY] or near:
+            block.label = "good"
     found = []
     for block, own, anywhere in zip(blocks, _nearest(blocks, True), _nearest(blocks, False), strict=True):
         label = own or anywhere

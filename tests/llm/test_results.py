@@ -403,6 +403,31 @@ def test_marks_of_wrappers_keep_the_article(wrapped):
     assert main_text(page) == clean
 
 
+PROSE = "It is the first part of the text that we would like to have from this page, and it has many of the words that are in all texts."
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<div><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p></div><div><a>Home</a> <a>About us</a></div>", [PROSE, "Short one.", PROSE]),
+    (f"<div><ul><li><a>Home</a><li><a>News</a></ul></div><div><p>{PROSE * 2}</p><p>Yes.</p><p>{PROSE}</p></div><div><p>Rights reserved</p><p><a>Imprint</a></p></div>", [PROSE * 2, "Yes.", PROSE]),
+    (f"<div><p>Log in</p><p><a>Start page</a></p></div><div><h2>The news</h2><p>{PROSE * 2}</p></div><div><p><a>More of the news</a></p><p>Top</p></div>", ["The news", PROSE * 2]),
+    (f"<div><p>{PROSE * 2}</p><p>Zahlen Preise Termine Adressen Telefon Karte Anfahrt Parken Buchen Preise Zeiten</p><p>{PROSE * 2}</p></div>", [PROSE * 2, PROSE * 2]),
+    (f"<article class='post search-engines'><p>{PROSE}</article>", [PROSE]), (f"<article class=form-guide><p>{PROSE}</article>", [PROSE]),
+    (f"<main><div class=promotion-guide><p>{PROSE}</div></main>", [PROSE]), (f"<article><p>{PROSE}<p><a>The full report of the committee</a><p>{PROSE}</article>", [PROSE, "The full report of the committee", PROSE]),
+    (f"<article><p>{PROSE}</article><div class=kommentare><p>{PROSE}</div>", [PROSE]),
+])
+def test_blocks_are_told_by_density_links_and_neighbours(page, want):
+    assert main_text(page) == "\n".join(want)
+
+
+@pytest.mark.parametrize("part", ["<svg>", "<title>", "<head>", "<div>", "<p>", "<li>", "<script>", "<!--", "<a '", "&", "<div></p>"])
+def test_malformed_pages_take_linear_time(part):
+    import time
+
+    began = time.process_time()
+    main_text(part * (400_000 // len(part)) + "<p>end")
+    assert time.process_time() - began < 5
+
+
 # 8 exact dedup
 
 
