@@ -6,9 +6,11 @@ document labels alone, sum the passages into one representation, from which the
 one place can so be told by that passage.
 
 Fitting takes a bounded sample: of the labelled documents that are not held out, the ``sample`` (3000) with the smallest
-hash of their id, and of each at most ``bag`` (48) passages, evenly spread. Scoring takes all passages of all documents.
-Inputs are texts alone. Fitting is deterministic. The sample is gathered on the driver (at most sample * bag encoded
-passages, some 70 MB), the model (40 KB) is sent to the tasks; scoring is one pass without a shuffle.
+hash of their id, with all their passages: of a text with more than ``bag`` (128) passages, the encodings of neighbours are
+averaged, so that as many are left and none is passed over. Scoring takes all passages of all documents as they are.
+Inputs are texts alone. Fitting is deterministic. The sample is gathered on the driver (at most sample * bag encodings,
+150 MB; some 10 MB for documents of a few hundred words), the model (40 KB) is sent to the tasks; scoring is one pass
+without a shuffle.
 
 Null and empty texts have one empty passage. Labels without a document or a quality are passed over, of several labels
 of a document the smallest counts. Without labels of both kinds, the score is the share of label 1 (0.5 without labels).
@@ -29,7 +31,9 @@ from quarrylight.llm.common import as_row, replace_columns
 from quarrylight.llm.minimal_hash import mix64
 from quarrylight.llm.shingles import _powers_to
 
-WORDS, SAMPLE, BAG = 64, 3000, 48
+WORDS, SAMPLE, BAG = 64, 3000, 128
+#: Passages from which on a task scores what it has encoded.
+SCORED = 4096
 THRESHOLD = 0.3
 STATS, SHAPES = 12, 180
 WIDTH, HIDDEN, GATE = STATS + SHAPES, 24, 16
@@ -74,9 +78,10 @@ def _encode_piece(raw: np.ndarray, words: int) -> np.ndarray:
     def share(mask: np.ndarray) -> np.ndarray:
         return np.bincount(passage[mask], minlength=bags)[:bags] / size
 
-    ends = np.concatenate((begins[1:], [True]))
-    last = shape[np.maximum.accumulate(np.where(letters, np.arange(len(raw)), 0))][ends & True]
-    odd_end = np.bincount(of_word[: len(last)], weights=((last > 5) & (last != 46) & (last != 44))[: len(of_word)].astype(float), minlength=bags)[:bags] / count
+    # The last letter before each further word, and before the end.
+    before = np.append(starts[1:], len(raw)) - 1
+    last = shape[np.maximum.accumulate(np.where(letters, np.arange(len(raw)), 0))][before]
+    odd_end = np.bincount(of_word, weights=((last > 5) & (last != 46) & (last != 44)).astype(float), minlength=bags) / count
     stats = np.stack([
         count / words, np.bincount(of_word[distinct], minlength=bags) / count, np.bincount(of_word[same], minlength=bags) / count,
         size / count / 10, share(shape == 2), share(shape == 3), share(shape > 5), share(shape == 5) * 10, share(shape == 4), odd_end,
@@ -94,6 +99,14 @@ def encode_passages(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros((1, WIDTH), np.float32)
 
 
+def pooled(x: np.ndarray, bag: int) -> np.ndarray:
+    """No more than ``bag`` rows: means of neighbouring ones, as many in each as can be."""
+    if len(x) <= bag:
+        return x
+    starts = np.arange(bag) * len(x) // bag
+    return np.add.reduceat(x, starts) / np.diff(np.append(starts, len(x)))[:, None]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -176,10 +189,7 @@ def fit_quality(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
         for batch in batches:
             sets = []
             for value in batch.column(1).to_pylist():
-                x = encode_passages(value)
-                if len(x) > bag:
-                    x = x[np.linspace(0, len(x) - 1, bag).astype(int)]
-                sets.append(x.astype(np.float16).tobytes())
+                sets.append(pooled(encode_passages(value), bag).astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(sets, pa.binary())], names=["id", "quality", "x"])
 
     found = rows.mapInArrow(run, "id long, quality int, x binary").toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
@@ -198,8 +208,16 @@ def score_quality(df: DataFrame, model: AttentionModel, text: str = "text", thre
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores: list[float] = []
-            for value in batch.column(1).to_pylist():
-                scores.append(float(shared.value.score(encode_passages(value), np.zeros(1, np.int64))[0]))
+            bags, n = [], 0
+            texts = batch.column(1)
+            for i in range(len(texts)):
+                bags.append(encode_passages(texts[i].as_py()))
+                n += len(bags[-1])
+                if n >= SCORED or i == len(texts) - 1:
+                    lengths = np.array([len(x) for x in bags])
+                    # The last digits depend on what is scored together.
+                    scores += np.round(shared.value.score(np.concatenate(bags), np.cumsum(lengths) - lengths), 9).tolist()
+                    bags, n = [], 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["__row", "score"])
 
     done = rows.mapInArrow(run, rows.select("__row", F.lit(0.0).alias("score")).schema)

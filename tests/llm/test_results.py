@@ -25,6 +25,7 @@ from quarrylight.llm.html_extract import main_text
 from quarrylight.llm.line_dedup import dedup_lines
 from quarrylight.llm.minimal_hash import MinimalHash
 from quarrylight.llm.mixing import mix
+from quarrylight.llm.quality import WIDTH, AttentionModel, encode_passages, pooled, score_quality
 from quarrylight.llm.shingles import shingle_hashes
 from quarrylight.llm.url_filters import filter_urls
 from quarrylight.llm.warc import chunked, http_block, parse, read_warc, record, unchunked, write_warc
@@ -310,6 +311,60 @@ def test_op4_on_held_out_labels(spark):
     assert len(test) > 50 and sum(a == b for a, b in test) / len(test) > 0.95
 
 
+def test_op4_scores_against_plain_loops(docs, prose):
+    """The forward pass, passage by passage and number by number."""
+    model = AttentionModel(0.4)
+    r = np.random.default_rng(1)
+    model.mean, model.scale = r.random(WIDTH) / 10, 1 + r.random(WIDTH)
+    model.p["c"] = r.normal(0, 1, len(model.p["c"]))
+    p = {k: v.tolist() for k, v in model.p.items()}
+    texts = ["", None, "  two! words", prose(1, 63), prose(2, 64), "x\n" * 500, prose(3, 700)]
+
+    def plain(text):
+        dot = lambda x, matrix: [sum(a * row[j] for a, row in zip(x, matrix, strict=True)) for j in range(len(matrix[0]))]
+        hidden, gates = [], []
+        for x in encode_passages(text).tolist():
+            x = [(a - m) * s for a, m, s in zip(x, model.mean.tolist(), model.scale.tolist(), strict=True)]
+            h = [math.tanh(a + b) for a, b in zip(dot(x, p["W"]), p["b"], strict=True)]
+            hidden.append(h)
+            gates.append(sum(w * math.tanh(v) / (1 + math.exp(-u)) for w, v, u in zip(p["w"], dot(h, p["V"]), dot(h, p["U"]), strict=True)))
+        total = sum(math.exp(g) for g in gates)
+        z = [sum(math.exp(g) / total * h[j] for g, h in zip(gates, hidden, strict=True)) for j in range(len(p["c"]))]
+        return 1 / (1 + math.exp(-sum(a * b for a, b in zip(z, p["c"], strict=True)) - p["d"]))
+
+    got = {r["doc_id"]: r for r in score_quality(docs(enumerate(texts)), model).collect()}
+    for i, text in enumerate(texts):
+        assert abs(got[i]["score"] - plain(text)) < 1e-6 and got[i]["predicted"] == (got[i]["score"] >= 0.3)
+
+
+def test_gradients_against_differences():
+    r, model = np.random.default_rng(4), AttentionModel(0.3)
+    model.p["c"] = r.normal(0, 1, len(model.p["c"]))
+    x, starts, y = r.normal(0, 1, (9, WIDTH)), np.array([0, 4, 5]), np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        s = model.score(x, starts)
+        return -(y * np.log(s) + (1 - y) * np.log(1 - s)).mean()
+
+    for name, gradient in model._gradients(x, starts, y).items():
+        flat = model.p[name].reshape(-1)
+        for i in {0, flat.size // 2, flat.size - 1}:
+            kept = flat[i]
+            flat[i] = kept + 1e-5
+            above = loss()
+            flat[i] = kept - 1e-5
+            below = loss()
+            flat[i] = kept
+            assert abs((above - below) / 2e-5 - np.asarray(gradient).reshape(-1)[i]) < 1e-6
+
+
+def test_passages_of_a_text(prose):
+    assert encode_passages("  one two! three four!")[0, 9] == encode_passages("one two! three four!")[0, 9] == 0.5
+    x = encode_passages(prose(1, 64 * 300))
+    few = pooled(x, 128)
+    assert len(x) == 300 and len(few) == 128 and np.allclose(few[0], x[:2].mean(0)) and np.allclose(few[-1], x[-3:].mean(0)) and pooled(x, 300) is x
+
+
 # 5 mixing
 
 
