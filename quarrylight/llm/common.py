@@ -15,6 +15,8 @@ WHITE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Stands for a null document id where ids are ordered: null ids come last and count as one document.
 NULL_ID = 2**63 - 1
+#: Keys with over a SHARE-th of the rows are hot; there can be no more of them than this.
+SHARE = 1000
 #: Documents in one Arrow batch. A batch of long texts must fit a Python worker several times over.
 ARROW_ROWS = 256
 
@@ -74,6 +76,17 @@ def order_id(column: str | Column) -> Column:
     return F.coalesce(column.cast("long"), F.lit(NULL_ID))
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """rows joined to their groups by keys that are not null. ``n`` is a group's number of rows: groups with over a SHARE-th
+    of all rows, SHARE at most, are broadcast, so that their rows stay where they are; only the others are shuffled.
+    Both tables are read twice and should be written ones."""
+    total = groups.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    is_hot = F.col(n) * SHARE > total
+    hot = groups.where(is_hot)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(others.join(groups.where(~is_hot), keys))
+
+
 def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, UPPER.lower())
 
