@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrylight.config import DEFAULT
 from quarrylight.functions.text import estimate_tokens
 from quarrylight.operators.citations import footer
+from quarrylight.operators.scratch import checkpointed
 
 
 def rendered(node_type: str = "type") -> Column:
@@ -53,10 +54,11 @@ def sections(nodes: DataFrame) -> DataFrame:
 
 
 def windows(text: Column, limit: int = DEFAULT.max_tokens, overlap: int = DEFAULT.overlap_tokens, separator: str = r"\n\n") -> Column:
-    """Paragraphs packed into windows of at most ``limit`` tokens, each beginning with the last paragraphs of the one
-    before that fit into ``overlap`` tokens. A paragraph over the limit is a window of its own. A fold over the array."""
+    """Paragraphs packed into windows: a window ends before the paragraph that would take it over ``limit`` tokens, and the
+    next begins with its last paragraphs that fit into ``overlap`` tokens, then that paragraph, even if the two exceed the
+    limit. Empty paragraphs are passed over. A fold over the array."""
     joiner = "\n\n" if separator == r"\n\n" else "\n"
-    parts = F.transform(F.filter(F.split(text, separator), lambda p: F.trim(p) != ""), lambda p: F.struct(p.alias("p"), estimate_tokens(p).alias("n")))
+    parts = F.transform(F.filter(F.split(text, separator), lambda p: p != ""), lambda p: F.struct(p.alias("p"), estimate_tokens(p).alias("n")))
     empty = "array<struct<p: string, n: int>>"
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x["n"])
 
@@ -73,14 +75,12 @@ def windows(text: Column, limit: int = DEFAULT.max_tokens, overlap: int = DEFAUL
         buffer, out = acc["buffer"], acc["out"]
         full = (F.size(buffer) > 0) & (total(buffer) + x["n"] > limit)
         flushed = F.concat(out, F.array(F.array_join(F.transform(buffer, lambda b: b["p"]), joiner)))
-        # What is carried over never fills a window by itself.
-        carried = tail(buffer)
-        carried = F.when(total(carried) + x["n"] <= limit, carried).otherwise(F.array().cast(empty))
-        return F.when(full, F.struct(flushed.alias("out"), F.concat(carried, F.array(x)).alias("buffer"))).otherwise(F.struct(out.alias("out"), F.concat(buffer, F.array(x)).alias("buffer")))
+        return F.when(full, F.struct(flushed.alias("out"), F.concat(tail(buffer), F.array(x)).alias("buffer"))).otherwise(F.struct(out.alias("out"), F.concat(buffer, F.array(x)).alias("buffer")))
 
     zero = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast(empty).alias("buffer"))
     last = lambda acc: F.when(F.size(acc["buffer"]) > 0, F.concat(acc["out"], F.array(F.array_join(F.transform(acc["buffer"], lambda b: b["p"]), joiner)))).otherwise(acc["out"])
-    return F.when(estimate_tokens(text) <= limit, F.array(text)).otherwise(F.aggregate(parts, zero, step, last))
+    packed = F.aggregate(parts, zero, step, last)
+    return F.when((estimate_tokens(text) <= limit) | (F.size(packed) == 0), F.array(text)).otherwise(packed)
 
 
 def chunks(nodes: DataFrame, limit: int = DEFAULT.max_tokens, overlap: int = DEFAULT.overlap_tokens, separator: str = r"\n\n") -> DataFrame:
@@ -104,20 +104,23 @@ def parent_slugs(headings: DataFrame, keys: list[str] | None = None) -> DataFram
     return headings.drop("parent_slug").join(found, [*keys, "slug"], "left")
 
 
-def subtree(nodes: DataFrame, root: str, page: list[str] | None = None, most_levels: int = 32) -> DataFrame:
-    """The nodes of a heading and of all headings below it, by parent_slug; one join a level until none is new."""
+def subtree(nodes: DataFrame, root: str, page: list[str] | None = None) -> DataFrame:
+    """The nodes of a heading and of all headings below it, by parent_slug. Each heading's ancestors are found by doubling:
+    a round joins the ancestors known so far with their own, so that a chain of n levels takes log2(n) rounds. A chain that
+    bites its own tail is followed until nothing is new."""
     page = page or ["repo", "page_slug"]
-    links = nodes.where("type = 'heading'").select(*page, "slug", "parent_slug").distinct()
-    found = links.where(F.col("slug") == root).select(*page, "slug")
-    frontier, count = found, None
-    for _ in range(most_levels):
-        nearer = frontier.select(*page, F.col("slug").alias("parent_slug"))
-        frontier = links.join(nearer, [*page, "parent_slug"], "left_semi").select(*page, "slug")
-        grown = found.unionByName(frontier).distinct()
-        now = grown.count()
+    links = nodes.where("type = 'heading'").select(*page, "slug", F.col("parent_slug").alias("above")).distinct()
+    slugs = links.select(*page, "slug").distinct()
+    pairs = checkpointed(links.where("above is not null").unionByName(slugs.withColumn("above", F.col("slug"))).distinct())
+    count = pairs.count()
+    while True:
+        higher = pairs.select(*page, F.col("slug").alias("above"), F.col("above").alias("top"))
+        pairs = checkpointed(pairs.join(higher, [*page, "above"]).select(*page, "slug", F.col("top").alias("above")).distinct())
+        now = pairs.count()
         if now == count:
             break
-        found, count = grown, now
+        count = now
+    found = pairs.where(F.col("above") == root).join(slugs.where(F.col("slug") == root).select(*page), page, "left_semi").select(*page, "slug")
     return nodes.join(found.withColumnRenamed("slug", "section_slug"), [*page, "section_slug"], "left_semi")
 
 

@@ -53,7 +53,11 @@ class Store:
         return self._visible("chunks", schemas.CHUNK)
 
     def edges(self) -> DataFrame:
-        return self._visible("edges", schemas.EDGE)
+        """Also those of repositories whose chunks another encoder has made invisible: only a dropped one has a negative number of chunks."""
+        rows = self._read("status", STATUS)
+        now = latest(rows, ["repo"]).where("build_id is not null or chunk_count >= 0").select("repo")
+        builds = latest(rows.where("build_id is not null"), ["repo"]).join(now, "repo", "left_semi").select("repo", "build_id")
+        return self._read("edges", f"{schemas.EDGE}, build_id string").join(builds, ["repo", "build_id"], "left_semi").drop("build_id")
 
     def rebuild(self, repo: str, chunks: DataFrame, edges: DataFrame, now_ms: int, commit_sha: str | None) -> str:
         """Replaces a repository's chunks and edges together. Vectors of a wrong dimension are an error."""
@@ -79,7 +83,7 @@ class Store:
             self.set_status(repo, row["build_id"], now_ms, row["commit_sha"], row["chunk_count"], row["edge_count"])
 
     def drop(self, repo: str, now_ms: int) -> None:
-        self.set_status(repo, None, now_ms, None)
+        self.set_status(repo, None, now_ms, None, n_chunks=-1)
 
     def forget_graphs(self) -> None:
         """After a change of the extractor: all graphs count as not built."""
@@ -90,13 +94,13 @@ class Store:
         return latest(self._read("meta", META), ["key"]).select("key", "value")
 
     def check_embedder(self, model: str) -> bool:
-        """Notes the encoder; another model or dimension than before drops all chunks and statuses. True if it did."""
+        """Notes the encoder; another model or dimension than before drops all chunks and statuses; edges stay. True if it did."""
         known = {r["key"]: r["value"] for r in self.meta().where(F.col("key").isin("embed_model", "embed_model_dim")).collect()}
         now = {"embed_model": model, "embed_model_dim": str(self.dimension)}
         if known == now:
             return False
         turn = self._next("status", STATUS)
-        self.status().select("repo", F.lit(None).cast("string").alias("build_id"), "indexed_at_ms", F.lit(None).cast("string").alias("commit_sha"), F.lit(0).alias("chunk_count"), F.lit(-1).alias("edge_count"), F.lit(turn).cast("long").alias("written")).coalesce(1).write.mode("append").parquet(f"{self.folder}/status")
+        self.status().select("repo", F.lit(None).cast("string").alias("build_id"), "indexed_at_ms", F.lit(None).cast("string").alias("commit_sha"), F.lit(0).alias("chunk_count"), "edge_count", F.lit(turn).cast("long").alias("written")).coalesce(1).write.mode("append").parquet(f"{self.folder}/status")
         self._append([(k, v, self._next("meta", META)) for k, v in now.items()], "meta", META)
         return bool(known)
 

@@ -16,8 +16,8 @@ from quarrylight import schemas
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = ("h1", "h2", "h3", "h4")
-#: What a page says that does not exist, in lower case.
-NOT_FOUND = ("page not found", "repository not found", "no documentation found", "this page does not exist", "404 not found")
+#: What a page says that does not exist, in lower case (fixed values).
+NOT_FOUND = ("we couldn't find that page", "we could not find that page", "page not found", "this page doesn't exist", "this page does not exist")
 BLOB = re.compile(r"https?://github\.com/([^/]+/[^/]+)/blob/([0-9a-f]{40})/([^#?]+)(?:\?[^#]*)?(?:#(L\d+(?:-L\d+)?))?")
 
 
@@ -29,11 +29,20 @@ class Element:
     attrs: dict[str, str] = field(default_factory=dict)
     children: list = field(default_factory=list)
 
-    def walk(self) -> Iterator[Element]:
-        for child in self.children:
+    def inside(self) -> Iterator[Element | str]:
+        """Elements and strings inside, in order. A stack, as pages may be nested deeper than Python calls."""
+        stack = [iter(self.children)]
+        while stack:
+            child = next(stack[-1], None)
+            if child is None:
+                stack.pop()
+                continue
+            yield child
             if isinstance(child, Element):
-                yield child
-                yield from child.walk()
+                stack.append(iter(child.children))
+
+    def walk(self) -> Iterator[Element]:
+        return (x for x in self.inside() if isinstance(x, Element))
 
     def all(self, *tags: str) -> list[Element]:
         return [e for e in self.walk() if e.tag in tags]
@@ -43,7 +52,7 @@ class Element:
 
     @property
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text for c in self.children)
+        return "".join(x for x in self.inside() if isinstance(x, str))
 
     def has_class(self, name: str) -> bool:
         return name in self.attrs.get("class", "").split()

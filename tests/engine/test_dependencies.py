@@ -64,7 +64,8 @@ def test_gradle():
       runtimeOnly(group = "g", name = "d", version = "3")
       testImplementation 'g:t:1'
       implementation 'g:a:2.0' /* implementation 'g:x:1' */ }"""
-    assert m.build_gradle(build) == [("g:a", "maven", "1.0", "runtime"), ("g:b", "maven", None, "runtime"), ("g:c", "maven", "2", "runtime"), ("g:d", "maven", "3", "runtime"), ("org.springframework.boot:spring-boot-gradle-plugin", "maven", "3.1", "runtime")]
+    build = build.replace("testImpl", "api platform('g:p:1')\n kapt 'g:k:1'\n testImpl")
+    assert m.build_gradle(build) == [("g:a", "maven", "1.0", "runtime"), ("g:c", "maven", "2", "runtime"), ("g:d", "maven", "3", "runtime"), ("org.springframework.boot:spring-boot-gradle-plugin", "maven", "3.1", "runtime")]
     assert ("g:t", "maven", "1", "dev") in m.build_gradle(build, dev=True)
     assert m.settings_gradle("include(\":app\", \":lib:core\")\ninclude ':app', ':x'") == ["app", "lib/core", "x"]
 

@@ -64,7 +64,7 @@ def packed(text, limit, overlap, mark, joiner):
     if tokens(text) <= limit:
         return [text]
     out, buffer = [], []
-    for p in (p for p in text.split(mark) if p.strip(" ")):
+    for p in (p for p in text.split(mark) if p):
         if buffer and sum(map(tokens, buffer)) + tokens(p) > limit:
             out.append(joiner.join(buffer))
             tail = []
@@ -72,9 +72,9 @@ def packed(text, limit, overlap, mark, joiner):
                 if sum(map(tokens, tail)) + tokens(q) > overlap:
                     break
                 tail.insert(0, q)
-            buffer = tail if sum(map(tokens, tail)) + tokens(p) <= limit else []
+            buffer = tail
         buffer.append(p)
-    return out + ([joiner.join(buffer)] if buffer else [])
+    return out + ([joiner.join(buffer)] if buffer else []) or [text]
 
 
 def test_windows_against_a_loop(spark):

@@ -100,10 +100,11 @@ def test_store_rules(spark, engine):
     assert store.status().first()["edge_count"] == -1
     store.touch("o/r", 9)
     assert store.status().first()["indexed_at_ms"] == 9
-    assert store.check_embedder("another") and not store.has_any()
+    linked = store.edges().count()
+    assert store.check_embedder("another") and not store.has_any() and store.edges().count() == linked > 0
     engine.index("o/r", nodes_of(spark, TREE), 3, SHA)
     store.drop("o/r", 4)
-    assert store.chunks().count() == 0 and store.repos().collect() == []
+    assert store.chunks().count() == 0 and store.repos().collect() == [] and store.edges().count() == 0
 
 
 def test_migration_and_upsert(spark):
