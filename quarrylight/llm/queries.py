@@ -104,17 +104,23 @@ targets as (
                 else weight * (select max(level) from levels where not cap / weight <= level) end as target
     from levels),
 placed as (
-    select d.doc_id, d.size, t.source_size, t.target,
+    select d.doc_id, d.key, d.source, d.size, t.source_size, t.target, (t.source_size + 65535) // 65536 as most,
            coalesce(sum(d.size) over (partition by d.source order by d.key, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0)::bigint as start
     from docs d join targets t on d.source is not distinct from t.source),
-served as (
-    select doc_id, size, source_size, target,
-           greatest(0, least(size, floor(target)::bigint - start)) as w0,
-           greatest(0, least(size, floor(target)::bigint - start - source_size)) as w1
-    from placed)
-select doc_id, size, source_size, target, (w0 + w1)::bigint as taken,
-       ((w0 > 0)::int + (w1 > 0)::int)::bigint as turns
-from served
+packets as (
+    select doc_id, size, source, target, most, epoch, start + epoch * source_size as begin, unnest(range(1, (size + most - 1) // most + 1)) as i
+    from placed, (values (0), (1)) e(epoch) where size > 0),
+finished as (
+    select doc_id, source, epoch, least(i * most, size) - (i - 1) * most as words, begin + least(i * most, size) as pos, (begin + least(i * most, size)) / target as finish
+    from packets),
+mixed as (
+    select doc_id, source, epoch, words, sum(words) over (order by finish, source is null, source, pos rows unbounded preceding) - words as before from finished),
+cut as (
+    select doc_id, epoch, sum(greatest(0, least(words, (select floor(sum(source_size)::double * 1.5) from sizes) - before)))::bigint as words
+    from mixed group by doc_id, epoch),
+served as (select doc_id, sum(words)::bigint as taken, count(*) filter (where words > 0) as turns from cut group by doc_id)
+select p.doc_id, p.size, p.source_size, p.target, coalesce(s.taken, 0)::bigint as taken, coalesce(s.turns, 0)::bigint as turns
+from placed p left join served s on p.doc_id = s.doc_id
 """
 
 
