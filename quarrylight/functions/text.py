@@ -73,28 +73,51 @@ def blob_links(text: Column) -> Column:
 WIKI_BASE = "https://wiki.example.org/github.com/"
 
 
+def links_in(text: Column) -> Column:
+    """(label, target) of all Markdown links, in order."""
+    link = r"\[([^\]]+)\]\(([^)]+)\)"
+    return F.transform(F.regexp_extract_all(text, F.lit(link), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, link, 1).alias("label"), F.regexp_extract(x, link, 2).alias("target")))
+
+
 def markdown_links(text: Column, base: str = WIKI_BASE) -> Column:
     """(label, target) of the links to an anchor or to a page of the wiki, in order."""
-    link = r"\[([^\]]+)\]\((#[^)]+|" + re.escape(base) + r"[^)]+)\)"
-    whole = F.regexp_extract_all(text, F.lit(link), F.lit(0))
-    return F.transform(whole, lambda x: F.struct(F.regexp_extract(x, link, 1).alias("label"), F.regexp_extract(x, link, 2).alias("target")))
+    def wanted(link: Column) -> Column:
+        start = F.when(F.startswith(link["target"], F.lit(base)), len(base)).when(F.startswith(link["target"], F.lit("#")), 1)
+        return F.length(link["target"]) > start
 
+    return F.filter(links_in(text), lambda link: F.coalesce(wanted(link), F.lit(False)))
 
-def wiki_link(url: Column, base: str = WIKI_BASE) -> Column:
-    """(repo, anchor) of a page of the wiki, null for other URLs."""
-    page = "^" + re.escape(base) + r"([^/]+)/([^/#?]+)(?:#(.+))?$"
-    owner, name, anchor = (F.regexp_extract(url, page, i) for i in (1, 2, 3))
-    return F.when(url.rlike(page), F.struct(F.concat(owner, F.lit("/"), name).alias("repo"), F.nullif(anchor, F.lit("")).alias("anchor")))
 
+def before_mark(url: Column, marks: str) -> Column:
+    return F.regexp_extract(url, f"^[^{marks}]*", 0)
 
-PROSE_BLOB = r"\[([^\]]+)\]\(https://github\.com/([^/]+/[^/]+)/blob/([0-9a-f]{40})/([^\s)#?]+)(?:\?[^)#]*)?(?:#(L\d+(?:-L\d+)?))?\)"
+
+def wiki_link(url: Column, base: str = WIKI_BASE) -> Column:
+    """(repo, anchor) of a page of the wiki, null for other URLs, such as those with a query or with further parts."""
+    rest = F.when(F.startswith(url, F.lit(base)), F.substr(url, F.lit(len(base) + 1)))
+    page = before_mark(rest, "#")
+    parts = F.split(page, "/")
+    sound = (F.size(parts) == 2) & ~F.contains(page, F.lit("?")) & (F.element_at(parts, 1) != "") & (F.element_at(parts, -1) != "") & (rest != F.concat(page, F.lit("#")))
+    anchor = F.substr(rest, F.length(page) + 2)
+    return F.when(sound, F.struct(page.alias("repo"), F.nullif(anchor, F.lit("")).alias("anchor")))
+
+
+def _blob_of(link: Column) -> Column:
+    """(label, repo, sha, path, line_range) of a link whose target is a file at a commit; null fields if it is not."""
+    whole = before_mark(link["target"], "#")
+    fragment = F.substr(link["target"], F.length(whole) + 1)
+    path = before_mark(whole, "?")
+    parts = F.split(path, "/")
+    at = lambda i: F.get(parts, F.lit(i))
+    file = F.array_join(F.slice(parts, F.lit(8), F.greatest(F.size(parts) - 7, F.lit(0))), "/")
+    sound = F.startswith(path, F.lit("https://github.com/")) & (at(5) == "blob") & at(6).rlike("^[0-9a-f]{40}$") & (file != "") & ~file.rlike(r"\s") & fragment.rlike(r"^(#L\d+(-L\d+)?)?$")
+    return F.struct(
+        link["label"].alias("label"), F.when(sound, F.concat(at(3), F.lit("/"), at(4))).alias("repo"), at(6).alias("sha"), file.alias("path"), F.nullif(F.substr(fragment, F.lit(2)), F.lit("")).alias("line_range"))
 
 
 def prose_blob_links(text: Column) -> Column:
     """(label, repo, sha, path, line_range) of Markdown links to files at a commit, in order."""
-    part = lambda x, i: F.nullif(F.regexp_extract(x, PROSE_BLOB, i), F.lit(""))
-    return F.transform(F.regexp_extract_all(text, F.lit(PROSE_BLOB), F.lit(0)), lambda x: F.struct(
-        part(x, 1).alias("label"), part(x, 2).alias("repo"), part(x, 3).alias("sha"), part(x, 4).alias("path"), part(x, 5).alias("line_range")))
+    return F.filter(F.transform(links_in(text), _blob_of), lambda x: x["repo"].isNotNull())
 
 
 def language_of(css_class: Column) -> Column:

@@ -12,7 +12,7 @@ from quarrylight.operators.scratch import checkpointed
 
 
 def rendered(node_type: str = "type") -> Column:
-    """A node's Markdown."""
+    """A node's Markdown; the templates of links and of diagrams as text are fixed values."""
     c = F.col
     or_empty = lambda x: F.coalesce(x, F.lit(""))
     link = F.when(c("github").isNotNull(), F.concat(

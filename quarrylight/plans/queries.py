@@ -192,9 +192,22 @@ def token_budget_prefix(spark, sf_dir):
     return doc.budgeted(rows, "tokens", ["conv_id"], ["turn"], 200).select("conv_id", "turn", "tokens", "used", "truncated")
 
 
-@registered()
+@registered(f"""with recursive docs as (
+    select doc_id, text, list_filter(string_split(text, chr(10)), lambda p: p <> '') as ps from documents where text is not null),
+parts as (select doc_id, text, ps, list_transform(ps, lambda p: ceil({UNITS.format('p')} / 4.0)::int) as ns from docs),
+sums as (select doc_id, text, ps, list_transform(range(0, len(ns) + 1), lambda i: coalesce(list_sum(ns[1:i]), 0)) as c from parts where ceil({UNITS.format('text')} / 4.0) > 256 and len(ps) > 0),
+-- A window from paragraph s, of which p has been taken, ends before e; c[i + 1] are the tokens of the first i paragraphs.
+w(doc_id, ordinal, s, e) as (
+    select doc_id, 0, 1, coalesce(list_filter(range(2, len(ps) + 1), lambda i: c[i + 1] - c[1] > 256)[1], len(ps) + 1) from sums
+    union all
+    select w.doc_id, w.ordinal + 1, j.s, coalesce(list_filter(range(w.e + 1, len(x.ps) + 1), lambda i: x.c[i + 1] - x.c[j.s] > 256)[1], len(x.ps) + 1)
+    from w join sums x on x.doc_id = w.doc_id and w.e <= len(x.ps), lateral (select list_filter(range(w.s, w.e + 1), lambda k: x.c[w.e] - x.c[k] <= 64)[1] as s) j),
+cut as (
+    select w.doc_id, w.ordinal, array_to_string(x.ps[w.s:w.e - 1], chr(10)) as chunk from w join sums x on x.doc_id = w.doc_id
+    union all select doc_id, 0, text from documents where text is not null and doc_id not in (select doc_id from sums))
+select doc_id, ordinal::int as ordinal, ceil({UNITS.format('chunk')} / 4.0)::int as tokens, md5(chunk) as md5 from cut""")
 def chunk_windows(spark, sf_dir):
-    """Lines as paragraphs, as documents hold no blank lines. A fold; held against a loop in the tests."""
+    """Lines as paragraphs, as documents hold no blank lines."""
     docs = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(doc.windows(F.col("text"), 256, 64, r"\n")).alias("ordinal", "window"))
     return docs.select("doc_id", "ordinal", tx.estimate_tokens(F.col("window")).alias("tokens"), F.md5(F.col("window").cast("binary")).alias("md5"))
 
@@ -408,9 +421,10 @@ def latest_versions(spark, sf_dir):
     return dep.latest_versions(versions)
 
 
-@registered()
+@registered("""select page_id, replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') as title,
+       len(regexp_extract_all(html, '<a [^>]*href="[^"]+"'))::int as n_links, len(regexp_extract_all(html, '<[a-zA-Z]'))::int as n_elements from pages""")
 def html_text_nodes(spark, sf_dir):
-    """Any page through the tree's parser; held against the pages' known form in the tests."""
+    """Any page through the tree's parser."""
     return html_tree.text_nodes(load(spark, sf_dir, "pages"), "page_id")
 
 

@@ -393,7 +393,7 @@ PRIORITY = ["package.json", "pyproject.toml", "requirements.txt", "go.mod", "Car
 
 def parser_of(path: str) -> Callable[..., list[Row]] | None:
     name = path.rpartition("/")[2]
-    return next((parse for pattern, parse in PARSERS if re.search("^(?:.*[/.])?" + pattern if pattern.startswith(r"\.") else "^" + pattern, name)), None)
+    return next((parse for pattern, parse in PARSERS if re.search(pattern if pattern.startswith(r"\.") else "^" + pattern, name)), None)
 
 
 def read_manifests(files: DataFrame, dev: bool = False, optional: bool = True) -> DataFrame:
