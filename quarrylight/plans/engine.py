@@ -1,4 +1,4 @@
-"""The five questions that a client asks, over a store: each returns a table of rows and an envelope."""
+"""The questions that a client asks, over a store: each returns a table of rows and an envelope."""
 
 from __future__ import annotations
 
@@ -81,7 +81,7 @@ class Engine:
         targets = chunks.join(F.broadcast(repos.select("repo")), "repo", "left_semi")
         vectors = ranking.vector_scores(targets.drop("indexed_at_ms"), queries.withColumn("vector", self.encode(F.col("query"))))
         v = ranking.ranked(vectors.select("query_id", *CHUNK_KEY, "score"), ["query_id", "repo"], CHUNK_KEY)
-        index, stats = ranking.postings(chunks, CHUNK_KEY), ranking.corpus_stats(chunks)
+        index, stats = self.store.postings()
         hits = ranking.bm25_scores(index, stats, queries, CHUNK_KEY).join(F.broadcast(repos.select("repo")), "repo", "left_semi")
         b = ranking.ranked(hits if lexical else hits.where("false"), ["query_id", "repo"], CHUNK_KEY)
         window = ranking.fused_window(ranking.fuse(v, b, CHUNK_KEY))

@@ -17,6 +17,7 @@ from quarrylight.operators import documents as doc
 from quarrylight.operators import graph as gr
 from quarrylight.operators import metrics as me
 from quarrylight.operators import ranking as rk
+from quarrylight.operators.scratch import scratch_path
 from quarrylight.sources import html_tree
 from quarrylight.streaming import feeds
 
@@ -109,9 +110,21 @@ def vector_topk_per_repo(spark, sf_dir):
     return rk.ranked(rows, ["query_id", "repo"], ["doc_id"], most=5).select("query_id", "repo", "doc_id", "rank")
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def lexical_index(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The inverted index of the documents, written when the first question of a session needs it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        path = scratch_path(spark, "lexical-index")
+        rk.write_index(corpus(spark, sf_dir), KEY, path)
+        _indexes[key] = path
+    return rk.read_index(spark, _indexes[key])
+
+
 def lexical_scores(spark, sf_dir) -> DataFrame:
-    chunks = corpus(spark, sf_dir)
-    scores = rk.bm25_scores(rk.postings(chunks, KEY), rk.corpus_stats(chunks), asked(spark, sf_dir).select("query_id", "query"), KEY)
+    scores = rk.bm25_scores(*lexical_index(spark, sf_dir), asked(spark, sf_dir).select("query_id", "query"), KEY)
     # Sums of floats differ in the last digits with their order; ties go by document.
     return scores.withColumn("exact", F.col("score")).withColumn("score", F.round("score", 9))
 

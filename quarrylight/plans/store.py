@@ -1,7 +1,7 @@
 """The index as Parquet tables. A build is written to folders of its own, and becomes visible when its status row is
 written, last; a build that breaks off leaves nothing that a reader sees.
 
-chunks/, edges/: repo=.../build_id=.... status/: append only, the latest row of a repository counts. meta/: the same by key.
+chunks/, edges/, postings/, lengths/: repo=.../build_id=.... status/: append only, the latest row of a repository counts. meta/: the same by key.
 """
 
 from __future__ import annotations
@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from quarrylight import schemas
+from quarrylight.functions.text import index_tokens
 from quarrylight.operators.dependencies import first_wins
+from quarrylight.operators.ranking import postings
 
 STATUS = schemas.STATUS + ", written long"
+POSTING = "repo string, page_slug string, section_slug string, ordinal int, dl int, term string, tf long"
+LENGTHS = "repo string, n_chunks long, tokens long"
 META = "key string, value string, written long"
 
 
@@ -59,6 +63,27 @@ class Store:
         builds = latest(rows.where("build_id is not null"), ["repo"]).join(now, "repo", "left_semi").select("repo", "build_id")
         return self._read("edges", f"{schemas.EDGE}, build_id string").join(builds, ["repo", "build_id"], "left_semi").drop("build_id")
 
+    def postings(self) -> tuple[DataFrame, DataFrame]:
+        """The inverted index of all visible chunks, and the statistics of the corpus."""
+        sums = self._visible("lengths", LENGTHS).agg(F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n_chunks"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+        return self._visible("postings", POSTING), sums.select("n_chunks", (F.col("tokens") / F.greatest(F.col("n_chunks"), F.lit(1))).alias("avgdl"))
+
+    def _write_postings(self, chunks: DataFrame) -> None:
+        """chunks (repo, build_id, ...): their postings, sorted by term, and their lengths."""
+        key = ["build_id", *schemas.CHUNK_KEY]
+        found = postings(chunks, key).withColumn("tf", F.col("tf").cast("long"))
+        found.sortWithinPartitions("repo", "build_id", "term").write.mode("append").partitionBy("repo", "build_id").parquet(f"{self.folder}/postings")
+        lengths = chunks.groupBy("repo", "build_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.coalesce(F.sum(F.size(index_tokens(F.col("text")))), F.lit(0)).cast("long").alias("tokens"))
+        lengths.write.mode("append").partitionBy("repo", "build_id").parquet(f"{self.folder}/lengths")
+
+    def backfill_postings(self) -> int:
+        """Indexes the visible builds that were written without postings; returns how many."""
+        done = self._read("lengths", f"{LENGTHS}, build_id string").select("build_id").distinct()
+        builds = [r["build_id"] for r in self.status().where("chunk_count > 0").select("build_id").join(done, "build_id", "left_anti").collect()]
+        if builds:
+            self._write_postings(self._read("chunks", f"{schemas.CHUNK}, build_id string").where(F.col("build_id").isin(builds)))
+        return len(builds)
+
     def rebuild(self, repo: str, chunks: DataFrame, edges: DataFrame, now_ms: int, commit_sha: str | None) -> str:
         """Replaces a repository's chunks and edges together. Vectors of a wrong dimension are an error."""
         build = uuid.uuid4().hex
@@ -66,6 +91,7 @@ class Store:
             F.raise_error(F.lit(f"a vector is not of dimension {self.dimension}")).cast("array<float>"))
         for rows, table in ((chunks.withColumn("embedding", checked), "chunks"), (edges, "edges")):
             rows.withColumns({"repo": F.lit(repo), "build_id": F.lit(build)}).write.mode("append").partitionBy("repo", "build_id").parquet(f"{self.folder}/{table}")
+        self._write_postings(self._read("chunks", f"{schemas.CHUNK}, build_id string").where((F.col("repo") == repo) & (F.col("build_id") == build)))
         n_chunks, n_edges = (self._read(t, f"{s}, build_id string").where((F.col("repo") == repo) & (F.col("build_id") == build)).count() for t, s in (("chunks", schemas.CHUNK), ("edges", schemas.EDGE)))
         self.set_status(repo, build, now_ms, commit_sha, n_chunks, n_edges)
         return build

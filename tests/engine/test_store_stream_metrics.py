@@ -1,6 +1,7 @@
 import datetime
 import json
 import math
+import shutil
 import time
 
 import pytest
@@ -8,9 +9,11 @@ from pyspark.sql import functions as F
 
 from quarrylight.config import Config
 from quarrylight.operators import metrics as me
+from quarrylight.operators import ranking
 from quarrylight.plans import output
 from quarrylight.plans.engine import Engine
 from quarrylight.plans.store import Store, migrated, upserted
+from quarrylight.schemas import CHUNK_KEY
 from quarrylight.streaming import feeds
 from quarrylight.streaming.heartbeat import Heartbeat
 from tests.engine.test_documents_and_graph import SHA, TREE, nodes_of
@@ -107,6 +110,23 @@ def test_store_rules(spark, engine):
     assert store.chunks().count() == 0 and store.repos().collect() == [] and store.edges().count() == 0
 
 
+def test_postings_of_the_store_are_those_of_its_chunks(spark, engine):
+    store = engine.store
+    for n, repo in enumerate(("o/r", "o/s")):
+        engine.index(repo, nodes_of(spark, TREE).withColumn("repo", F.lit(repo)), n, SHA)
+    engine.index("o/s", nodes_of(spark, TREE).withColumn("repo", F.lit("o/s")), 5, SHA)
+    want, stats = ranking.postings(store.chunks(), CHUNK_KEY), ranking.corpus_stats(store.chunks()).first()
+    key = lambda r: tuple(r[c] for c in ("repo", "section_slug", "ordinal", "dl", "term", "tf"))
+    index, found = store.postings()
+    assert sorted(map(key, index.collect())) == sorted(map(key, want.collect()))
+    assert (found.first()["n_chunks"], round(found.first()["avgdl"], 9)) == (stats["n_chunks"], round(stats["avgdl"], 9))
+    assert store.backfill_postings() == 0
+    for table in ("postings", "lengths"):
+        shutil.rmtree(f"{store.folder}/{table}")
+    assert store.postings()[0].isEmpty() and store.backfill_postings() == 2
+    assert sorted(map(key, store.postings()[0].collect())) == sorted(map(key, want.collect()))
+
+
 def test_migration_and_upsert(spark):
     rows = spark.range(200).withColumn("failed", F.col("id") == 0)
     assert migrated(rows, "failed").count() == 199
