@@ -18,7 +18,7 @@ from quarrylight.llm.line_dedup import dedup_lines
 from quarrylight.llm.mixing import words_taken
 from quarrylight.llm.quality import fit_quality, held_out, score_quality
 from quarrylight.llm.url_filters import filter_urls
-from quarrylight.llm.warc import page_number, read_warc, write_warc
+from quarrylight.llm.warc import CHUNK, chunked, http_block, page_number, read_warc, write_warc
 
 #: The ranks that the BPE query and the pipeline encode with.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -73,6 +73,27 @@ def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", page_number("refers_to").alias("refers_to"), "segments")
 
 
+#: Bytes of a record's block before its framed body.
+HEAD = len(http_block(b"", True)) - len(chunked(b""))
+#: The SHA-1 in base 32: five hexadecimal digits are twenty bits, which are four letters.
+OP3_SQL = f"""
+with docs as (select page_id, coalesce(html, '') as payload from pages),
+sized as (select page_id, strlen(payload)::bigint as n, sha1(payload) as h, min(page_id) over (partition by payload) as first from docs),
+digested as (
+    select page_id, n, first,
+           array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+               substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((list_sum(list_transform(range(1, 6), lambda d:
+                   ((instr('0123456789abcdef', substr(h, (g * 5 + d)::int, 1)) - 1) << (20 - 4 * d)::int)))::bigint >> s::int) & 31)::int + 1, 1)), '')), '') as payload_digest
+    from sized),
+framed as (
+    select *, {HEAD} + 5 + n + (n // {CHUNK}) * {len(f"{CHUNK:x}") + 4} + case when n % {CHUNK} > 0 then length(printf('%x', n % {CHUNK})) + 4 else 0 end as block from digested)
+select page_id, n as payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to,
+       case when page_id = first and block > {SEGMENT_BYTES} then ceil(block / {SEGMENT_BYTES}.0)::int else 0 end as segments
+from framed
+"""
+
+
 def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = fit_quality(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
@@ -200,6 +221,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1_SQL,
+        "op3_warc_segments": OP3_SQL,
         "op5_weighted_fair_mix": OP5_SQL,
         "op8_exact_dedup": OP8_SQL,
         "op10_url_filters": OP10_SQL,
