@@ -21,10 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import as_row, lower_ascii, replace_columns
-
-#: Domains with more than one key in so many are salted; there are no more such domains than this.
-SHARE = 1000
+from quarrylight.llm.common import SHARE, as_row, lower_ascii, replace_columns, written
 
 
 def with_host_and_path(df: DataFrame, url: str, row: str = "__row") -> DataFrame:
@@ -81,7 +78,7 @@ def sweep(keys: DataFrame, stacks: DataFrame) -> DataFrame:
 def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """df with host, path, rule (the rule's host and path joined, or null) and verdict (the rule's, else ``default``)."""
     rows = with_host_and_path(df, url)
-    stacks = rule_stacks(rules)
+    stacks = written(rule_stacks(rules), "rule-stacks")
     depth = stacks.agg(F.coalesce(F.max(F.size(F.split("domain", r"\."))), F.lit(0)).alias("depth"))
     labels = F.reverse(F.split("host", r"\."))
     levels = F.sequence(F.lit(1), F.least(F.size("labels"), F.col("depth")))
@@ -94,6 +91,7 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str
         .select("host", "path", F.explode(F.transform(levels, lambda n: F.array_join(F.slice("labels", F.lit(1), n), "."))).alias("domain"))
         .join(stacks.select("domain").distinct(), "domain", "left_semi")
     )
+    keys = written(keys, "url-keys")
     counts = keys.groupBy("domain").count()
     total = counts.agg(F.sum("count").alias("total"))
     # No more than SHARE domains can each hold more than a SHARE-th of the keys, which bounds what is broadcast.
