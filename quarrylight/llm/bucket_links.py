@@ -125,8 +125,9 @@ def meeting_rows(noted: DataFrame, threshold: float) -> DataFrame:
     that they share, which must thus be at least (over(A) + over(B)) / 2. In an order of features that is the same for all
     nodes of p, let the first shared difference be A's i-th; then A and B share no more than rest = d(A) - i + 1.
     """
-    open_ = noted.groupBy("p").agg(F.bool_or(~F.col("linked")).alias("open"), F.min("root").alias("least"), F.max("root").alias("most")).where("open and least < most")
-    noted = noted.join(open_.select("p"), "p", "left_semi")
+    noted = written(noted, "rooted")
+    pivots = noted.groupBy("p").agg(F.bool_or(~F.col("linked")).alias("open"), F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("nodes"))
+    noted = join_groups(noted, written(pivots.where("open and least < most").select("p", "nodes"), "open-pivots"), ["p"], "nodes")
     share = (1 - threshold) / (1 + threshold)
     over = F.size("delta") - share * (F.col("n") - F.col("lacks") + F.col("adds"))
     every = noted.select("p", "id", "root", "linked", "n", F.size("delta").alias("d"), over.alias("over"), F.explode("delta").alias("feature"))
