@@ -1,18 +1,19 @@
 r"""Line dedup: lines that several documents hold stay only in the one with the smallest id.
 
 A line's key is the line without ``[\x20\x09-\x0D]`` at both ends, A-Z lower-cased; keys of at least ``min_chars`` code
-points count. Keys are known by 128-bit hashes. The hashes of lines that at least two documents hold are dealt into
-shards; each shard is indexed by a minimal perfect hash over its distinct line hashes, with compact arrays of
-fingerprints, document counts and first documents. Documents send their line hashes to the shards, which probe the
-arrays and answer with the hashes that the document must drop; lines themselves are never joined or shuffled.
+points count. Keys are known by 128-bit hashes, and each text is hashed once. The distinct hashes of all lines are dealt
+into shards; each shard is indexed by a minimal perfect hash over its hashes, with compact arrays by slot: fingerprints of
+32 bits, document counts of 8 bits (which stop at 255) and first documents. Documents send their line hashes to the shards,
+which probe the arrays and answer with the hashes that the document must drop; lines themselves are never joined or
+shuffled. As all lines are indexed, a probe meets its own slot, and a fingerprint that differs is an error.
 
 Scale: counting combines on the map side, so a line of all documents sends one row a task. Lines with over a thousandth
-of all occurrences that the index covers, of which there can be a thousand at most, stand in several shards, and their
-probes are dealt over those. A shard has a bounded number of keys and probes. Texts are shuffled once, to meet the
-answers, which are hash-joined.
+of all occurrences, of which there can be a thousand at most, stand in several shards, and their probes are dealt over
+those. A shard has a bounded number of keys and probes. Texts are shuffled once, to meet the answers, which are hash-joined.
 
 A null or empty text is one empty line. Null ids come last and count as one document, as do rows that share an id: each
-row keeps the lines that are its document's. Columns of the input stay, but for those named like a result column.
+row keeps the lines that are its document's. Answers for rows with null ids go by a hash of the text, so that none is a
+list of all such rows' lines. Columns of the input stay, but for those named like a result column.
 """
 
 from __future__ import annotations
@@ -25,10 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import WHITE, as_row, order_id, replace_columns, width, written
+from quarrylight.llm.common import NULL_ID, SHARE, WHITE, as_row, order_id, replace_columns, width, written
 from quarrylight.llm.minimal_hash import MinimalHash
 
-SHARE = 1000
 KEYS, PROBES = 250_000, 500_000
 _WHITE = WHITE.encode()
 _MASK = 2**64 - 1
@@ -48,7 +48,7 @@ def _halves(hashes: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def distinct_lines(df: DataFrame, min_chars: int) -> DataFrame:
-    """df (id, text) to (h1, h2, id), one row for each distinct key of a row."""
+    """df (id, text, key) to (h1, h2, id, key), one row for each distinct key of a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,10 +59,14 @@ def distinct_lines(df: DataFrame, min_chars: int) -> DataFrame:
                 hashes += own
                 owners += [i] * len(own)
             h1, h2 = _halves(hashes)
-            ids = batch.column(0).take(pa.array(owners, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), ids], names=["h1", "h2", "id"])
+            at = pa.array(owners, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), batch.column(0).take(at), batch.column(2).take(at)], names=["h1", "h2", "id", "key"])
 
-    return df.mapInArrow(run, "h1 long, h2 long, id long")
+    return df.mapInArrow(run, "h1 long, h2 long, id long, key long")
+
+
+def _prints(h2: np.ndarray) -> np.ndarray:
+    return h2.view(np.uint64).astype(np.uint32)
 
 
 def build_shards(keys: DataFrame) -> DataFrame:
@@ -72,41 +76,38 @@ def build_shards(keys: DataFrame) -> DataFrame:
         h1, h2, n, first = (table.column(c).combine_chunks().to_numpy() for c in ("h1", "h2", "n", "first"))
         index = MinimalHash.of(h1.view(np.uint64), h2.view(np.uint64))
         order = np.argsort(index.slots(h1.view(np.uint64), h2.view(np.uint64)))
-        row = [table.column("shard")[0].as_py(), index.to_bytes(), h2[order].tobytes(), n[order].astype(np.int64).tobytes(), first[order].tobytes()]
+        row = [table.column("shard")[0].as_py(), index.to_bytes(), _prints(h2[order]).tobytes(), np.minimum(n[order], 255).astype(np.uint8).tobytes(), first[order].tobytes()]
         return pa.table({"shard": pa.array(row[:1], pa.int32()), "levels": pa.array([row[1]], pa.list_(pa.binary())), **{k: pa.array([v], pa.binary()) for k, v in zip(("prints", "counts", "firsts"), row[2:], strict=True)}})
 
     return keys.groupBy("shard").applyInArrow(build, "shard int, levels array<binary>, prints binary, counts binary, firsts binary")
 
 
 def probe(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Probes (h1, h2, id) against one shard: the ids with the hashes that they must drop."""
-    none = pa.table({"id": pa.array([], pa.int64()), "h1": pa.array([], pa.int64()), "h2": pa.array([], pa.int64())})
-    if not len(left) or not len(right):
-        return none
-    shard = right.to_pylist()[0]
-    index = MinimalHash.from_bytes(shard["levels"])
-    prints, counts, firsts = (np.frombuffer(shard[k], np.int64) for k in ("prints", "counts", "firsts"))
-    h1, h2, ids = (left.column(c).combine_chunks().to_numpy() for c in ("h1", "h2", "id"))
-    slots = index.slots(h1.view(np.uint64), h2.view(np.uint64))
-    hit = slots >= 0
-    at = slots[hit]
-    drop = (prints[at] == h2[hit]) & (counts[at] >= 2) & (firsts[at] < ids[hit])
-    return pa.table({"id": ids[hit][drop], "h1": h1[hit][drop], "h2": h2[hit][drop]})
+    """Probes (h1, h2, id, key) against one shard: the documents with the hashes that they must drop."""
+    h1, h2, ids, keys = (left.column(c).combine_chunks().to_numpy() for c in ("h1", "h2", "id", "key"))
+    drop = np.zeros(len(left), bool)
+    if len(left):
+        shard = right.to_pylist()[0]
+        index = MinimalHash.from_bytes(shard["levels"])
+        prints, counts, firsts = (np.frombuffer(shard[k], t) for k, t in (("prints", np.uint32), ("counts", np.uint8), ("firsts", np.int64)))
+        slots = index.slots(h1.view(np.uint64), h2.view(np.uint64))
+        if (slots < 0).any() or (prints[slots] != _prints(h2)).any():
+            raise ValueError("a line is not in the index")
+        drop = (counts[slots] >= 2) & (firsts[slots] < ids)
+    return pa.table({"id": ids[drop], "key": keys[drop], "h1": h1[drop], "h2": h2[drop]})
 
 
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10) -> DataFrame:
     """df with the lines that stay as its text, and n_lines (before dropping) and n_dropped."""
     spark = df.sparkSession
-    slim = df.select(order_id(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    lines = distinct_lines(slim, min_chars)
-    index = written(
-        lines.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last"),
-        "line-index",
-    )
+    id_, value = order_id(f"`{doc_id}`"), F.col(f"`{text}`")
+    key = F.when(id_ == NULL_ID, F.xxhash64(value)).otherwise(id_).alias("key")
+    lines = written(distinct_lines(df.select(id_.alias("id"), value.alias("text"), key), min_chars), "line-hashes")
+    # Rows that share an id are one document.
+    held = lines.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
+    index = written(held.select("h1", "h2", "first", "n", F.when(F.col("first") < F.col("last"), F.col("n")).otherwise(F.lit(1)).alias("documents")), "line-index")
     size = index.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    # No more probes than lines.
-    n_lines = slim.agg(F.coalesce(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1), F.lit(0))).first()[0]
-    shards = max(4 * width(spark), -(-size[0] // KEYS), -(-n_lines // PROBES))
+    shards = max(4 * width(spark), -(-size[0] // KEYS), -(-size[1] // PROBES))
     # At most SHARE lines can each have more than a SHARE-th of the occurrences, which bounds what is broadcast.
     hot = F.broadcast(index.where(F.col("n") * SHARE > size[1]).select("h1", "h2", F.ceil(F.col("n") * SHARE / F.lit(max(1, size[1]))).cast("int").alias("copies")))
     copies = F.coalesce("copies", F.lit(1))
@@ -115,15 +116,17 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_c
         return F.pmod(F.xxhash64("h1", salt), F.lit(shards)).cast("int").alias("shard")
 
     spread = index.join(hot, ["h1", "h2"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1)))
-    built = written(build_shards(spread.select(shard(F.col("salt")), "h1", "h2", "n", "first").dropDuplicates(["shard", "h1", "h2"])), "line-shards")
-    probes = lines.join(hot, ["h1", "h2"], "left").select(shard(F.pmod(F.xxhash64("id"), copies).cast("int")), "h1", "h2", "id")
-    answers = probes.groupBy("shard").cogroup(built.groupBy("shard")).applyInArrow(probe, "id long, h1 long, h2 long")
-    drops = answers.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
-    rows = df.select(as_row(df), order_id(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    entries = spread.select(shard(F.col("salt")), "h1", "h2", F.col("documents").alias("n"), "first")
+    # Copies of a hot line may meet in a shard.
+    built = written(build_shards(entries.dropDuplicates(["shard", "h1", "h2"])), "line-shards")
+    probes = lines.join(hot, ["h1", "h2"], "left").select(shard(F.pmod(F.xxhash64("id", "key"), copies).cast("int")), "h1", "h2", "id", "key")
+    answers = probes.groupBy("shard").cogroup(built.groupBy("shard")).applyInArrow(probe, "id long, key long, h1 long, h2 long")
+    drops = answers.groupBy("id", "key").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
+    rows = df.select(as_row(df), id_.alias("id"), value.alias("text"), key)
     # The text goes along once, outside the row.
     others = [c for c in df.columns if c != text]
-    rows = rows.select(F.struct(*[F.col(f"__row.`{c}`").alias(c) for c in others]).alias("__row"), "id", "text")
-    met = rows.join(drops.hint("shuffle_hash"), "id", "left").select("__row", "text", "drops")
+    rows = rows.select(F.struct(*[F.col(f"__row.`{c}`").alias(c) for c in others]).alias("__row"), "id", "text", "key")
+    met = rows.join(drops.hint("shuffle_hash"), ["id", "key"], "left").select("__row", "text", "drops")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
