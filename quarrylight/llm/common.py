@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.operators.scratch import shared_dir
+
 #: ``[\x20\x09-\x0D]``, the white space of the contracts.
 WHITE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -28,18 +27,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a new local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="quarrylight-")
-        atexit.register(shutil.rmtree, found, True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 _scratched: list[str] = []
 
 
@@ -50,10 +37,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes what this session's operators wrote to the shared folder; to be called when their results are stored."""
-    while _scratched:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_scratched.pop())
+def drop_scratch(spark: SparkSession, since: str | None = None) -> None:
+    """Deletes what this session's operators wrote to the shared folder, or what they wrote after the path ``since``; to be
+    called when their results are stored."""
+    first = _scratched.index(since) + 1 if since else 0
+    dropped = _scratched[first:]
+    del _scratched[first:]
+    for name in dropped:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
