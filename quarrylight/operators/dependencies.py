@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.config import DEFAULT
 from quarrylight.functions.text import fuzzy_repo, github_repo, semver_key
+from quarrylight.operators.scratch import checkpointed
 
 # Framework, confidence, repository, match, name or prefix, ecosystem.
 SIGNATURES = [
@@ -69,12 +70,15 @@ def bom_versions(imports: DataFrame, managed: DataFrame, edges: DataFrame, depth
     imports (project, gav, pos): what the project imports. edges (gav, child, pos): what bills import. managed (gav,
     coord, version, pos). Nearer levels win; in a level the later sibling wins, and in a bill the later entry.
     """
-    frontier = first_wins(imports, ["project", "gav"], ["pos"]).select("project", "gav", F.array(F.col("pos").cast("int")).alias("path")).withColumn("depth", F.lit(0))
+    # Each level is written, as the next ones read it several times.
+    frontier = checkpointed(first_wins(imports, ["project", "gav"], ["pos"]).select("project", "gav", F.array(F.col("pos").cast("int")).alias("path")).withColumn("depth", F.lit(0)))
     seen = frontier
     for level in range(1, depth):
         below = frontier.join(edges, "gav").select("project", F.col("child").alias("gav"), F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"))
         below = first_wins(below, ["project", "gav"], ["path"]).join(seen.select("project", "gav"), ["project", "gav"], "left_anti")
-        frontier = below.withColumn("depth", F.lit(level))
+        frontier = checkpointed(below.withColumn("depth", F.lit(level)))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     entries = seen.join(managed, "gav").select("project", "coord", "version", "depth", "path", "pos")
     return first_wins(entries, ["project", "coord"], ["depth", F.col("path").desc(), F.col("pos").desc()]).select("project", "coord", "version", "depth")

@@ -11,12 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.config import DEFAULT
-from quarrylight.functions.text import WIKI_BASE, index_tokens
+from quarrylight.functions.text import WIKI_BASE, index_tokens, query_tokens
 from quarrylight.operators import ranking
 from quarrylight.operators.citations import cited
+from quarrylight.operators.dependencies import detect_frameworks, resolve_and_probe, resolve_repos
 from quarrylight.operators.documents import chunks as chunked
 from quarrylight.operators.documents import contents, serialized, subtree
 from quarrylight.operators.graph import canonical_order, extract_edges, find_neighbours, ready, semantic_order
+from quarrylight.operators.scratch import checkpointed
+from quarrylight.plans.inventory import inventory_page, project_dependencies
 from quarrylight.plans.store import Store
 from quarrylight.schemas import CHUNK_KEY
 
@@ -70,7 +73,9 @@ class Engine:
         return Answer("ready")
 
     def find_chunks(self, queries: DataFrame, now_ms: int, repo: str | None = None, k: int = DEFAULT.default_k, offset: int = 0, lexical: bool = True) -> Answer:
-        """queries (query_id, query) to cited chunks, hybrid if the lexical index is asked for."""
+        """queries (query_id, query) to cited chunks, hybrid if the lexical index is asked for. The envelope has degraded (the
+        scorer failed), queries (a row a query: counts, totals, mode and reason, truncated, and status, which is retry if a
+        row of its window has no full commit; such queries have no rows) and repos (hits by query and repository)."""
         status = self.store.status()
         if status.isEmpty():
             return Answer("no_docs")
@@ -84,8 +89,10 @@ class Engine:
         index, stats = self.store.postings()
         hits = ranking.bm25_scores(index, stats, queries, CHUNK_KEY).join(F.broadcast(repos.select("repo")), "repo", "left_semi")
         b = ranking.ranked(hits if lexical else hits.where("false"), ["query_id", "repo"], CHUNK_KEY)
+        v, b = checkpointed(v), checkpointed(b)
         window = ranking.fused_window(ranking.fuse(v, b, CHUNK_KEY))
-        with_text = window.join(chunks.select(*CHUNK_KEY, "text", "commit_sha", "github_path"), CHUNK_KEY)
+        # A few rows a query, which the scorer, the check of commits and the page all read.
+        with_text = checkpointed(window.join(chunks.select(*CHUNK_KEY, "text", "commit_sha", "github_path"), CHUNK_KEY))
         score = self.score(F.col("query"), F.col("text")) if self.score else None
         ordered = ranking.reranked(with_text, queries, score)
         degraded = False
@@ -95,10 +102,39 @@ class Engine:
                 ordered.agg(F.max("rerank_score")).collect()
             except Exception:
                 ordered, degraded = ranking.reranked(with_text, queries, F.lit(None).cast("double")), True
-        if ranking.citation_state(ordered).where("status = 'retry'").count():
-            return Answer("retry")
-        rows = cited(ranking.page(ordered, k, offset), now_ms, self.base)
-        return Answer("ready", rows, {"degraded": degraded})
+        counted = lambda rows, name: rows.groupBy("query_id", "repo").agg(F.count(F.lit(1)).alias(name))
+        totals = checkpointed(counted(vectors, "vector_total").join(counted(hits, "bm25_total") if lexical else counted(b, "bm25_total"), ["query_id", "repo"], "full").fillna(0))
+        tokens = F.size(query_tokens(F.col("query"), DEFAULT.split_query))
+        reason = F.lit("force_no_bm25") if not lexical else F.when(tokens == 0, "empty_query_tokens")
+        states = checkpointed(ranking.citation_state(ordered))
+        info = queries.select("query_id", reason.cast("string").alias("reason")).join(ranking.envelope(v, b, totals, key=CHUNK_KEY), "query_id", "left").join(states, "query_id", "left").fillna("ok", ["status"])
+        envelope = {"degraded": degraded, "queries": info, "repos": totals}
+        sound = states.where("status = 'ok'")
+        if sound.isEmpty() and not states.isEmpty():
+            return Answer("retry", envelope=envelope)
+        rows = cited(ranking.page(ordered.join(sound.select("query_id"), "query_id", "left_semi"), k, offset), now_ms, self.base)
+        return Answer("ready", rows, envelope)
+
+    def ensure_indexed(self, repo: str, fetch: Callable[[str], tuple[DataFrame, str | None]], now_ms: int, ttl_ms: int = DEFAULT.index_ttl_ms) -> Answer:
+        """Builds the index of a repository that has none or a stale one; fetch gives its nodes and commit."""
+        known = self.store.status().where((F.col("repo") == repo) & (F.col("indexed_at_ms") > now_ms - ttl_ms) & (F.col("edge_count") >= 0))
+        if not known.isEmpty():
+            return Answer("cached")
+        nodes, commit = fetch(repo)
+        return self.index(repo, nodes, now_ms, commit)
+
+    def list_dependencies(self, files: DataFrame, registry: DataFrame, wiki_status: DataFrame, include_dev: bool = DEFAULT.include_dev, include_optional: bool = DEFAULT.include_optional, primary_only: bool = True, offset: int = 0, limit: int = 50) -> Answer:
+        """files (path, content) of a project to a page of its dependencies, with versions, repositories and wikis; the
+        envelope has frameworks and errors (manifests that do not parse)."""
+        manifests = project_dependencies(files, include_dev, include_optional)
+        if manifests.isEmpty():
+            return Answer("no_manifest")
+        found = manifests.where("error is null").drop("error")
+        repos = checkpointed(resolve_repos(found.select("name", "ecosystem").distinct(), registry))
+        probed = resolve_and_probe(found, repos.withColumn("query", F.col("name")), wiki_status)
+        rows = inventory_page(probed, files, primary_only, offset, limit)
+        frameworks = detect_frameworks(found.select(F.lit("project").alias("project"), "name", "ecosystem", "pos")).drop("project")
+        return Answer("ready", rows, {"frameworks": frameworks, "errors": manifests.where("error is not null").select("manifest_path", "error")})
 
     def find_neighbours(self, kind: str, query: str | None = None, **args) -> Answer:
         """One-hop neighbours; with a query, by likeness to it."""

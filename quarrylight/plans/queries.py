@@ -414,12 +414,12 @@ def ndcg_recall(spark, sf_dir):
     return me.ndcg(best, relevant).select("query_id", F.round("recall", 9).alias("recall"), "hit", F.round("ndcg", 6).alias("ndcg"))
 
 
-@registered("""with d as (select doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) as name from documents where lang = 'en'),
+@registered("""with d as (select doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) as name from documents),
 s(framework, pattern, prefix) as (values ('F1', 'the', false), ('F2', 'tion', true), ('F3', 'anth', false)),
 h as (select doc_id, framework, name from d join s on case when prefix then starts_with(name, pattern) else name = pattern end)
 select doc_id as project, framework, count(*) > 0 as found from h group by 1, 2""")
 def framework_matches(spark, sf_dir):
-    words = load(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("project"), F.posexplode(F.split(F.lower("text"), "[^a-z]+")).alias("pos", "name")).withColumn("ecosystem", F.lit("npm"))
+    words = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("project"), F.posexplode(F.split(F.lower("text"), "[^a-z]+")).alias("pos", "name")).withColumn("ecosystem", F.lit("npm"))
     table = [("F1", "high", "a/b", "exact", "the", "npm"), ("F2", "high", "c/d", "prefix", "tion", "npm"), ("F3", "low", "e/f", "exact", "anth", "npm")]
     return dep.detect_frameworks(words, table).select("project", "framework", F.lit(True).alias("found"))
 

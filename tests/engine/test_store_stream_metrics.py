@@ -42,6 +42,65 @@ def test_index_and_ask(spark, engine):
     assert [r["dst_id"] for r in near.rows.collect()] == ["o/r#setup"]
 
 
+def test_envelope_of_answers(spark, engine):
+    engine.index("o/r", nodes_of(spark, TREE), 1000, SHA)
+    queries = spark.createDataFrame([(0, "deep"), (1, "??"), (2, "setup")], "query_id int, query string")
+    answer = engine.find_chunks(queries, 2000)
+    info = {r["query_id"]: r for r in answer.envelope["queries"].collect()}
+    assert [(info[i]["mode"], info[i]["reason"], info[i]["status"], info[i]["truncated"]) for i in range(3)] == [("hybrid", None, "ok", False), ("vector_only", "empty_query_tokens", "ok", False), ("hybrid", None, "ok", False)]
+    assert info[0]["union_total"] == 3 and info[0]["total"] == 3
+    assert {(r["query_id"], r["repo"], r["vector_total"]) for r in answer.envelope["repos"].collect()} == {(i, "o/r", 3) for i in range(3)}
+    flat = engine.find_chunks(queries, 2000, lexical=False)
+    assert {(r["mode"], r["reason"]) for r in flat.envelope["queries"].collect()} == {("vector_only", "force_no_bm25")}
+
+
+def test_a_bad_commit_holds_back_its_queries_only(spark, engine):
+    engine.index("o/r", nodes_of(spark, TREE), 1000, SHA)
+    chunks = engine.store.chunks()
+    engine.store.rebuild("o/s", chunks.where("section_slug = 'setup'").withColumn("commit_sha", F.lit("short")), engine.store.edges().where("false"), 1000, SHA)
+    queries = spark.createDataFrame([(0, "deep")], "query_id int, query string")
+    assert engine.find_chunks(queries, 2000).status == "retry" and engine.find_chunks(queries, 2000, repo="o/r").status == "ready"
+
+
+def test_ensure_indexed(spark, engine):
+    calls = []
+
+    def fetch(repo):
+        calls.append(repo)
+        return nodes_of(spark, TREE), SHA
+
+    assert [engine.ensure_indexed("o/r", fetch, now, 100).status for now in (10, 50, 200)] == ["ready", "cached", "ready"]
+    assert calls == ["o/r", "o/r"]
+
+
+def test_inventory_of_a_project(spark, engine):
+    def pom(name, inner, kind=""):
+        g, a, v = name.split(":")
+        return f"<project><groupId>{g}</groupId><artifactId>{a}</artifactId><version>{v}</version>{kind}{inner}</project>"
+
+    entry = lambda g, a, v, more="": f"<dependency><groupId>{g}</groupId><artifactId>{a}</artifactId>" + (f"<version>{v}</version>" if v else "") + f"{more}</dependency>"
+    managed = lambda *entries: f"<dependencyManagement><dependencies>{''.join(entries)}</dependencies></dependencyManagement>"
+    deps = f"<dependencies>{entry('g', 'x', None)}{entry('g', 'y', None)}{entry('g', 'z', '1')}</dependencies>"
+    files = [
+        ("package.json", '{"dependencies":{"react":"18"},"devDependencies":{"jest":"1"}}'),
+        ("java/pom.xml", pom("o:app:1", managed(entry("b", "bom", "1", "<type>pom</type><scope>import</scope>")) + deps, "<parent><groupId>p</groupId><artifactId>up</artifactId><version>1</version></parent>")),
+        ("parent/pom.xml", pom("p:up:1", managed(entry("g", "x", "5"), entry("g", "y", "6")))), ("bom/pom.xml", pom("b:bom:1", managed(entry("g", "y", "7")))),
+        ("net/A.csproj", '<Project><ItemGroup><PackageReference Include="Lib"/></ItemGroup></Project>'),
+        ("Directory.Packages.props", '<Project><ItemGroup><PackageVersion Include="Lib" Version="3"/></ItemGroup></Project>'), ("broken/package.json", "{"),
+    ]
+    table = spark.createDataFrame(files, "path string, content string")
+    registry = spark.createDataFrame([("react", "npm", 200, '{"repository":{"url":"git+https://github.com/facebook/react.git"}}')], "name string, ecosystem string, http_status int, json string")
+    wiki = spark.createDataFrame([("facebook/react", True, 9)], "repo string, has_wiki boolean, page_count int")
+    answer = engine.list_dependencies(table, registry, wiki)
+    assert [(r["name"], r["resolved"], r["has_wiki"], r["total"], r["manifests_total"]) for r in answer.rows.collect()] == [("react", "facebook/react", True, 1, 5)]
+    assert [r["framework"] for r in answer.envelope["frameworks"].collect()] == ["React"]
+    assert [r["manifest_path"] for r in answer.envelope["errors"].collect()] == ["broken/package.json"]
+    whole = engine.list_dependencies(table, registry, wiki, include_dev=True, primary_only=False)
+    assert [(r["manifest_path"], r["name"], r["declared_version"]) for r in whole.rows.collect()] == [
+        ("package.json", "react", "18"), ("package.json", "jest", "1"), ("java/pom.xml", "g:x", "5"), ("java/pom.xml", "g:y", "7"), ("java/pom.xml", "g:z", "1"), ("net/A.csproj", "Lib", "3")]
+    assert engine.list_dependencies(table.where("path = 'bom/none'"), registry, wiki).status == "no_manifest"
+
+
 def test_a_failing_scorer_degrades(spark, engine):
     engine.index("o/r", nodes_of(spark, TREE), 1000, SHA)
     queries = spark.createDataFrame([(0, "deep")], "query_id int, query string")
