@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm.bpe import encode
-from quarrylight.llm.common import prepare, written
+from quarrylight.llm.common import drop_scratch, prepare, scratch
 from quarrylight.llm.dart_minhash import near_dedup
 from quarrylight.llm.line_dedup import dedup_lines
 from quarrylight.llm.mixing import mix
@@ -63,8 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written to the shared folder before the next."""
+    """The stages over documents, each written to the shared folder before the next; what a stage wrote on its way is then
+    deleted."""
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch(spark, name.replace(" ", "-"))
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        drop_scratch(spark, since=path)
     return STAGES[-1][1](spark, docs, sf_dir)
