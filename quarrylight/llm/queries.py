@@ -15,6 +15,7 @@ from quarrylight.llm.exact_dedup import exact_dedup
 from quarrylight.llm.fingerprints import edited_fingerprints, near_duplicates
 from quarrylight.llm.html_extract import extract
 from quarrylight.llm.line_dedup import dedup_lines
+from quarrylight.llm.merkle import leaf_digest, merkle_manifest
 from quarrylight.llm.mixing import words_taken
 from quarrylight.llm.quality import fit_quality, held_out, score_quality
 from quarrylight.llm.url_filters import filter_urls
@@ -202,6 +203,76 @@ group by rid, page_id, host, path
 """
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    odd = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    rest = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.when(odd, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    found = merkle_manifest(docs, leaf_digest([*rest, F.col("text")]), leaf_digest([*rest, tampered]))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+def _tree(name: str, levels: int) -> str:
+    """Level by level, nodes (g, i, n, h) of {name}0 and up, and what stands on both sides of each node in its run."""
+    out = []
+    for at in range(levels + 1):
+        if at:
+            out.append(f"""{name}{at} as materialized (
+    select g, i // 3 as i, max((n + 2) // 3) as n, sha256(string_agg(h, '' order by i)) as h from {name}{at - 1} where n > 1 group by g, i // 3)""")
+        out.append(f"""{name}{at}_beside as materialized (
+    select g, i, coalesce(string_agg(h, '') over (partition by g, i // 3 order by i rows between unbounded preceding and 1 preceding), '') as l,
+           coalesce(string_agg(h, '') over (partition by g, i // 3 order by i rows between 1 following and unbounded following), '') as r
+    from {name}{at} where n > 1)""")
+    return ",\n".join(out)
+
+
+def _walk(tree: str, walk: str, levels: int) -> str:
+    """{walk}0 (row, g, at, proof, cur) up the tree."""
+    out = []
+    for at in range(levels):
+        out.append(f"""{walk}{at + 1} as materialized (
+    select w.row, w.g, w.at // 3 as at, w.proof || coalesce(b.l || b.r, '') as proof, case when b.g is null then w.cur else sha256(b.l || w.cur || b.r) end as cur
+    from {walk}{at} w left join {tree}{at}_beside b on b.g = w.g and b.i = w.at)""")
+    return ",\n".join(out)
+
+
+#: Levels of the two trees in the SQL: 3^12 documents of a source, 3^8 sources.
+LEVELS, UPPER = 12, 8
+OP13_SQL = f"""
+with bytes as (
+    select doc_id, list_transform(range(1, length(doc_id::varchar) + 1), lambda p: ascii(substr(doc_id::varchar, p::int, 1))::bigint) as codes from documents),
+crc as (
+    select doc_id, list_reduce(list_concat([4294967295::bigint], codes), lambda c, b: list_reduce(list_concat([xor(c, b)], range(0, 8)),
+               lambda x, k: case when x % 2 = 1 then xor(x // 2, 3988292384::bigint) else x // 2 end)) as crc
+    from bytes),
+texts as (
+    select d.doc_id, source, {_field("d.doc_id::varchar")} || {_field("source")} || {_field("lang")} || {_field("n_chars::varchar")} as head, text,
+           case when c.crc % 2 = 1 then replace(text, chr(10), '') else text end as tampered
+    from documents d left join (select distinct doc_id, crc from crc) c on c.doc_id = d.doc_id),
+leaves as (
+    select row_number() over () as row, doc_id, coalesce('=' || source, '-') as g,
+           sha256(head || {_field("text")}) as leaf, sha256(head || {_field("tampered")}) as claim
+    from texts),
+a0 as materialized (
+    select row, doc_id, claim, g, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by g) as n, leaf as h from leaves),
+{_tree("a", LEVELS)},
+subroots as materialized ({" union all ".join(f"select g, h from a{at} where n = 1" for at in range(LEVELS + 1))}),
+s0 as materialized (select '' as g, g as name, row_number() over (order by g) - 1 as i, count(*) over () as n, h from subroots),
+{_tree("s", UPPER)},
+top as ({" union all ".join(f"select h from s{at} where n = 1" for at in range(UPPER + 1))}),
+w0 as materialized (select row, g, i as at, '' as proof, claim as cur from a0),
+{_walk("a", "w", LEVELS)},
+v0 as materialized (select w.row, '' as g, s.i as at, w.proof, w.cur from w{LEVELS} w join s0 s on s.name = w.g),
+{_walk("s", "v", UPPER)}
+select a.doc_id, a.h as leaf, s.h as subroot, t.h as root, sha256(v.proof) as proof_sha256, v.cur as folded_root, v.cur = t.h as verified
+from a0 a join v{UPPER} v on v.row = a.row join subroots s on s.g = a.g cross join top t
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -215,6 +286,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_url_filters": op10_url_filters,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -225,4 +297,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_weighted_fair_mix": OP5_SQL,
         "op8_exact_dedup": OP8_SQL,
         "op10_url_filters": OP10_SQL,
+        "op13_merkle_manifest": OP13_SQL,
     }
