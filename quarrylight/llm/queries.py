@@ -13,6 +13,7 @@ from quarrylight.llm.common import prepare, scratch
 from quarrylight.llm.dart_minhash import near_duplicate_classes
 from quarrylight.llm.exact_dedup import exact_dedup
 from quarrylight.llm.fingerprints import edited_fingerprints, near_duplicates
+from quarrylight.llm.hard_negatives import mine_hard_negatives
 from quarrylight.llm.html_extract import extract
 from quarrylight.llm.line_dedup import dedup_lines
 from quarrylight.llm.merkle import leaf_digest, merkle_manifest
@@ -203,6 +204,34 @@ group by rid, page_id, host, path
 """
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return mine_hard_negatives(rows.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+OP11_SQL = """
+with valid as (
+    select row_number() over () as row, vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label::bigint end as label,
+           list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+    from embeddings
+    where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+    select a.row as anchor, a.vec_id as anchor_id, b.row, b.vec_id, a.label = b.label as same,
+           list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::bigint as score
+    from valid a join valid b on a.vec_id % 100 = 0 and a.row <> b.row),
+positives as (
+    select anchor, anchor_id, row as positive, vec_id as positive_id, score as positive_score from scored where same
+    qualify row_number() over (partition by anchor order by score desc, vec_id nulls last, row) <= 5),
+ranked as (
+    select p.anchor_id, p.positive_id, s.vec_id as negative_id, p.positive_score, s.score as negative_score,
+           row_number() over (partition by p.anchor, p.positive order by s.score desc, s.vec_id nulls last, s.row)::int as rank
+    from positives p join scored s on s.anchor = p.anchor and not s.same
+         and 80 * p.positive_score <= 100 * s.score and 100 * s.score <= 100 * p.positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from ranked where rank <= 5
+"""
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
     odd = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
@@ -286,6 +315,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_url_filters": op10_url_filters,
+        "op11_hard_negatives": op11_hard_negatives,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
@@ -297,5 +327,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_weighted_fair_mix": OP5_SQL,
         "op8_exact_dedup": OP8_SQL,
         "op10_url_filters": OP10_SQL,
+        "op11_hard_negatives": OP11_SQL,
         "op13_merkle_manifest": OP13_SQL,
     }
