@@ -19,6 +19,8 @@ from quarrylight.llm.line_dedup import dedup_lines
 from quarrylight.llm.merkle import leaf_digest, merkle_manifest
 from quarrylight.llm.mixing import words_taken
 from quarrylight.llm.quality import fit_quality, held_out, score_quality
+from quarrylight.llm.toxicity import fit_toxicity, score_toxicity
+from quarrylight.llm.toxicity import held_out as held_out_toxic
 from quarrylight.llm.url_filters import filter_urls
 from quarrylight.llm.warc import CHUNK, chunked, http_block, page_number, read_warc, write_warc
 
@@ -232,6 +234,12 @@ select anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 """
 
 
+def op12_noisy_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return score_toxicity(docs, model).select("doc_id", held_out_toxic("doc_id").alias("held_out"), "score", "predicted", "n_disguised")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
     odd = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
@@ -316,6 +324,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_byte_bpe": op9_byte_bpe,
         "op10_url_filters": op10_url_filters,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_noisy_toxicity": op12_noisy_toxicity,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
