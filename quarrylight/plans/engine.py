@@ -11,14 +11,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.config import DEFAULT
-from quarrylight.functions.text import WIKI_BASE, index_tokens, query_tokens
+from quarrylight.functions.text import WIKI_BASE, index_tokens
 from quarrylight.operators import ranking
 from quarrylight.operators.citations import cited
 from quarrylight.operators.dependencies import detect_frameworks, resolve_and_probe, resolve_repos
 from quarrylight.operators.documents import chunks as chunked
 from quarrylight.operators.documents import contents, serialized, subtree
 from quarrylight.operators.graph import canonical_order, extract_edges, find_neighbours, ready, semantic_order
+from quarrylight.operators.lexical import question
+from quarrylight.operators.lexical import topk as lexical_topk
+from quarrylight.operators.lexical import totals as lexical_totals
 from quarrylight.operators.scratch import checkpointed
+from quarrylight.operators.vector_search import nearest
 from quarrylight.plans.inventory import inventory_page, project_dependencies
 from quarrylight.plans.store import Store
 from quarrylight.schemas import CHUNK_KEY
@@ -75,7 +79,7 @@ class Engine:
     def find_chunks(self, queries: DataFrame, now_ms: int, repo: str | None = None, k: int = DEFAULT.default_k, offset: int = 0, lexical: bool = True) -> Answer:
         """queries (query_id, query) to cited chunks, hybrid if the lexical index is asked for. The envelope has degraded (the
         scorer failed), queries (a row a query: counts, totals, mode and reason, truncated, and status, which is retry if a
-        row of its window has no full commit; such queries have no rows) and repos (hits by query and repository)."""
+        row of its window has no full commit; such queries have no rows) and repos (counts, mode and reason by query and repository)."""
         status = self.store.status()
         if status.isEmpty():
             return Answer("no_docs")
@@ -83,13 +87,15 @@ class Engine:
         if repos.isEmpty():
             return Answer("index_building" if repo else "no_match")
         chunks = self.store.chunks()
-        targets = chunks.join(F.broadcast(repos.select("repo")), "repo", "left_semi")
-        vectors = ranking.vector_scores(targets.drop("indexed_at_ms"), queries.withColumn("vector", self.encode(F.col("query"))))
-        v = ranking.ranked(vectors.select("query_id", *CHUNK_KEY, "score"), ["query_id", "repo"], CHUNK_KEY)
+        names = F.broadcast(repos.select("repo"))
+        targets = chunks.join(names, "repo", "left_semi")
+        state = checkpointed(self.store.lexical_state().join(names, "repo", "left_semi"))
+        # A repository whose postings can't be used is answered by vectors alone; the others stay hybrid.
         index, stats = self.store.postings()
-        hits = ranking.bm25_scores(index, stats, queries, CHUNK_KEY).join(F.broadcast(repos.select("repo")), "repo", "left_semi")
-        b = ranking.ranked(hits if lexical else hits.where("false"), ["query_id", "repo"], CHUNK_KEY)
-        v, b = checkpointed(v), checkpointed(b)
+        own = index.join(F.broadcast(state.where("reason is null").select("repo")), "repo", "left_semi") if lexical else index.where("false")
+        v = checkpointed(nearest(targets, queries.withColumn("vector", self.encode(F.col("query"))), CHUNK_KEY, DEFAULT.window))
+        asking = question((own, stats), queries)
+        b = checkpointed(lexical_topk(asking, CHUNK_KEY, DEFAULT.window).rows)
         window = ranking.fused_window(ranking.fuse(v, b, CHUNK_KEY))
         # A few rows a query, which the scorer, the check of commits and the page all read.
         with_text = checkpointed(window.join(chunks.select(*CHUNK_KEY, "text", "commit_sha", "github_path"), CHUNK_KEY))
@@ -102,13 +108,13 @@ class Engine:
                 ordered.agg(F.max("rerank_score")).collect()
             except Exception:
                 ordered, degraded = ranking.reranked(with_text, queries, F.lit(None).cast("double")), True
-        counted = lambda rows, name: rows.groupBy("query_id", "repo").agg(F.count(F.lit(1)).alias(name))
-        totals = checkpointed(counted(vectors, "vector_total").join(counted(hits, "bm25_total") if lexical else counted(b, "bm25_total"), ["query_id", "repo"], "full").fillna(0))
-        tokens = F.size(query_tokens(F.col("query"), DEFAULT.split_query))
-        reason = F.lit("force_no_bm25") if not lexical else F.when(tokens == 0, "empty_query_tokens")
+        # Every chunk with a vector has a score, so its total is the same for each query.
+        sizes = targets.where("embedding is not null").groupBy("repo").agg(F.count(F.lit(1)).alias("vector_total"))
+        totals = sizes.join(ranking.checked(queries.select("query_id"))).join(lexical_totals(asking, CHUNK_KEY), ["query_id", "repo"], "full").fillna(0)
+        per_repo = checkpointed(ranking.repository_modes(state, queries, v, b, totals, lexical, CHUNK_KEY))
         states = checkpointed(ranking.citation_state(ordered))
-        info = queries.select("query_id", reason.cast("string").alias("reason")).join(ranking.envelope(v, b, totals, key=CHUNK_KEY), "query_id", "left").join(states, "query_id", "left").fillna("ok", ["status"])
-        envelope = {"degraded": degraded, "queries": info, "repos": totals}
+        info = queries.select("query_id").join(ranking.envelope(per_repo, window), "query_id", "left").join(states, "query_id", "left").fillna("ok", ["status"])
+        envelope = {"degraded": degraded, "queries": info, "repos": per_repo}
         sound = states.where("status = 'ok'")
         if sound.isEmpty() and not states.isEmpty():
             return Answer("retry", envelope=envelope)

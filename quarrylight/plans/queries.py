@@ -15,9 +15,11 @@ from quarrylight.functions import text as tx
 from quarrylight.operators import dependencies as dep
 from quarrylight.operators import documents as doc
 from quarrylight.operators import graph as gr
+from quarrylight.operators import lexical as lx
 from quarrylight.operators import metrics as me
 from quarrylight.operators import ranking as rk
 from quarrylight.operators.scratch import scratch_path
+from quarrylight.operators.vector_search import nearest
 from quarrylight.sources import html_tree
 from quarrylight.streaming import feeds
 
@@ -41,14 +43,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: (query_id, query, the embedding that stands for its vector)
-ASKED = [(0, "anth ononen the", 0), (1, "The la; de re_ti enti", 1), (2, "the the erst ???", 2)]
 KEY = ["repo", "doc_id"]
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.createDataFrame(ASKED, "query_id int, query string, vec_id long")
-    return load(spark, sf_dir, "embeddings").join(F.broadcast(table), "vec_id").select("query_id", "query", F.col("embedding").alias("vector"))
+    """The queries: documents with a vector whose id is divisible by 100 ask with their first line and their vector."""
+    own = load(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select("vec_id", F.col("embedding").alias("vector"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1).alias("query"))
+    return docs.join(own, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("query_id"), "query", "vector")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +62,8 @@ def with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select(*KEY).join(vectors, "doc_id")
 
 
-ASKED_SQL = "asked(query_id, query, vec_id) as (values " + ", ".join(f"({i}, '{q}', {v})" for i, q, v in ASKED) + ")"
+ASKED_SQL = """asked as (
+    select doc_id as query_id, split_part(coalesce(text, ''), chr(10), 1) as query, vec_id from documents join embeddings on vec_id = doc_id where vec_id % 100 = 0)"""
 FOLDED = f"translate(lower({{}}), '{tx.FOLD_FROM}', '{tx.FOLD_TO}')"
 TOKENS = r"list_filter(string_split_regex(" + FOLDED.format("text") + r", '[^\p{L}\p{N}]+'), lambda t: t <> '')"
 QUERY_TOKENS = r"list_filter(list_transform(string_split_regex(query, '\s+'), lambda t: " + FOLDED.format(r"regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')") + r"), lambda t: t <> '')"
@@ -73,7 +76,7 @@ scored as (
     from documents d join embeddings e on e.vec_id = d.doc_id cross join asked a join embeddings q on q.vec_id = a.vec_id)"""
 
 BM25_SQL = f"""toks as (select source as repo, doc_id, {TOKENS} as toks from documents),
-stats as (select count(*)::double as n_chunks, avg(len(toks)) as avgdl from toks),
+stats as (select count(*)::double as n_chunks, avg(coalesce(len(toks), 0)) as avgdl from toks),
 terms as (select query_id, term, count(*) as times from (select query_id, unnest({QUERY_TOKENS}) as term from asked) group by all),
 post as (select repo, doc_id, dl, term, count(*) as tf from (select repo, doc_id, len(toks) as dl, unnest(toks) as term from toks) where term in (select term from terms) group by all),
 dfs as (select term, count(*) as df from post group by term),
@@ -83,7 +86,7 @@ lexical as (
     from post join terms using (term) join idfs using (term), stats group by query_id, repo, doc_id)"""
 
 LISTS_SQL = f"""{SCORES_SQL}, {BM25_SQL},
-v as (select * from (select *, row_number() over (partition by query_id, repo order by score desc, doc_id) as rank from scored) where rank <= 50),
+v as (select * from (select *, row_number() over (partition by query_id, repo order by round(score, 12) desc, doc_id) as rank from scored) where rank <= 50),
 b as (select * from (select *, row_number() over (partition by query_id, repo order by round(score, 9) desc, doc_id) as rank from lexical) where rank <= 50)"""
 
 WINDOW_SQL = f"""{LISTS_SQL},
@@ -96,59 +99,77 @@ fwindow as (select * from (select *, row_number() over (partition by query_id or
 
 
 @registered(f"""with {SCORES_SQL}
-select doc_id, repo, round(score, 6) as score from scored where query_id = 0 order by scored.score desc, doc_id limit 20 offset 5""")
+select query_id, doc_id, repo, rank::int as rank, round(score, 6) as score from (
+    select *, row_number() over (partition by query_id order by round(score, 12) desc, repo, doc_id) as rank from scored) where rank > 5 and rank <= 25""")
 def vector_topk(spark, sf_dir):
-    rows = rk.vector_scores(with_vectors(spark, sf_dir), asked(spark, sf_dir).where("query_id = 0"))
-    return rows.orderBy(F.col("score").desc(), "doc_id").offset(5).limit(20).select("doc_id", "repo", F.round("score", 6).alias("score"))
+    """The second page of each query, over all repositories."""
+    best = nearest(with_vectors(spark, sf_dir), asked(spark, sf_dir), KEY, 25, group=None)
+    return best.where("rank > 5").select("query_id", "doc_id", "repo", "rank", F.round("score", 6).alias("score"))
 
 
 @registered(f"""with {SCORES_SQL}
 select query_id, repo, doc_id, rank::int as rank from (
-    select *, row_number() over (partition by query_id, repo order by score desc, doc_id) as rank from scored) where rank <= 5""")
+    select *, row_number() over (partition by query_id, repo order by round(score, 12) desc, doc_id) as rank from scored) where rank <= 5""")
 def vector_topk_per_repo(spark, sf_dir):
-    rows = rk.vector_scores(with_vectors(spark, sf_dir), asked(spark, sf_dir))
-    return rk.ranked(rows, ["query_id", "repo"], ["doc_id"], most=5).select("query_id", "repo", "doc_id", "rank")
+    return nearest(with_vectors(spark, sf_dir), asked(spark, sf_dir), KEY, 5).select("query_id", "repo", "doc_id", "rank")
 
 
-_indexes: dict[tuple[str, str], str] = {}
+_indexes: dict[tuple, str] = {}
+
+
+def _version(spark, sf_dir) -> tuple:
+    """The files of the documents with their sizes and times: another version is another index."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)))
 
 
 def lexical_index(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """The inverted index of the documents, written when the first question of a session needs it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The index of the documents, written when the first question of a session needs it."""
+    key = (spark.sparkContext.applicationId, *_version(spark, sf_dir))
     if key not in _indexes:
         path = scratch_path(spark, "lexical-index")
-        rk.write_index(corpus(spark, sf_dir), KEY, path)
+        lx.write_index(corpus(spark, sf_dir), KEY, path)
         _indexes[key] = path
-    return rk.read_index(spark, _indexes[key])
+    return lx.read_index(spark, _indexes[key])
+
+
+@registered(rf"""with toks as (select source as repo, doc_id, {TOKENS} as toks from documents),
+post as (select repo, doc_id, len(toks) as dl, unnest(toks) as term from toks),
+tfs as (select repo, doc_id, dl, term, count(*) as tf from post group by all)
+select term, repo, count(*) as df, max(tf)::int as max_tf, min(dl)::int as min_dl, sum(tf)::bigint as tokens, sum(dl)::bigint as lengths from tfs group by term, repo""")
+def lexical_blocks(spark, sf_dir):
+    """Builds the index, whatever was built before; a row a term and repository of what its blocks hold."""
+    path = scratch_path(spark, "lexical-index")
+    lx.write_index(corpus(spark, sf_dir), KEY, path)
+    blocks, _ = lx.read_index(spark, path)
+    total = lambda field: F.sum(F.aggregate("docs", F.lit(0).cast("long"), lambda s, d: s + d[field]))
+    return blocks.groupBy("term", "repo").agg(F.sum("n").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"), total("tf").alias("tokens"), total("dl").alias("lengths"))
 
 
-def lexical_scores(spark, sf_dir) -> DataFrame:
-    scores = rk.bm25_scores(*lexical_index(spark, sf_dir), asked(spark, sf_dir).select("query_id", "query"), KEY)
-    # Sums of floats differ in the last digits with their order; ties go by document.
-    return scores.withColumn("exact", F.col("score")).withColumn("score", F.round("score", 9))
+def asking(spark, sf_dir) -> lx.Question:
+    return lx.question(lexical_index(spark, sf_dir), asked(spark, sf_dir).select("query_id", "query"))
+
+
+def lexical_best(spark, sf_dir, k: int, per_group: bool = True) -> DataFrame:
+    return lx.topk(asking(spark, sf_dir), KEY, k, per_group=per_group).rows
 
 
 @registered(f"""with {ASKED_SQL}, {BM25_SQL}
 select query_id, doc_id, rank::int as rank, round(score, 6) as score from (
-    select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from lexical) where rank <= 20""")
+    select *, row_number() over (partition by query_id order by round(score, 9) desc, repo, doc_id) as rank from lexical) where rank <= 20""")
 def bm25_topk(spark, sf_dir):
-    best = rk.ranked(lexical_scores(spark, sf_dir), ["query_id"], ["doc_id"], most=20)
-    return best.select("query_id", "doc_id", "rank", F.round("exact", 6).alias("score"))
+    return lexical_best(spark, sf_dir, 20, False).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
-def lists(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The ranked vector and lexical lists of each query and repository, and their totals before the cut."""
-    vectors = rk.vector_scores(with_vectors(spark, sf_dir), asked(spark, sf_dir))
-    lexical = lexical_scores(spark, sf_dir)
-    totals = vectors.groupBy("query_id", "repo").agg(F.count(F.lit(1)).alias("vector_total")).join(
-        lexical.groupBy("query_id", "repo").agg(F.count(F.lit(1)).alias("bm25_total")), ["query_id", "repo"], "full").fillna(0)
-    return rk.ranked(vectors, ["query_id", "repo"], ["doc_id"]), rk.ranked(lexical, ["query_id", "repo"], ["doc_id"]), totals
+def lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The ranked vector and lexical lists of each query and repository."""
+    return nearest(with_vectors(spark, sf_dir), asked(spark, sf_dir), KEY, rk.DEFAULT.window), lexical_best(spark, sf_dir, rk.DEFAULT.window)
 
 
 @registered(f"with {WINDOW_SQL} select query_id, repo, doc_id, vector_rank::int as vector_rank, bm25_rank::int as bm25_rank, round(rrf, 9) as rrf, fused_pos::int as fused_pos from fwindow")
 def hybrid_rrf(spark, sf_dir):
-    v, b, _ = lists(spark, sf_dir)
+    v, b = lists(spark, sf_dir)
     return rk.fused_window(rk.fuse(v, b, KEY)).select("query_id", "repo", "doc_id", "vector_rank", "bm25_rank", F.round("rrf", 9).alias("rrf"), "fused_pos")
 
 
@@ -159,24 +180,33 @@ scored2 as (
 final as (select *, row_number() over (partition by query_id order by rerank_score desc, fused_pos) as pos from scored2)
 select query_id, doc_id, pos::int as pos, rerank_score, rerank_score as effective_score from final where pos > 4 and pos <= 12""")
 def hybrid_rerank_page(spark, sf_dir):
-    v, b, _ = lists(spark, sf_dir)
+    v, b = lists(spark, sf_dir)
     window = rk.fused_window(rk.fuse(v, b, KEY)).join(corpus(spark, sf_dir), KEY)
     return rk.page(rk.reranked(window, asked(spark, sf_dir)), k=8, offset=4).select("query_id", "doc_id", "pos", "rerank_score", "effective_score")
 
 
-@registered(f"""with {LISTS_SQL},
-totals as (
-    select query_id, repo, coalesce(vt, 0) as vt, coalesce(bt, 0) as bt from
-    (select query_id, repo, count(*) as vt from scored group by all) full join (select query_id, repo, count(*) as bt from lexical group by all) using (query_id, repo)),
+@registered(f"""with {WINDOW_SQL},
+-- Every repository with vectors is a target; its lexical question is asked whenever the query has a token.
+targets as (select distinct d.source as repo from documents d join embeddings e on e.vec_id = d.doc_id where d.source is not null),
+pairs as (select a.query_id, t.repo, case when len({QUERY_TOKENS}) = 0 then 'empty_query_tokens' end as reason from asked a cross join targets t),
+vt as (select query_id, repo, count(*) as vector_total from scored group by all), bt as (select query_id, repo, count(*) as bm25_total from lexical group by all),
+vc as (select query_id, repo, count(*) as vector_count from v group by all), bc as (select query_id, repo, count(*) as bm25_count from b group by all),
 overlap as (select query_id, repo, count(*) as n from v join b using (query_id, repo, doc_id) group by all),
-per as (select query_id, repo, vt, bt, vt + greatest(0, bt - coalesce(n, 0)) as rt, case when bt > 0 then 'hybrid' else 'vector_only' end as mode from totals left join overlap using (query_id, repo))
-select query_id, (select count(*) from v where v.query_id = per.query_id) as vector_count, (select count(*) from b where b.query_id = per.query_id) as bm25_count,
-       sum(rt)::bigint as repo_total, sum(vt)::bigint as union_total, least(sum(rt), 50)::bigint as total,
-       max(vt) > 50 or sum(least(rt, 50)) > 50 as truncated, case when count(distinct mode) > 1 then 'partial' else min(mode) end as mode
+per as (
+    select query_id, repo, reason, coalesce(vector_total, 0) as vt, coalesce(vector_count, 0) as vc, coalesce(bm25_count, 0) as bc,
+           coalesce(vector_total, 0) + case when reason is null then greatest(0, coalesce(bm25_total, 0) - coalesce(n, 0)) else 0 end as rt
+    from pairs left join vt using (query_id, repo) left join bt using (query_id, repo) left join vc using (query_id, repo) left join bc using (query_id, repo) left join overlap using (query_id, repo))
+select query_id, 60 as rrf_k, sum(vc)::bigint as vector_count, sum(bc)::bigint as bm25_count, (select count(*) from fwindow f where f.query_id = per.query_id) as fused_count,
+       sum(rt)::bigint as repo_total, sum(vt)::bigint as union_total, least(sum(rt), 50)::bigint as total, max(vt) > 50 or sum(least(rt, 50)) > 50 as truncated,
+       case when count(reason) = 0 then 'hybrid' when count(reason) = count(*) then 'vector_only' else 'partial' end as mode, case when count(reason) = count(*) then min(reason) end as reason
 from per group by query_id""")
 def hybrid_envelope(spark, sf_dir):
-    v, b, totals = lists(spark, sf_dir)
-    return rk.envelope(v, b, totals, key=KEY)
+    v, b = lists(spark, sf_dir)
+    queries, chunks = asked(spark, sf_dir).select("query_id", "query"), with_vectors(spark, sf_dir).where("repo is not null")
+    sizes = chunks.groupBy("repo").agg(F.count(F.lit(1)).alias("vector_total"))
+    totals = sizes.join(rk.checked(queries.select("query_id"))).join(lx.totals(asking(spark, sf_dir), KEY), ["query_id", "repo"], "full").fillna(0)
+    per_repo = rk.repository_modes(sizes.select("repo", F.lit(None).cast("string").alias("reason")), queries, v, b, totals, key=KEY)
+    return rk.envelope(per_repo, rk.fused_window(rk.fuse(v, b, KEY)))
 
 
 @registered("""with e as (select user_id::varchar as repo, epoch_us(ts) // 1000 as ms from events)
@@ -400,7 +430,7 @@ def tumbling_30s(spark, sf_dir):
 
 
 @registered(f"""with {ASKED_SQL}, {BM25_SQL},
-ranked as (select query_id, doc_id, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as pos from lexical),
+ranked as (select query_id, doc_id, row_number() over (partition by query_id order by round(score, 9) desc, repo, doc_id) as pos from lexical),
 rel as (select query_id, doc_id from asked cross join (select doc_id from labels where quality = 1)),
 wanted as (select query_id, count(*) as n_relevant from rel group by query_id),
 found as (select query_id, count(*) as n_found, sum(1 / log2(pos + 1)) as dcg from ranked join rel using (query_id, doc_id) where pos <= 8 group by query_id)
@@ -408,9 +438,9 @@ select query_id, round(coalesce(n_found, 0) / n_relevant, 9) as recall, coalesce
        round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n_relevant, 8) + 1), lambda i: 1 / log2(i + 1))), 6) as ndcg
 from wanted left join found using (query_id)""")
 def ndcg_recall(spark, sf_dir):
-    best = rk.ranked(lexical_scores(spark, sf_dir), ["query_id"], ["doc_id"], most=8, rank="pos").select("query_id", F.col("doc_id").alias("item"), "pos")
+    best = lexical_best(spark, sf_dir, 8, False).withColumnRenamed("rank", "pos").select("query_id", F.col("doc_id").alias("item"), "pos")
     good = load(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("item"))
-    relevant = spark.createDataFrame([(q[0],) for q in ASKED], "query_id int").join(good)
+    relevant = F.broadcast(asked(spark, sf_dir).select("query_id")).join(good)
     return me.ndcg(best, relevant).select("query_id", F.round("recall", 9).alias("recall"), "hit", F.round("ndcg", 6).alias("ndcg"))
 
 
@@ -443,6 +473,6 @@ def html_text_nodes(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid retrieval with reranking, the first page of results."""
-    v, b, _ = lists(spark, sf_dir)
+    v, b = lists(spark, sf_dir)
     window = rk.fused_window(rk.fuse(v, b, KEY)).join(corpus(spark, sf_dir), KEY)
     return rk.page(rk.reranked(window, asked(spark, sf_dir))).select("query_id", "pos", "repo", "doc_id", "rerank_score", "effective_score")

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from quarrylight import schemas
-from quarrylight.functions.text import index_tokens
+from quarrylight.operators import lexical
 from quarrylight.operators.dependencies import first_wins
-from quarrylight.operators.ranking import postings
+from quarrylight.operators.scratch import checkpointed
 
 STATUS = schemas.STATUS + ", written long"
-POSTING = "repo string, page_slug string, section_slug string, ordinal int, dl int, term string, tf long"
-LENGTHS = "repo string, n_chunks long, tokens long"
+BLOCK = "term string, repo string, segment long, n long, max_tf int, min_dl int, docs array<struct<page_slug: string, section_slug: string, ordinal: int, tf: int, dl: int>>"
+LENGTHS = "repo string, n_chunks long, tokens long, n_blocks long"
 META = "key string, value string, written long"
 
 
@@ -63,18 +63,41 @@ class Store:
         builds = latest(rows.where("build_id is not null"), ["repo"]).join(now, "repo", "left_semi").select("repo", "build_id")
         return self._read("edges", f"{schemas.EDGE}, build_id string").join(builds, ["repo", "build_id"], "left_semi").drop("build_id")
 
+    def _blocks(self) -> DataFrame:
+        """The blocks of all builds that can be read; a file that can't be read has none."""
+        try:
+            return self.spark.read.schema(f"{BLOCK}, build_id string").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(f"{self.folder}/postings")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], f"{BLOCK}, build_id string")
+
     def postings(self) -> tuple[DataFrame, DataFrame]:
-        """The inverted index of all visible chunks, and the statistics of the corpus."""
+        """The lexical index (blocks, statistics) of all visible chunks."""
         sums = self._visible("lengths", LENGTHS).agg(F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n_chunks"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
-        return self._visible("postings", POSTING), sums.select("n_chunks", (F.col("tokens") / F.greatest(F.col("n_chunks"), F.lit(1))).alias("avgdl"))
+        builds = self.status().select("repo", "build_id")
+        visible = self._blocks().join(builds, ["repo", "build_id"], "left_semi").drop("build_id")
+        return visible, sums.select("n_chunks", (F.col("tokens") / F.greatest(F.col("n_chunks"), F.lit(1))).alias("avgdl"))
+
+    def lexical_state(self) -> DataFrame:
+        """A row a visible repository: repo, reason why its postings can't be used, or null. They can't if none were written or
+        if blocks of them are lost. Only the narrow columns of blocks are read."""
+        builds = self.status().where("chunk_count > 0").select("repo", "build_id")
+        there = self._blocks().groupBy("repo", "build_id").agg(F.count("segment").alias("found"))
+        wanted = self._read("lengths", f"{LENGTHS}, build_id string").select("repo", "build_id", "n_blocks")
+        joined = builds.join(wanted, ["repo", "build_id"], "left").join(there, ["repo", "build_id"], "left")
+        reason = F.when(F.col("n_blocks").isNull(), "no_postings").when(F.coalesce("found", F.lit(0)) != F.col("n_blocks"), "damaged_postings")
+        return joined.select("repo", reason.alias("reason"))
 
     def _write_postings(self, chunks: DataFrame) -> None:
-        """chunks (repo, build_id, ...): their postings, sorted by term, and their lengths."""
-        key = ["build_id", *schemas.CHUNK_KEY]
-        found = postings(chunks, key).withColumn("tf", F.col("tf").cast("long"))
-        found.sortWithinPartitions("repo", "build_id", "term").write.mode("append").partitionBy("repo", "build_id").parquet(f"{self.folder}/postings")
-        lengths = chunks.groupBy("repo", "build_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.coalesce(F.sum(F.size(index_tokens(F.col("text")))), F.lit(0)).cast("long").alias("tokens"))
-        lengths.write.mode("append").partitionBy("repo", "build_id").parquet(f"{self.folder}/lengths")
+        """chunks (repo, build_id, ...): their blocks, sorted by term, and their lengths, which come last and make them count."""
+        by, item = ["repo", "build_id"], schemas.CHUNK_KEY[1:]
+        indexed = checkpointed(lexical.forward(chunks, [*by, *item]))
+        made = checkpointed(lexical.blocks(indexed, by, item))
+        made.sortWithinPartitions(*by, "term").write.mode("append").partitionBy(*by).parquet(f"{self.folder}/postings")
+        sums = indexed.groupBy(*by).agg(F.count(F.lit(1)).alias("n_chunks"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens"))
+        lengths = sums.join(made.groupBy(*by).agg(F.count(F.lit(1)).alias("n_blocks")), by, "left").fillna(0, ["n_blocks"])
+        lengths.write.mode("append").partitionBy(*by).parquet(f"{self.folder}/lengths")
 
     def backfill_postings(self) -> int:
         """Indexes the visible builds that were written without postings; returns how many."""
