@@ -6,15 +6,18 @@ tag, role, class or id of an enclosing element) are boilerplate; of the rest, li
 decide: bad, good, near-good or short. Second pass: headings, and blocks that are short or near-good, inherit the label
 of the nearest decided neighbour, first of those in their own container (the innermost div, section or the like), then
 of all; if there are as near ones of both labels, near-good blocks are content and others not. On a page without a good
-block, the near-good ones with the most stop words are good. Blocks of an article or
-main element are content unless the first pass found them bad, which there only boilerplate marks and lists of links can do.
+block, the near-good ones with the most stop words are good; without any, what no mark or link density rules out. Blocks of an
+article or main element are content unless they are marked as boilerplate; lists of references stay.
 
 A class, an id or a form around an article or main element, or on it, is a wrapper's and does not make it boilerplate;
-names like has-sidebar, no-sidebar or content-sidebar-wrap are of layouts and say nothing. Articles in parts named for
+names like has-sidebar, no-sidebar or content-sidebar-wrap are of layouts and say nothing. Inside main text, a class or id marks a
+block only if one of its names as a whole is that of comments, adverts, related pages, sharing or the like: an article's section
+"social-history" is no social bar. A link counts over the blocks that it spans, if the page closes it. Articles in parts named for
 reader comments, related pages or adverts are boilerplate only on pages with other main text.
 
 Nothing is dropped or capped but boilerplate blocks. White space in a block becomes one space; character references are
-decoded. Null pages count as empty, malformed pages are read as far as they make sense. Scale: one pass, no shuffle.
+decoded. Null pages count as empty, malformed pages are read as far as they make sense, in time linear in their length. Repeated
+rows are extracted alike, an empty table gives no rows. Scale: one pass, no shuffle.
 Columns of the input stay, but for those named like a result column, which are replaced.
 """
 
@@ -39,8 +42,6 @@ BLOCKS = frozenset("address article aside blockquote body caption center col col
 UNSEEN = frozenset("script style noscript template iframe object embed svg math canvas audio video map head title select textarea button datalist".split())
 RAW = frozenset("script style noscript template iframe svg math title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that menus are made of.
-ENTRIES = frozenset("li dt dd td th option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BAD_TAGS = frozenset("nav header footer aside form menu dialog".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert alertdialog dialog form toolbar".split())
@@ -56,6 +57,13 @@ BAD_NAMES = re.compile(
 )
 #: Of these names, those of parts that hold articles of others.
 PART_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|comment\w*|respond|replies|reply|disqus|discussion|reactions|related|recommended|outbrain|taboola|kommentar\w*|comentarios?|werbung|anzeigen?|publicit\w*|publicidad)(?:$|[\s_-])", re.I)
+#: Whole names that mark a block inside main text.
+INSIDE_NAMES = re.compile(
+    r"(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|comments?|commentlist|respond|replies|reply|disqus|discussion|reactions|related|recommended|outbrain|taboola|kommentare?|comentarios?|werbung|anzeigen?|publicit\w*|publicidad"
+    r"|newsletter|subscribe|subscription|signup|login|share|sharing|social|sidebar|breadcrumbs?|pagination|pager|cookies?|consent|gdpr|popup|modal|navbar|nav|navigation|menu(?:[_-]items?[\w-]*)?|toolbar|skip|hidden)"
+    r"(?:[_-](?:ad|box|links?|buttons?|bar|list|section|area|form|container|wrapper|block|unit|slot|posts?|pages|articles?|notice|banner|thread|title|\d+))*",
+    re.I,
+)
 #: What a name says of the layout of its element: parts that it has or lacks, and the wrapper of the content and of parts.
 _LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without)[_-]\S*|(?<!\S)(?=\S*content)\S+[_-]wrap(?:per)?(?!\S)|(?<!\S)\S+[_-]layout(?!\S)", re.I)
 #: How firmly an element is boilerplate: not, unless main text is inside, unless it is the only main text, by all means.
@@ -67,7 +75,9 @@ STOP_WORDS = frozenset(
     "al así como con cuando de del desde donde el ella en entre era es esta este esto fue ha han hasta hay la las le lo los más me mi muy no nos o para pero por porque que se ser si sin sobre son su sus también te tiene un una y ya".split()
 )
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)(?:>|\Z))", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|\b(hidden)\b", re.S)
+#: Possessive, so that a long name without a value is passed over once.
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+", re.S)
+_ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Elements that a new block of a kind closes if it is still open.
@@ -77,12 +87,12 @@ CLOSES = {"p": BLOCKS - {"body", "html"}, "li": frozenset(["li"]), "dt": frozens
 class Block:
     """A block's text, letters inside links, and where it stands."""
 
-    __slots__ = ("parts", "linked", "heading", "bad", "good", "home", "entry", "text", "label", "dense")
+    __slots__ = ("parts", "linked", "heading", "bad", "good", "home", "text", "label", "dense")
 
-    def __init__(self, heading: bool, bad: int, good: int, home: int, entry: bool):
+    def __init__(self, heading: bool, bad: int, good: int, home: int):
         self.parts: list[str] = []
         self.linked = 0
-        self.heading, self.bad, self.good, self.home, self.entry = heading, bad, good, home, entry
+        self.heading, self.bad, self.good, self.home = heading, bad, good, home
         self.text = self.label = ""
         self.dense = 0.0
 
@@ -92,23 +102,31 @@ def _within(bad: int, good: int) -> int:
     return CLEAN if bad == WRAPPER and good or bad == PART and good == MAIN else bad
 
 
-def _marks(name: str, attributes: str) -> tuple[int, int]:
+def _named(value: str, inside: bool) -> int:
+    """How firmly a class or id says boilerplate, of an element inside main text or elsewhere."""
+    value = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)
+    if inside:
+        marked = [n for n in value.split() if INSIDE_NAMES.fullmatch(n)]
+        return CLEAN if not marked else PART if any(PART_NAMES.search(n) for n in marked) else WRAPPER
+    value = _LAYOUT.sub(" ", value)
+    return CLEAN if not BAD_NAMES.search(value) else PART if PART_NAMES.search(value) else WRAPPER
+
+
+def _marks(name: str, attributes: str, inside: bool = False) -> tuple[int, int]:
     """How firmly an element's own tag and attributes say boilerplate, and whether they say main text."""
     bad = (WRAPPER if name == "form" else BAD) if name in BAD_TAGS else CLEAN
     good = GOOD_NAMES.get(name, 0)
     if attributes:
-        for key, value, hidden in _ATTRIBUTE.findall(attributes):
+        for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
-            if hidden or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+            if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                 bad = BAD
             elif key == "role":
                 if value in BAD_ROLES:
                     bad = max(bad, WRAPPER if value == "form" else BAD)
                 good = max(good, GOOD_NAMES.get(value, 0))
             elif key in ("class", "id") and name not in ("body", "html"):
-                value = _LAYOUT.sub(" ", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value))
-                if BAD_NAMES.search(value):
-                    bad = max(bad, PART if PART_NAMES.search(value) else WRAPPER)
+                bad = max(bad, _named(value, inside))
     return _within(bad, good), good
 
 
@@ -117,8 +135,9 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     # Of each open element: name, how firmly it is in boilerplate, whether it is in main text, in a heading, and the number of its container.
     opened: list[tuple[str, int, int, bool, int]] = []
+    # links: 0 outside of links, 1 in a link that ends with the block, 2 in one that the page closes.
     links = serial = 0
-    block = Block(False, CLEAN, 0, 0, False)
+    block = Block(False, CLEAN, 0, 0)
     # How many elements of a name are open, and the ends that the rest of the page does not have: nothing is searched twice.
     n_open: Counter[str] = Counter()
     endless: set[str] = set()
@@ -130,7 +149,7 @@ def blocks_of(page: str) -> list[Block]:
             block.text = text
             found.append(block)
         _, bad, good, heading, home = opened[-1] if opened else ("", CLEAN, 0, False, 0)
-        block = Block(heading, bad, good, home, bool(opened) and opened[-1][0] in ENTRIES)
+        block = Block(heading, bad, good, home)
 
     def end_of(name: str, pattern: re.Pattern, at: int) -> re.Match | None:
         end = None if name in endless else pattern.search(page, at)
@@ -168,7 +187,12 @@ def blocks_of(page: str) -> list[Block]:
         if name == "br":
             put(" ")
         elif name == "a":
-            links = 0 if closing else 1
+            links = 0
+            keys = {key.lower() for key, _ in _ATTRIBUTE.findall(tag[3] or "")}
+            # A named place is no link.
+            if not closing and ("href" in keys or not keys & {"name", "id"}):
+                following = _ANCHOR.search(page, at)
+                links = 2 if following and following[1] else 1
         elif name in BLOCKS:
             if closing:
                 while n_open[name]:
@@ -182,8 +206,8 @@ def blocks_of(page: str) -> list[Block]:
             else:
                 while opened and name in CLOSES.get(opened[-1][0], ()):
                     n_open[opened.pop()[0]] -= 1
-                bad, good = _marks(name, tag[3])
                 _, was_bad, was_good, was_heading, home = opened[-1] if opened else ("", CLEAN, 0, False, 0)
+                bad, good = _marks(name, tag[3], bool(was_good))
                 serial += name in CONTAINERS
                 # What stands in an article's own header, as a title does, is not the page's header.
                 if name == "header" and was_good and not was_bad:
@@ -194,7 +218,8 @@ def blocks_of(page: str) -> list[Block]:
                 n_open[name] += 1
                 opened.append((name, max(bad, _within(was_bad, good)), max(good, was_good), name in HEADINGS or was_heading, serial if name in CONTAINERS else home))
                 close()
-            links = 0
+            if links == 1:
+                links = 0
     opened.clear()
     close()
     parts = [b for b in found if b.bad == PART and b.good]
@@ -210,8 +235,8 @@ def _first(block: Block) -> str:
     n = len(block.text)
     linked = block.linked / n
     if linked > LINKS:
-        # A paragraph of an article may be a link; a list of links is a menu wherever it stands.
-        return "short" if block.good and not block.entry else "bad"
+        # An article may hold a list of links, such as its references.
+        return "short" if block.good else "bad"
     if block.heading:
         return "heading"
     words = _WORD.findall(block.text.lower())
@@ -253,12 +278,14 @@ def classify(blocks: list[Block]) -> None:
         near = [b for b in blocks if b.label == "near"]
         for block in [b for b in near if b.dense >= MANY] or near:
             block.label = "good"
+    # Where even that is lacking, short blocks and headings are all there is.
+    wordless = not any(b.label == "good" for b in blocks)
     found = []
     for block, own, anywhere in zip(blocks, _nearest(blocks, True), _nearest(blocks, False), strict=True):
         label = own or anywhere
         if block.label in ("good", "bad"):
             label = block.label
-        elif block.good or not label:
+        elif block.good or not label or wordless:
             # Without a decided neighbour, what is on the page is all there is.
             label = "good"
         elif label == "both":
