@@ -156,15 +156,6 @@ def resolve_and_probe(deps: DataFrame, repos: DataFrame, wiki_status: DataFrame)
     return deps.join(known, ["name", "ecosystem"], "left").join(wiki_status.select(F.col("repo").alias("resolved"), "has_wiki", "page_count"), "resolved", "left")
 
 
-def inventory(manifests: DataFrame, primary_only: bool = True, offset: int = 0, limit: int = 50) -> DataFrame:
-    """manifests (manifest_idx, manifest_path, deps array) to a page of dependencies, of the primary manifest, with the
-    totals: total (of the primary) and manifests_total (of all)."""
-    totals = manifests.agg(F.sum(F.size("deps")).alias("manifests_total"), F.sum(F.when(F.col("manifest_idx") == 0, F.size("deps")).otherwise(0)).alias("total"))
-    rows = manifests.where("manifest_idx = 0") if primary_only else manifests
-    listed = rows.select("manifest_idx", "manifest_path", F.posexplode("deps").alias("pos", "dep")).select("manifest_idx", "manifest_path", "pos", "dep.*")
-    return listed.orderBy("manifest_idx", "pos").offset(offset).limit(limit).join(F.broadcast(totals))
-
-
 def wanted_kinds(deps: DataFrame, include_dev: bool = DEFAULT.include_dev, include_optional: bool = DEFAULT.include_optional) -> DataFrame:
     kinds = ["runtime"] + ["dev"] * include_dev + ["optional"] * include_optional
     return deps.where(F.coalesce("kind", F.lit("runtime")).isin(*kinds))
@@ -188,29 +179,7 @@ def watch_set(roots: DataFrame, cap: int = DEFAULT.watch_cap) -> DataFrame:
     return first_wins(roots, ["path"], ["class", "root_idx", "pos"]).orderBy("class", "root_idx", "pos").limit(cap)
 
 
-def owning_roots(changed: DataFrame, watched: DataFrame) -> DataFrame:
-    """The root that a changed path belongs to: of several, the first."""
-    return changed.join(watched.groupBy("path").agg(F.min("root_idx").alias("root_idx")), "path")
-
-
-def expand_members(spark: SparkSession, patterns: list[str], folders: DataFrame, cap: int = DEFAULT.workspace_cap) -> DataFrame:
-    """Folders (path) that a workspace's globs name: ``*`` stays in a part of the path, ``!`` takes away. Patterns with
-    ``**``, absolute ones and such with ``..`` are passed over."""
-    import re
-
-    def regex(glob: str) -> str:
-        return "^" + "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c) for c in glob.strip("/").removeprefix("./")) + "$"
-
-    sound = [p for p in patterns if p.strip("!") and "**" not in p and not p.lstrip("!").startswith("/") and ".." not in p.lstrip("!").split("/")]
-    wanted, unwanted = [p for p in sound if not p.startswith("!")], [p[1:] for p in sound if p.startswith("!")]
-    turn = F.coalesce(*[F.when(F.col("path").rlike(regex(p)), F.lit(i)) for i, p in enumerate(wanted)], F.lit(None).cast("int")) if wanted else F.lit(None).cast("int")
-    rows = folders.withColumn("turn", turn).where("turn is not null")
-    for p in unwanted:
-        rows = rows.where(~F.col("path").rlike(regex(p)))
-    return rows.orderBy("turn", "path").limit(cap)
-
-
-#: Folders that a scan does not enter.
+# Folders that a scan does not enter.
 IGNORED = ("node_modules", ".git", "dist", "build", "target", "vendor", ".venv", "venv", "__pycache__", ".next", ".gradle", "bin", "obj")
 
 

@@ -130,17 +130,26 @@ class Engine:
         return self.index(repo, nodes, now_ms, commit)
 
     def list_dependencies(self, files: DataFrame, registry: DataFrame, wiki_status: DataFrame, include_dev: bool = DEFAULT.include_dev, include_optional: bool = DEFAULT.include_optional, primary_only: bool = True, offset: int = 0, limit: int = 50) -> Answer:
-        """files (path, content) of a project to a page of its dependencies, with versions, repositories and wikis; the
-        envelope has frameworks and errors (manifests that do not parse)."""
-        manifests = project_dependencies(files, include_dev, include_optional)
-        if manifests.isEmpty():
+        """files (path, content) of a project to a page of its first scan's dependencies (and all of the others, unless ``primary_only``), with versions,
+        repositories and wikis. The envelope has manifests (a row a scan: its root, type and number of dependencies), frameworks
+        (of each scan) and errors (manifests that do not parse)."""
+        scanned = project_dependencies(files, include_dev, include_optional)
+        if scanned.isEmpty():
             return Answer("no_manifest")
-        found = manifests.where("error is null").drop("error")
+        found = scanned.where("name is not null").drop("error")
         repos = checkpointed(resolve_repos(found.select("name", "ecosystem").distinct(), registry))
         probed = resolve_and_probe(found, repos.withColumn("query", F.col("name")), wiki_status)
-        rows = inventory_page(probed, files, primary_only, offset, limit)
-        frameworks = detect_frameworks(found.select(F.lit("project").alias("project"), "name", "ecosystem", "pos")).drop("project")
-        return Answer("ready", rows, {"frameworks": frameworks, "errors": manifests.where("error is not null").select("manifest_path", "error")})
+        rows = inventory_page(probed, primary_only, offset, limit)
+        manifests = scanned.groupBy("manifest_idx", "project_root", "manifest_type").agg(F.count("name").alias("total"))
+        # Members of a scan are told apart by their place: the first dependency that shows a framework counts.
+        order = (F.col("file_pos").cast("long") * 2**31 + F.col("pos")).alias("pos")
+        frameworks = detect_frameworks(found.select(F.col("manifest_idx").alias("project"), "name", "ecosystem", order)).withColumnRenamed("project", "manifest_idx").drop("pos")
+        return Answer("ready", rows, {"manifests": manifests, "frameworks": frameworks, "errors": scanned.where("error is not null").select("manifest_path", "error")})
+
+    def resolve_repo(self, names: DataFrame, registry: DataFrame, wiki_status: DataFrame) -> Answer:
+        """names (name, ecosystem) to their repositories, with whether they have a wiki; null where none was found or probed."""
+        repos = checkpointed(resolve_repos(names.select("name", "ecosystem").distinct(), registry))
+        return Answer("ready", resolve_and_probe(names, repos.withColumn("query", F.col("name")), wiki_status))
 
     def find_neighbours(self, kind: str, query: str | None = None, **args) -> Answer:
         """One-hop neighbours; with a query, by likeness to it."""

@@ -1,15 +1,15 @@
-"""The dependency inventory of a project: manifests parsed, versions filled from parents, bills of materials and central
-files, one page of it listed."""
+"""The dependency inventory of a project: its scans found, their manifests parsed, versions filled from parents, bills of
+materials and central files, one page of it listed."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.operators.dependencies import bom_versions, fill_versions, wanted_kinds, with_parents
+from quarrylight.operators.dependencies import bom_versions, fill_versions, first_wins, wanted_kinds, with_parents
 from quarrylight.operators.scratch import checkpointed
-from quarrylight.sources.manifests import primary_manifest, read_manifests
-from quarrylight.sources.workspaces import central_versions, read_poms
+from quarrylight.sources.manifests import read_manifests
+from quarrylight.sources.workspaces import central_versions, read_poms, scans
 
 
 def pom_versions(files: DataFrame) -> DataFrame:
@@ -26,25 +26,33 @@ def pom_versions(files: DataFrame) -> DataFrame:
 
 
 def project_dependencies(files: DataFrame, include_dev: bool, include_optional: bool) -> DataFrame:
-    """manifest_path, pos, name, ecosystem, declared_version, kind, error: a row a dependency or a failed manifest."""
-    rows = checkpointed(read_manifests(files, dev=include_dev, optional=include_optional))
+    """manifest_idx, project_root, manifest_type, manifest_path, file_pos, pos, name, ecosystem, declared_version, kind, error: a row a dependency of a scan, a failed
+    manifest, or a scan without dependencies (name and error null). Versions come from parents, bills and central files; of
+    several members of a scan that declare a dependency, the first counts."""
+    found = checkpointed(scans(files))
+    own = files.join(found.select("path").distinct(), "path", "left_semi")
+    rows = checkpointed(read_manifests(own, dev=include_dev, optional=include_optional))
     wanted = wanted_kinds(rows.where("error is null"), include_dev, include_optional)
+    # POMs know each other by coordinates, wherever they lie.
     versions = checkpointed(pom_versions(files))
     filled = checkpointed(fill_versions(wanted.withColumn("project", F.col("manifest_path")), versions).drop("project"))
     central = central_versions(filled.where("ecosystem = 'nuget'"), files)
     columns = rows.columns
     whole = filled.where("ecosystem <> 'nuget'").select(*columns).unionByName(central.select(*columns))
-    return checkpointed(whole.unionByName(rows.where("error is not null").select(*columns)))
-
-
-def inventory_page(deps: DataFrame, files: DataFrame, primary_only: bool, offset: int, limit: int) -> DataFrame:
-    """A page of dependencies in the order of their manifests (the project's own first, then by path), with the number of
-    rows that it is taken from (total) and of all (manifests_total)."""
-    top = primary_manifest(files.where(~F.contains("path", F.lit("/")))).select(F.col("path").alias("manifest_path"), F.lit(True).alias("primary"))
-    placed = deps.join(F.broadcast(top), "manifest_path", "left").withColumn("primary", F.coalesce("primary", F.lit(False)))
-    totals = placed.agg(F.count(F.lit(1)).alias("manifests_total"), F.count_if("primary").alias("own"))
-    rows = placed.where("primary") if primary_only else placed
-    total = F.col("own") if primary_only else F.col("manifests_total")
-    page = rows.orderBy(F.col("primary").desc(), "manifest_path", "pos").offset(offset).limit(limit)
+    placed = found.withColumnRenamed("path", "manifest_path").join(whole, "manifest_path")
+    first = first_wins(placed, ["manifest_idx", "name", "ecosystem"], ["file_pos", "pos"])
+    failed = found.withColumnRenamed("path", "manifest_path").join(rows.where("error is not null"), "manifest_path")
+    done = first.unionByName(failed.select(*first.columns))
+    bare = found.select("manifest_idx", "project_root", "manifest_type").distinct().join(done.select("manifest_idx").distinct(), "manifest_idx", "left_anti")
+    return checkpointed(done.unionByName(bare, allowMissingColumns=True))
+
+
+def inventory_page(deps: DataFrame, primary_only: bool, offset: int, limit: int) -> DataFrame:
+    """A page of the dependencies of the first scan, and, unless ``primary_only``, all of the other scans, with the number of the first scan's (total) and of
+    all (manifests_total)."""
+    there = deps.where("name is not null")
+    totals = there.agg(F.count(F.lit(1)).alias("manifests_total"), F.count_if(F.col("manifest_idx") == 0).alias("total"))
+    page = there.where("manifest_idx = 0").orderBy("file_pos", "pos", "name").offset(offset).limit(limit)
+    rows = page if primary_only else page.unionByName(there.where("manifest_idx > 0"))
     # One row of totals.
-    return page.join(F.broadcast(totals)).withColumn("total", total).drop("own", "primary")
+    return rows.join(F.broadcast(totals)).orderBy("manifest_idx", "file_pos", "pos", "name")

@@ -18,6 +18,7 @@ from quarrylight.operators import dependencies as dep
 from quarrylight.operators import documents as doc
 from quarrylight.operators import graph as gr
 from quarrylight.operators.scratch import scratch_path
+from quarrylight.plans.inventory import inventory_page, project_dependencies
 from quarrylight.plans.queries import load, registered
 from quarrylight.plans.store import Store, upserted
 from quarrylight.sources import manifests, workspaces
@@ -63,16 +64,45 @@ def manifest_rows(spark, sf_dir):
     return manifests.read_manifests(files).where("error is null").drop("error")
 
 
-@registered("""select 'p' || s_suppkey as folder, 'p' || s_suppkey || '/package.json' as path from supplier
-union all select 'p' || s_suppkey || '/gradle', 'p' || s_suppkey || '/gradle/libs.versions.toml' from supplier where s_suppkey % 2 = 0""")
+@registered("""with files(p, name) as (values (1, '/pom.xml'), (2, '/App.sln'), (3, '/A.csproj'), (4, '/Cargo.toml'), (5, '/composer.json'), (6, '/go.work'), (7, '/go.mod'), (8, '/pyproject.toml'), (9, '/package.json'), (10, '/Gemfile.lock')),
+-- A folder a supplier, with the manifests of every second to last place that its key leaves; the order is the documented one.
+there as (select 'p' || s_suppkey as folder, p, 'p' || s_suppkey || name as path from supplier, files where (s_suppkey * 7 + p * p) % 5 < 2 or p = 10)
+select folder, arg_min(path, p) as path from there group by folder
+union all select 'c' || s_suppkey, 'c' || s_suppkey || '/gradle/libs.versions.toml' from supplier where s_suppkey % 2 = 0""")
 def primary_manifests(spark, sf_dir):
-    key = F.concat(F.lit("p"), F.col("s_suppkey").cast("string"))
-    names = F.array(*[F.lit(n) for n in ("/Gemfile", "/pyproject.toml", "/package.json", "/README.md")])
-    names = F.when(F.col("s_suppkey") % 2 == 0, F.concat(names, F.array(F.lit("/gradle/libs.versions.toml")))).otherwise(names)
-    files = load(spark, sf_dir, "supplier").select(F.explode(F.transform(names, lambda n: F.concat(key, n))).alias("path")).withColumn("content", F.lit(""))
+    key = F.col("s_suppkey")
+    names = ["/pom.xml", "/App.sln", "/A.csproj", "/Cargo.toml", "/composer.json", "/go.work", "/go.mod", "/pyproject.toml", "/package.json", "/Gemfile.lock"]
+    there = [F.when(((key * 7 + p * p) % 5 < 2) | F.lit(p == 10), F.concat(F.lit("p"), key.cast("string"), F.lit(n))) for p, n in enumerate(names, 1)]
+    there += [F.when(key % 2 == 0, F.concat(F.lit("c"), key.cast("string"), F.lit(n))) for n in ("/gradle/libs.versions.toml", "/README.md")]
+    files = load(spark, sf_dir, "supplier").select(F.explode(F.array_compact(F.array(*there))).alias("path")).withColumn("content", F.lit(""))
     return manifests.primary_manifest(files).select("folder", "path")
 
 
+@registered("""with s as (select s_suppkey as k, s_nationkey as n, 'p' || s_suppkey as root, row_number() over (order by 'p' || s_suppkey) - 1 as idx from supplier),
+found as (
+    select idx, root, 'package.json' as type, root || '/package.json' as path, 'lib-' || (k % 7) as name, 'npm' as ecosystem, k::varchar as version from s where k % 3 <> 0
+    union all select idx, root, 'package.json', root || '/package.json', 'n' || n, 'npm', '1' from s where k % 3 <> 0
+    union all select idx, root, 'package.json', root || '/packages/a/package.json', 'm' || k, 'npm', '2' from s where k % 3 <> 0
+    union all select idx, root, 'pom.xml', root || '/pom.xml', 'g:a' || k, 'maven', '1.' || k from s where k % 3 = 0)
+select idx::int as manifest_idx, root as project_root, type as manifest_type, path as manifest_path, name, ecosystem, version as declared_version,
+       (select count(*) from found where idx = 0) as total, (select count(*) from found) as manifests_total from found""")
+def project_inventory(spark, sf_dir):
+    """The whole page of a project with a folder a supplier: a workspace with a member that declares a dependency again, for every third a POM that goes
+    before it, and manifests in folders below a root or in ignored ones."""
+    key, root = F.col("s_suppkey").cast("string"), F.concat(F.lit("p"), F.col("s_suppkey").cast("string"))
+    made = lambda path, *content: F.struct(F.concat(root, F.lit(path)).alias("path"), F.concat(*[F.lit(c) if isinstance(c, str) else c for c in content]).alias("content"))
+    lib = (F.col("s_suppkey") % 7).cast("string")
+    files = [
+        made("/package.json", '{"dependencies": {"lib-', lib, '": "', key, '", "n', F.col("s_nationkey").cast("string"), '": "1"}, "devDependencies": {"d": "1"}, "workspaces": ["packages/*"]}'),
+        made("/packages/a/package.json", '{"dependencies": {"lib-', lib, '": "old", "m', key, '": "2"}}'), made("/deep/go.mod", "require x.org/y v1"),
+        F.when(F.col("s_suppkey") % 3 == 0, made("/pom.xml", "<project><dependencies><dependency><groupId>g</groupId><artifactId>a", key, "</artifactId><version>1.", key, "</version></dependency></dependencies></project>")),
+        F.when(F.col("s_suppkey") % 5 == 0, made("/node_modules/z/package.json", '{"dependencies": {"hidden": "1"}}')),
+    ]
+    table = load(spark, sf_dir, "supplier").select(F.explode(F.array_compact(F.array(*files))).alias("f")).select("f.*")
+    page = inventory_page(project_dependencies(table, False, True), False, 0, 50)
+    return page.select("manifest_idx", "project_root", "manifest_type", "manifest_path", "name", "ecosystem", "declared_version", "total", "manifests_total")
+
+
 @registered("""select 's' || s_suppkey || '/package.json' as root, 's' || s_suppkey || '/packages/' || m || '/package.json' as member, (case m when 'a' then 0 else 1 end)::int as pos
 from supplier, (values ('a'), ('c')) v(m)""")
 def workspace_packages(spark, sf_dir):

@@ -69,43 +69,27 @@ def package_json(source: str, dev: bool = False, optional: bool = True) -> list[
     return [(n, "npm", v if isinstance(v, str) else None, kind) for group, kind, wanted in groups if wanted for n, v in _group(root, group).items()]
 
 
-def _requirement(line: str) -> tuple[str, str | None]:
-    """Name and version of a requirement, split at the first version operator."""
-    found = re.search(r"===|==|!=|<=|>=|~=|<|>", line)
-    return (line[: found.start()].strip(), line[found.start() :].strip()) if found else (line.strip(), None)
+#: A requirement: name, extras, a version specifier or an address, and a marker after a semicolon.
+_REQUIREMENT = re.compile(r"(?P<name>[A-Za-z0-9][A-Za-z0-9._-]*)\s*(?P<extras>\[[^\]]*\])?\s*(?:(?P<spec>(?:===?|[!<>~]=|[<>])[^;]*?)|@\s*(?P<url>\S+))?\s*(?:;.*)?")
+
+
+def _requirements(texts: list, kind: str, bare: bool = False) -> list[Row]:
+    """The texts that are requirements; ``bare``: without those with extras or an address."""
+    found = [_REQUIREMENT.fullmatch(x.strip()) for x in texts if isinstance(x, str)]
+    return [(r["name"], "pypi", r["spec"], kind) for r in found if r and not (bare and (r["extras"] or r["url"]))]
 
 
 def requirements_txt(source: str, dev: bool = False) -> list[Row]:
-    out = []
-    for line in source.splitlines():
-        line = line.split("#", 1)[0].strip()
-        if not line or line.startswith(("-e", "-r", "--")):
-            continue
-        name, version = _requirement(line.split(";", 1)[0].strip())
-        if re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", name):
-            out.append((name, "pypi", version, "runtime"))
-    return out
+    return _requirements([re.sub(r"#.*", "", line) for line in source.splitlines()], "runtime", bare=True)
 
 
 def pyproject_toml(source: str, dev: bool = False) -> list[Row]:
     root = _toml(source)
     project = root.get("project", {})
-
-    def listed(items: list, kind: str) -> list[Row]:
-        rows = []
-        for item in items:
-            if not isinstance(item, str):
-                continue
-            head = item.split(";", 1)[0].split("@", 1)[0]
-            name, version = _requirement(re.sub(r"\[[^\]]*\]", "", head))
-            if name:
-                rows.append((name, "pypi", version, kind))
-        return rows
-
     declared = project.get("dependencies", []) if isinstance(project, dict) else []
     if declared:
         more = [x for g in project.get("optional-dependencies", {}).values() for x in g] if dev else []
-        return listed(declared, "runtime") + listed(more, "dev")
+        return _requirements(declared, "runtime") + _requirements(more, "dev")
     poetry = root.get("tool", {}).get("poetry", {})
     groups = [(poetry.get("dependencies", {}), "runtime")]
     if dev:
@@ -387,8 +371,10 @@ PARSERS: list[tuple[str, Callable[..., list[Row]]]] = [
     (r"Cargo\.toml$", cargo_toml), (r"composer\.json$", composer_json), (r"pom[\w.-]*\.xml$", pom_xml), (r"\.versions\.toml$", versions_toml),
     (r"build\.gradle(\.kts)?$", build_gradle), (r"Gemfile\.lock$", gemfile_lock), (r"Gemfile$", gemfile), (r"\.csproj$", csproj),
 ]
-#: Which manifest of a folder is its own, first to last.
-PRIORITY = ["package.json", "pyproject.toml", "requirements.txt", "go.mod", "Cargo.toml", "composer.json", "pom.xml", "libs.versions.toml", "build.gradle.kts", "build.gradle", "Gemfile.lock", "Gemfile", ".sln", ".csproj"]
+# Which manifest of a folder is its own, first to last; names that begin with a dot are endings. The first ten are documented, the others
+# come after them.
+PRIORITY = ["pom.xml", ".sln", ".csproj", "Cargo.toml", "composer.json", "go.work", "go.mod", "pyproject.toml", "package.json", "Gemfile.lock"]
+PRIORITY += ["libs.versions.toml", "build.gradle.kts", "build.gradle", "requirements.txt", "Gemfile"]
 
 
 def parser_of(path: str) -> Callable[..., list[Row]] | None:
@@ -421,17 +407,19 @@ def read_manifests(files: DataFrame, dev: bool = False, optional: bool = True) -
     return files.select("path", "content").mapInPandas(run, schema)
 
 
+def placed_manifests(files: DataFrame) -> DataFrame:
+    """files (path, ...) that are manifests by name, with folder (whose manifest it is: a version catalogue in ``gradle`` is that of the folder above), turn
+    (by priority) and type."""
+    name = F.regexp_extract("path", "[^/]*$", 0)
+    fits = [(name == p if not p.startswith(".") else F.endswith(name, F.lit(p)), p) for p in PRIORITY]
+    turn = F.coalesce(*[F.when(fit, F.lit(i)) for i, (fit, _) in enumerate(fits)])
+    kind = F.coalesce(*[F.when(fit, F.lit(p.removeprefix("."))) for fit, p in fits])
+    folder = F.regexp_replace(F.regexp_replace("path", r"(^|/)gradle/libs\.versions\.toml$", "$1libs.versions.toml"), "/?[^/]*$", "")
+    return files.withColumns({"folder": folder, "turn": turn, "type": kind}).where("turn is not null")
+
+
 def primary_manifest(files: DataFrame) -> DataFrame:
     """files (path, content) to one a folder, the first by priority, then by name."""
     from quarrylight.operators.dependencies import first_wins
 
-    name = F.regexp_extract("path", "[^/]*$", 0)
-    turn = F.coalesce(*[F.when(name == p if not p.startswith(".") else F.endswith(name, F.lit(p)), F.lit(i)) for i, p in enumerate(PRIORITY)])
-    rows = files.withColumns({"folder": F.regexp_replace("path", "/?[^/]*$", ""), "turn": turn}).where("turn is not null")
-    return first_wins(rows, ["folder"], ["turn", "path"]).drop("turn")
-
-
-def from_folder(spark, folder: str) -> DataFrame:
-    """All files below a folder as (path, content), paths relative to it."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return rows.select(F.regexp_replace("path", "^.*?" + re.escape(folder.rstrip("/")) + "/", "").alias("path"), F.col("content").cast("string").alias("content"))
+    return first_wins(placed_manifests(files), ["folder"], ["turn", "path"]).drop("turn", "type")

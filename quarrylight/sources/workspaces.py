@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.config import DEFAULT
-from quarrylight.operators.dependencies import first_wins
+from quarrylight.operators.dependencies import first_wins, project_roots
+from quarrylight.operators.scratch import checkpointed
 from quarrylight.sources import manifests as m
 
 
@@ -107,6 +108,31 @@ def workspace_members(files: DataFrame, cap: int = DEFAULT.workspace_cap) -> Dat
     return placed.where(F.col("pos") < cap).select("root", F.col("path").alias("member"), "pos")
 
 
+def scans(files: DataFrame, depth: int = DEFAULT.scan_depth) -> DataFrame:
+    """files (path, content) of a tree to the manifests of its scans: manifest_idx (from 0, the nearest folders first), project_root, manifest_type,
+    path, file_pos.
+
+    A scan begins in every folder with a manifest that lies in no other such one; its manifest is the first by priority. A workspace's members belong to
+    its scan, after its own manifest. A solution is a list of members, and no manifest where none of them is there; a Gradle build's members are not read.
+    A pnpm workspace file that names packages is asked instead of package.json."""
+    named = m.placed_manifests(files.select("path"))
+    roots = project_roots(named.select(F.concat("folder", F.when(F.col("folder") == "", "").otherwise("/"), F.lit("manifest")).alias("path")), depth)
+    own = named.join(roots, "folder")
+    above = F.when(F.contains("root", F.lit("/")), F.regexp_replace("root", "/[^/]*$", "")).otherwise("")
+    tool = F.regexp_extract("root", "[^/]*$", 0)
+    members = checkpointed(workspace_members(files).withColumn("folder", above).withColumn("by", F.when(tool.startswith("pnpm"), "package.json").when(F.endswith(tool, F.lit(".sln")), "sln").otherwise(tool)).withColumn("pnpm", tool.startswith("pnpm")))
+    listed = members.where("by = 'sln'").select(F.col("root").alias("path")).distinct()
+    usable = own.where("type <> 'sln'").unionByName(own.where("type = 'sln'").join(listed, "path", "left_semi").select(*own.columns))
+    primary = checkpointed(first_wins(usable, ["folder"], ["turn", "path"]))
+    asked = members.join(members.groupBy("folder", "by").agg(F.max("pnpm").alias("by_pnpm")), ["folder", "by"]).where("pnpm = by_pnpm")
+    joined = primary.select("folder", "type", F.col("path").alias("matched")).join(asked, (F.col("type") == F.col("by")) & primary["folder"].eqNullSafe(asked["folder"]) & (F.col("pnpm") | (F.col("matched") == F.col("root")))).select(primary["folder"], F.col("member").alias("path"), (F.col("pos") + 1).alias("file_pos"))
+    first = primary.where("type not in ('sln', 'go.work')").select("folder", "path", F.lit(0).alias("file_pos"))
+    # A row a scan of one tree.
+    numbers = primary.select("folder", "type", (F.row_number().over(Window.orderBy("depth", "folder")) - 1).alias("manifest_idx"))
+    placed = first_wins(first.unionByName(joined), ["folder", "path"], ["file_pos"])
+    return numbers.join(placed, "folder", "left").select("manifest_idx", F.col("folder").alias("project_root"), F.col("type").alias("manifest_type"), "path", "file_pos")
+
+
 def read_poms(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """POMs (path, content) to three tables: parents (path, gav, parent), imports (path, gav, child, pos) and managed
     versions (path, gav, coord, version, pos)."""

@@ -132,17 +132,11 @@ def test_registries(spark):
 def test_frameworks_members_and_roots(spark):
     deps = spark.createDataFrame([("p", "react", "npm", 1), ("p", "next", "npm", 0), ("p", "org.springframework.boot:spring-boot-starter-web", "maven", 2), ("p", "org.springframework.boot:spring-boot-starter-x", "maven", 3), ("p", "react", "pypi", 4)], "project string, name string, ecosystem string, pos int")
     assert {(r["framework"], r["pos"]) for r in dep.detect_frameworks(deps).collect()} == {("React", 1), ("next.js", 0), ("Spring Boot", 2)}
-    folders = spark.createDataFrame([(p,) for p in ("packages/a", "packages/b", "packages/b/c", "apps/x", "other")], "path string")
-    assert [r["path"] for r in dep.expand_members(spark, ["packages/*", "!packages/b", "apps/**", "/abs", "../up", "other"], folders).collect()] == ["packages/a", "other"]
     files = spark.createDataFrame([("a/package.json",), ("a/sub/package.json",), ("b/c/go.mod",), ("node_modules/x/package.json",), ("a2/pom.xml",)], "path string")
     assert sorted(r["folder"] for r in dep.project_roots(files).collect()) == ["a", "a2", "b/c"]
 
 
-def test_inventory_and_watch_set(spark):
-    rows = [(0, "m0", [("a", "1"), ("b", "2"), ("c", "3")]), (1, "m1", [("d", "4")])]
-    manifests = spark.createDataFrame(rows, "manifest_idx int, manifest_path string, deps array<struct<name: string, version: string>>")
-    got = dep.inventory(manifests, offset=1, limit=5).orderBy("pos").collect()
-    assert [(r["name"], r["total"], r["manifests_total"]) for r in got] == [("b", 3, 4), ("c", 3, 4)]
+def test_kinds_and_watch_set(spark):
     roots = spark.createDataFrame([("x", 2, 0, 0), ("x", 0, 1, 0), ("y", 1, 0, 0), ("z", 0, 0, 0)], "path string, class int, root_idx int, pos int")
     assert [r["path"] for r in dep.watch_set(roots, 2).collect()] == ["z", "x"]
     kinds = spark.createDataFrame([("a", "runtime"), ("b", "dev"), ("c", "optional"), ("d", None)], "name string, kind string")

@@ -82,23 +82,27 @@ def test_inventory_of_a_project(spark, engine):
     managed = lambda *entries: f"<dependencyManagement><dependencies>{''.join(entries)}</dependencies></dependencyManagement>"
     deps = f"<dependencies>{entry('g', 'x', None)}{entry('g', 'y', None)}{entry('g', 'z', '1')}</dependencies>"
     files = [
-        ("package.json", '{"dependencies":{"react":"18"},"devDependencies":{"jest":"1"}}'),
-        ("java/pom.xml", pom("o:app:1", managed(entry("b", "bom", "1", "<type>pom</type><scope>import</scope>")) + deps, "<parent><groupId>p</groupId><artifactId>up</artifactId><version>1</version></parent>")),
-        ("parent/pom.xml", pom("p:up:1", managed(entry("g", "x", "5"), entry("g", "y", "6")))), ("bom/pom.xml", pom("b:bom:1", managed(entry("g", "y", "7")))),
-        ("net/A.csproj", '<Project><ItemGroup><PackageReference Include="Lib"/></ItemGroup></Project>'),
-        ("Directory.Packages.props", '<Project><ItemGroup><PackageVersion Include="Lib" Version="3"/></ItemGroup></Project>'), ("broken/package.json", "{"),
+        ("web/package.json", '{"dependencies":{"react":"18"},"devDependencies":{"jest":"1"},"workspaces":["packages/*"]}'), ("web/packages/a/package.json", '{"dependencies":{"react":"17","axon-x":"1"}}'), ("web/packages/b/package.json", "{"),
+        ("web/node_modules/x/package.json", '{"dependencies":{"hidden":"1"}}'), ("web/requirements.txt", "flask"),
+        ("x/java/pom.xml", pom("o:app:1", managed(entry("b", "bom", "1", "<type>pom</type><scope>import</scope>")) + deps, "<parent><groupId>p</groupId><artifactId>up</artifactId><version>1</version></parent>")),
+        ("x/parent/pom.xml", pom("p:up:1", managed(entry("g", "x", "5"), entry("g", "y", "6")))), ("x/bom/pom.xml", pom("b:bom:1", managed(entry("g", "y", "7")))),
+        ("x/net/A.csproj", '<Project><ItemGroup><PackageReference Include="Lib"/></ItemGroup></Project>'),
+        ("x/net/Directory.Packages.props", '<Project><ItemGroup><PackageVersion Include="Lib" Version="3"/></ItemGroup></Project>'),
     ]
     table = spark.createDataFrame(files, "path string, content string")
     registry = spark.createDataFrame([("react", "npm", 200, '{"repository":{"url":"git+https://github.com/facebook/react.git"}}')], "name string, ecosystem string, http_status int, json string")
     wiki = spark.createDataFrame([("facebook/react", True, 9)], "repo string, has_wiki boolean, page_count int")
     answer = engine.list_dependencies(table, registry, wiki)
-    assert [(r["name"], r["resolved"], r["has_wiki"], r["total"], r["manifests_total"]) for r in answer.rows.collect()] == [("react", "facebook/react", True, 1, 5)]
-    assert [r["framework"] for r in answer.envelope["frameworks"].collect()] == ["React"]
-    assert [r["manifest_path"] for r in answer.envelope["errors"].collect()] == ["broken/package.json"]
-    whole = engine.list_dependencies(table, registry, wiki, include_dev=True, primary_only=False)
-    assert [(r["manifest_path"], r["name"], r["declared_version"]) for r in whole.rows.collect()] == [
-        ("package.json", "react", "18"), ("package.json", "jest", "1"), ("java/pom.xml", "g:x", "5"), ("java/pom.xml", "g:y", "7"), ("java/pom.xml", "g:z", "1"), ("net/A.csproj", "Lib", "3")]
+    assert [(r["name"], r["declared_version"], r["resolved"], r["has_wiki"], r["total"], r["manifests_total"]) for r in answer.rows.collect()] == [("react", "18", "facebook/react", True, 2, 6), ("axon-x", "1", "axon-x/axon-x", None, 2, 6)]
+    assert [(r["manifest_idx"], r["framework"]) for r in answer.envelope["frameworks"].collect()] == [(0, "React")]
+    assert [r["manifest_path"] for r in answer.envelope["errors"].collect()] == ["web/packages/b/package.json"]
+    assert [tuple(r) for r in answer.envelope["manifests"].orderBy("manifest_idx").collect()] == [(0, "web", "package.json", 2), (1, "x/bom", "pom.xml", 0), (2, "x/java", "pom.xml", 3), (3, "x/net", "csproj", 1), (4, "x/parent", "pom.xml", 0)]
+    whole = engine.list_dependencies(table, registry, wiki, include_dev=True, primary_only=False, offset=1, limit=1)
+    assert [(r["manifest_path"], r["name"], r["declared_version"], r["total"]) for r in whole.rows.collect()] == [
+        ("web/package.json", "jest", "1", 3), ("x/java/pom.xml", "g:x", "5", 3), ("x/java/pom.xml", "g:y", "7", 3), ("x/java/pom.xml", "g:z", "1", 3), ("x/net/A.csproj", "Lib", "3", 3)]
     assert engine.list_dependencies(table.where("path = 'bom/none'"), registry, wiki).status == "no_manifest"
+    asked = spark.createDataFrame([("react", "npm"), ("unknown", "npm")], "name string, ecosystem string")
+    assert {(r["name"], r["resolved"], r["page_count"]) for r in engine.resolve_repo(asked, registry, wiki).rows.collect()} == {("react", "facebook/react", 9), ("unknown", "unknown/unknown", None)}
 
 
 def test_a_failing_scorer_degrades(spark, engine):

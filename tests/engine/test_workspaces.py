@@ -27,6 +27,37 @@ def test_poms_and_upward(spark, tmp_path):
     (tmp_path / "p/q/r").mkdir(parents=True)
     (tmp_path / "p/go.mod").write_text("module x")
     (tmp_path / "p/package.json").write_text("{}")
-    assert w.upward_manifest(str(tmp_path / "p/q/r"), str(tmp_path)) == str(tmp_path / "p/package.json")
+    assert w.upward_manifest(str(tmp_path / "p/q/r"), str(tmp_path)) == str(tmp_path / "p/go.mod")
     assert w.upward_manifest(str(tmp_path / "p/q/r"), str(tmp_path / "p/q")) is None
     assert w.upward_manifest(str(tmp_path / "p/q/r"), str(tmp_path), levels=1) is None
+
+
+def scanned(spark, files):
+    rows = w.scans(spark.createDataFrame(files, "path string, content string")).orderBy("manifest_idx", "file_pos").collect()
+    out = {}
+    for r in rows:
+        out.setdefault((r["project_root"], r["manifest_type"]), []).append(r["path"])
+    return list(out.items())
+
+
+POM = "<project><packaging>pom</packaging><modules>{}</modules></project>"
+
+
+def test_scans_of_a_tree(spark):
+    """Priority in a folder, folders below a root and ignored ones, members, solutions with and without projects, catalogues."""
+    files = [
+        ("app/pom.xml", "<project/>"), ("app/package.json", '{"dependencies":{"docs-tool":"1"}}'), ("app/sub/package.json", "{}"), ("node_modules/x/package.json", "{}"), (".git/package.json", "{}"), ("dist/package.json", "{}"),
+        ("work/go.work", "use (\n ./a\n ./b\n)\n"), ("work/go.mod", "module m"), ("work/a/go.mod", ""), ("work/b/go.mod", ""),
+        ("js/package.json", '{"workspaces":["old/*"]}'), ("js/pnpm-workspace.yaml", "packages:\n  - 'packages/*'\n"), ("js/packages/p/package.json", "{}"), ("js/old/o/package.json", "{}"),
+        ("plain/package.json", '{"workspaces":["w/*"]}'), ("plain/pnpm-workspace.yaml", "allowBuilds:\n  x: true\n"), ("plain/w/z/package.json", "{}"), ("plain/w/y/package.json", "{}"),
+        ("net/App.sln", 'Project("{F}") = "A", "src\\A\\A.csproj", "{G}"'), ("net/src/A/A.csproj", ""), ("void/Void.sln", ""), ("void/V.csproj", ""),
+        ("jvm/gradle/libs.versions.toml", ""), ("jvm/settings.gradle.kts", 'include(":lib")'), ("jvm/lib/build.gradle.kts", ""), ("x/y/mv/pom.xml", POM.format("<module>m1</module><module>gone</module>")), ("x/y/mv/m1/pom.xml", "<project/>"),
+        ("a/b/c/d/e/f/g/h/i/package.json", "{}"),
+    ]
+    assert scanned(spark, files) == [
+        (("app", "pom.xml"), ["app/pom.xml"]), (("js", "package.json"), ["js/package.json", "js/packages/p/package.json"]), (("jvm", "libs.versions.toml"), ["jvm/gradle/libs.versions.toml"]),
+        (("net", "sln"), ["net/src/A/A.csproj"]), (("plain", "package.json"), ["plain/package.json", "plain/w/y/package.json", "plain/w/z/package.json"]), (("void", "csproj"), ["void/V.csproj"]),
+        (("work", "go.work"), ["work/a/go.mod", "work/b/go.mod"]), (("x/y/mv", "pom.xml"), ["x/y/mv/pom.xml", "x/y/mv/m1/pom.xml"]),
+    ]
+    assert scanned(spark, [("package.json", "{}"), ("b/pom.xml", "<project/>")]) == [(("", "package.json"), ["package.json"])]
+    assert scanned(spark, [("readme.md", "x")]) == []
