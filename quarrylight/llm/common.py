@@ -18,13 +18,11 @@ NULL_ID = 2**63 - 1
 SHARE = 1000
 #: Documents in one Arrow batch. A batch of long texts must fit a Python worker several times over.
 ARROW_ROWS = 256
-ARROW_BYTES = "32m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Small Arrow batches, as whole texts travel in them, and a checkpoint folder where none is set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     shared_dir(spark)
     return spark
 

@@ -138,7 +138,8 @@ def mine_hard_negatives(
     """For each row of df where ``anchor`` (of its id) holds, and each of its best ``positives`` other rows of its label: the best ``negatives`` rows of
     other labels whose score is at most the positive's and at least low[0]/low[1] of it. Scores are inner products of floor(scale * x);
     higher ones come first, then smaller ids. Returns anchor_id, positive_id, rank, negative_id, positive_score, negative_score."""
-    spark = df.sparkSession
+    # A tile is 2 MB, and a batch of rows may hold many.
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
     # Places in the written table tell repeated rows apart.
     rows = written(whole_vectors(df, id_, vector, label, scale).withColumn("row", F.monotonically_increasing_id()), "negatives-rows")
     is_anchor = anchor & (F.col("id") != NULL_ID)
