@@ -280,7 +280,8 @@ def merkle_manifest(df: DataFrame, leaf: Column, claim: Column | None = None, gr
     proof) and verified (it is the root). Without a claim, the leaf is verified."""
     g = F.col(f"`{group}`").cast("string")
     rows = df.select(F.col(f"`{order}`").alias("id"), F.coalesce(F.concat(F.lit("="), g), F.lit("-")).alias("g"), leaf.alias("leaf"), (leaf if claim is None else claim).alias("claim"))
-    leaves = numbered(rows, ["id", "leaf"])
+    # Texts are hashed once: sorting by ranges reads its rows twice.
+    leaves = numbered(written(rows, "merkle-leaves"), ["id", "leaf"])
     links, subroots, height = build(leaves)
     groups = numbered(subroots.select(F.col("g").alias("name"), F.col("n").alias("leaves"), F.lit("").alias("g"), F.col("digest").alias("leaf")), ["name"])
     upper_links, root, upper_height = build(groups)
