@@ -115,11 +115,11 @@ def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", diges
     salts = F.coalesce("salts", F.lit(1))
     salted = lambda rows: rows.join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).drop("salts")
     spread = hits.join(hot, "digest", "left").select("digest", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "keep_id", "n", salts.alias("salts"))
-    resolved = written(salted(run).join(spread.hint("shuffle_hash"), ["digest", "salt"], "left").select("id", "digest", "keep_id", F.coalesce("n", F.lit(1)).alias("n")), "digest-verdicts")
+    resolved = written(salted(run).join(spread, ["digest", "salt"], "left").select("id", "digest", "keep_id", F.coalesce("n", F.lit(1)).alias("n")), "digest-verdicts")
     members = resolved.where("n > 1").select("id")
     words, bits = bit_filter(members, members.count())
     texts = may_be_in(plain.select(id_, F.col(own[text])), words, bits).select("id", norm.alias("norm"))
-    texts = salted(texts.withColumn("digest", digest(F.col("norm")))).join(spread.hint("shuffle_hash"), ["digest", "salt"])
+    texts = salted(texts.withColumn("digest", digest(F.col("norm")))).join(spread, ["digest", "salt"])
     # Written so that it is no further key of the join above: both uses of the texts are then one shuffle.
     stays = texts.where(F.col("id").bitwiseXOR(F.col("keep_id")) == 0).groupBy("digest", "salts").agg(F.first("norm").alias("stays"))
     stays = stays.select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "stays")
@@ -131,10 +131,10 @@ def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", diges
     if not differ.isEmpty():
         found = _by_text(plain.withColumn("norm", norm).withColumns({"id": id_, "digest": digest(F.col("norm"))}), resolved, differ)
     elif resolved.groupBy("id").count().where("count > 1").isEmpty():
-        found = plain.withColumn("id", id_).join(resolved.hint("shuffle_hash"), "id")
+        found = plain.withColumn("id", id_).join(resolved, "id")
     else:
         once = resolved.groupBy("digest", "id").agg(F.first("keep_id").alias("keep_id"), F.first("n").alias("n"))
-        found = plain.withColumns({"id": id_, "digest": digest(norm)}).join(once.hint("shuffle_hash"), ["digest", "id"])
+        found = plain.withColumns({"id": id_, "digest": digest(norm)}).join(once, ["digest", "id"])
     found = found.withColumn("own", F.coalesce("keep_id", "id"))
     taken = set(out)
     return found.select(*[F.col(own[c]).alias(c) for c in df.columns if c.lower() not in taken], *[c.alias(name) for name, c in out.items()])
