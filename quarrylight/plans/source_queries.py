@@ -22,7 +22,7 @@ from quarrylight.plans.inventory import inventory_page, project_dependencies
 from quarrylight.plans.queries import load, registered
 from quarrylight.plans.store import Store, upserted
 from quarrylight.sources import manifests, workspaces
-from quarrylight.streaming import feeds
+from quarrylight.streaming import feeds, leases
 
 #: A file of each format by name, ``@`` being the supplier's number, and the rows that its parser must return.
 FILES = {
@@ -401,3 +401,17 @@ def replayed_changes(spark, sf_dir):
     events = load(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), kind.alias("event_type"), F.struct("ts", "event_id").alias("ts"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("content"))
     state = events.select("path", F.lit("old").alias("content")).distinct()
     return feeds.apply_changes(state, events)
+
+
+@registered("""with e as (select user_id::varchar as repo, epoch_us(ts) // 1000 as ms from events),
+n as (select repo, ms, lead(ms) over (partition by repo order by ms) as following from e)
+select repo, ms::bigint as indexed_ms, (ms + 43200000)::bigint as expired_ms from n
+where coalesce(following > ms + 43200000, ms + 43200000 < (select max(ms) from e))""")
+def streamed_expiries(spark, sf_dir):
+    """Indexes of a stream of builds that ran out, twelve hours after the last one: timers and what came too late."""
+    out, at = scratch_path(spark, "expiries"), scratch_path(spark, "expiries-checkpoint")
+    schema = load(spark, sf_dir, "events").schema
+    builds = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    found = leases.index_expiries(builds, 12 * 3600 * 1000, repo="user_id")
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(leases.EXPIRY).parquet(out)

@@ -281,14 +281,3 @@ def text_nodes(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
             yield pd.DataFrame(rows, columns=[key, "title", "n_links", "n_elements"])
 
     return pages.select(key, html).mapInPandas(run, schema)
-
-
-def fixture_pages(spark, folder: str) -> DataFrame:
-    """Captured pages, one JSON file a repository, named owner__name.json: repo and the file's nodes."""
-    from pyspark.sql import functions as F
-
-    node = "type: string, sectionSlug: string, slug: string, title: string, level: int, parentSlug: string, markdown: string, language: string, text: string"
-    rows = spark.read.schema(f"nodes array<struct<{node}>>, notFound boolean, emptyShell boolean, firstCommitSha string").option("multiLine", "true").json(folder)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)__([^/]+)\.json$", 1)
-    other = F.regexp_extract(F.input_file_name(), r"([^/]+)__([^/]+)\.json$", 2)
-    return rows.withColumn("repo", F.concat(name, F.lit("/"), other)).where(F.col("repo") != "/")

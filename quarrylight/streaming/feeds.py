@@ -100,11 +100,6 @@ def expiring(status: DataFrame, now_ms: int, ttl_ms: int = DEFAULT.index_ttl_ms)
     return status.withColumn("fresh", F.col("indexed_at_ms") > now_ms - ttl_ms)
 
 
-def one_build_each(requests: DataFrame) -> DataFrame:
-    """Requests of a batch with one for each repository."""
-    return requests.dropDuplicates(["repo"])
-
-
 class Breaker:
     """Keeps from calling what has failed, until a time has passed. The clock is an argument, in seconds."""
 
