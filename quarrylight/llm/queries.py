@@ -157,7 +157,7 @@ def op7_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
@@ -319,7 +319,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_weighted_fair_mix": op5_weighted_fair_mix,
         "op6_html_blocks": op6_html_blocks,
         "op7_minhash_fingerprints": op7_minhash_fingerprints,
-        "op7_near_duplicates": op7_near_duplicates,
+        "minhash_near_duplicates": minhash_near_duplicates,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_url_filters": op10_url_filters,

@@ -247,8 +247,8 @@ def test_op7(spark):
     assert len(got) == len(docs)
 
 
-def test_op7_near_duplicates(spark):
-    found = q.queries()["op7_near_duplicates"](spark, DATA).collect()
+def test_minhash_near_duplicates(spark):
+    found = q.queries()["minhash_near_duplicates"](spark, DATA).collect()
     assert sorted(map(tuple, found)) == brute_classes(rows("documents", "doc_id", "text"), plain)
 
 
