@@ -352,26 +352,30 @@ def upserted_pages(spark, sf_dir):
     return upserted(old, events, ["key"])
 
 
-@registered("""select 'r' || r_regionkey as repo, r_regionkey + 1 as chunks, r_regionkey as edges, 10 + r_regionkey as indexed_at_ms from region where r_regionkey <> 4""")
+@registered("""-- A repository without a document of the second build keeps its first.
+with d as (select source as repo, doc_id, length(source) = 4 and bool_or(doc_id % 2 = 0) over (partition by source) as again from documents where source is not null)
+select repo, count(*) filter (where not again or doc_id % 2 = 0) as chunks, count(*) filter (where doc_id % 3 = 0 and (not again or doc_id % 2 = 0)) as edges,
+       case when again then 20 else 10 end::bigint as indexed_at_ms, count(*) filter (where not again or doc_id % 2 = 0) as postings from d where repo <> 'src1' group by repo, again""")
 def store_rebuilds(spark, sf_dir):
-    """Repositories after builds, a second build, a check and a drop: what a reader of the store sees."""
+    """Repositories after a build of all, a second one of some, and a drop: what a reader of the store sees. Documents are chunks of their source, their
+    language is the text; every third has an edge."""
     store = Store(spark, scratch_path(spark, "store"), 2)
-    keys = sorted(r["r_regionkey"] for r in load(spark, sf_dir, "region").select("r_regionkey").collect())
-    for k in keys:
-        repo = f"r{k}"
-        # The first build of one is replaced as a whole by its second.
-        for n in ([9, k + 1] if k == 1 else [k + 1]):
-            chunks = spark.range(n).select(
-                F.lit(repo).alias("repo"), F.lit("p").alias("page_slug"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("section_slug"), F.lit(0).alias("ordinal"), F.lit("text").alias("text"),
-                *[F.lit(None).cast("string").alias(f"github_{c}") for c in ("repo", "sha", "path", "line_range")], F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>").alias("embedding"), F.lit(k).cast("long").alias("indexed_at_ms"), F.lit(SHA).alias("commit_sha"))
-            edges = spark.range(n - 1).select(
-                F.lit("section").alias("src_kind"), F.lit("a").alias("src_id"), F.lit("section").alias("dst_kind"), F.concat(F.lit("b"), F.col("id").cast("string")).alias("dst_id"), F.lit("section_link").alias("edge_type"), F.lit(repo).alias("repo"),
-                F.struct(*[F.lit(None).cast("string").alias(f) for f in gr.FIELDS], F.array().cast("array<string>").alias("kinds")).alias("metadata"), F.lit(SHA).alias("commit_sha"), F.lit(k).cast("long").alias("indexed_at_ms"))
-            store.rebuild(repo, chunks, edges, k, SHA)
-        store.touch(repo, 10 + k)
-    store.drop("r4", 99)
+    none = lambda *names: [F.lit(None).cast("string").alias(c) for c in names]
+    docs = load(spark, sf_dir, "documents").where("source is not null").select(F.col("source").alias("repo"), "doc_id", F.coalesce("lang", F.lit("en")).alias("text"), F.col("doc_id").cast("string").alias("section"))
+
+    def build(some: DataFrame, now_ms: int) -> None:
+        chunks = some.select("repo", F.lit("p").alias("page_slug"), F.col("section").alias("section_slug"), F.lit(0).alias("ordinal"), "text", *none(*[f"github_{c}" for c in ("repo", "sha", "path", "line_range")]), F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>").alias("embedding"), F.lit(now_ms).cast("long").alias("indexed_at_ms"), F.lit(SHA).alias("commit_sha"))
+        meta = F.struct(*none(*gr.FIELDS), F.array().cast("array<string>").alias("kinds")).alias("metadata")
+        edges = some.where("doc_id % 3 = 0").select(F.lit("section").alias("src_kind"), F.col("section").alias("src_id"), F.lit("section").alias("dst_kind"), F.lit("b").alias("dst_id"), F.lit("section_link").alias("edge_type"), "repo", meta, F.lit(SHA).alias("commit_sha"), F.lit(now_ms).cast("long").alias("indexed_at_ms"))
+        store.rebuild_many(chunks, edges, some.select("repo", F.lit(SHA).alias("commit_sha")).distinct(), now_ms)
+
+    build(docs, 10)
+    build(docs.where("length(repo) = 4 and doc_id % 2 = 0"), 20)
+    store.drop("src1", 99)
     counted = lambda rows, name: rows.groupBy("repo").agg(F.count(F.lit(1)).alias(name))
-    return store.status().select("repo", "indexed_at_ms").join(counted(store.chunks(), "chunks"), "repo", "left").join(counted(store.edges(), "edges"), "repo", "left").select("repo", "chunks", F.coalesce("edges", F.lit(0)).alias("edges"), "indexed_at_ms")
+    posted = store.postings()[0].groupBy("repo").agg(F.sum("n").alias("postings"))
+    out = store.status().select("repo", "indexed_at_ms").join(counted(store.chunks(), "chunks"), "repo", "left").join(counted(store.edges(), "edges"), "repo", "left").join(posted, "repo", "left")
+    return out.select("repo", "chunks", F.coalesce("edges", F.lit(0)).alias("edges"), "indexed_at_ms", "postings")
 
 
 @registered("""select (epoch_us(ts) // 30000000 * 30000)::bigint as window_ms, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2""")

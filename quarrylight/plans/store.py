@@ -107,18 +107,29 @@ class Store:
             self._write_postings(self._read("chunks", f"{schemas.CHUNK}, build_id string").where(F.col("build_id").isin(builds)))
         return len(builds)
 
-    def rebuild(self, repo: str, chunks: DataFrame, edges: DataFrame, now_ms: int, commit_sha: str | None) -> str:
-        """Replaces a repository's chunks and edges together. Vectors of a wrong dimension are an error."""
+    def rebuild_many(self, chunks: DataFrame, edges: DataFrame, builds: DataFrame, now_ms: int) -> str:
+        """Replaces the chunks and edges of every repository of ``builds`` (repo, commit_sha) together: one write of each table, and one append of status
+        rows, which makes them all visible. Vectors of a wrong dimension are an error."""
         build = uuid.uuid4().hex
+        builds = checkpointed(builds.select("repo", "commit_sha"))
         checked = F.when(F.col("embedding").isNull() | (F.size("embedding") == self.dimension), F.col("embedding")).otherwise(
             F.raise_error(F.lit(f"a vector is not of dimension {self.dimension}")).cast("array<float>"))
         for rows, table in ((chunks.withColumn("embedding", checked), "chunks"), (edges, "edges")):
-            rows.withColumns({"repo": F.lit(repo), "build_id": F.lit(build)}).write.mode("append").partitionBy("repo", "build_id").parquet(f"{self.folder}/{table}")
-        self._write_postings(self._read("chunks", f"{schemas.CHUNK}, build_id string").where((F.col("repo") == repo) & (F.col("build_id") == build)))
-        n_chunks, n_edges = (self._read(t, f"{s}, build_id string").where((F.col("repo") == repo) & (F.col("build_id") == build)).count() for t, s in (("chunks", schemas.CHUNK), ("edges", schemas.EDGE)))
-        self.set_status(repo, build, now_ms, commit_sha, n_chunks, n_edges)
+            rows.join(builds.select("repo"), "repo", "left_semi").withColumn("build_id", F.lit(build)).write.mode("append").partitionBy("repo", "build_id").parquet(f"{self.folder}/{table}")
+        own = lambda table, schema: self._read(table, f"{schema}, build_id string").where(F.col("build_id") == build)
+        self._write_postings(own("chunks", schemas.CHUNK))
+        counted = lambda table, schema, name: own(table, schema).groupBy("repo").agg(F.count(F.lit(1)).cast("int").alias(name))
+        counts = builds.join(counted("chunks", schemas.CHUNK, "chunk_count"), "repo", "left").join(counted("edges", schemas.EDGE, "edge_count"), "repo", "left").fillna(0, ["chunk_count", "edge_count"])
+        turn = F.lit(self._next("status", STATUS)).cast("long")
+        status = counts.select("repo", F.lit(build).alias("build_id"), F.lit(now_ms).cast("long").alias("indexed_at_ms"), "commit_sha", "chunk_count", "edge_count", turn.alias("written"))
+        status.coalesce(1).write.mode("append").parquet(f"{self.folder}/status")
         return build
 
+    def rebuild(self, repo: str, chunks: DataFrame, edges: DataFrame, now_ms: int, commit_sha: str | None) -> str:
+        """Replaces a repository's chunks and edges together."""
+        builds = self.spark.createDataFrame([(repo, commit_sha)], "repo string, commit_sha string")
+        return self.rebuild_many(chunks.withColumn("repo", F.lit(repo)), edges.withColumn("repo", F.lit(repo)), builds, now_ms)
+
     def set_status(self, repo: str, build: str | None, now_ms: int, commit_sha: str | None, n_chunks: int = 0, n_edges: int = -1) -> None:
         self._append([(repo, build, now_ms, commit_sha, n_chunks, n_edges, self._next("status", STATUS))], "status", STATUS)
 
