@@ -32,4 +32,4 @@ def test_nothing_else_imports_the_corpus_operators():
 
 def test_smoke(spark):
     rows = __spark_entry__.entry(spark)
-    assert rows.columns == ["query_id", "pos", "repo", "doc_id", "rerank_score", "effective_score"] and rows.count() == 24
+    assert rows.columns == ["query_id", "pos", "repo", "doc_id", "rerank_score", "effective_score"] and rows.count() == 8 * 2  # documents 0 and 100 ask
