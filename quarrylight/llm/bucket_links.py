@@ -42,6 +42,12 @@ SLACK = 1e-6
 CROWD = 16
 
 
+def words_digest(hashed: np.ndarray) -> tuple[int, int]:
+    """Two longs that tell a sequence of words."""
+    digest = xxhash.xxh3_128_digest(hashed.tobytes())
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+
+
 def _signed(docs: DataFrame, banded: Callable, words: int) -> DataFrame:
     """docs (id, text) to id, h1 and h2 (of the sequence of words), bands."""
 
@@ -50,9 +56,9 @@ def _signed(docs: DataFrame, banded: Callable, words: int) -> DataFrame:
             heads, tails, bands = [], [], []
             for text in batch.column(1).to_pylist():
                 hashed = word_hashes(text)
-                digest = xxhash.xxh3_128_digest(hashed.tobytes())
-                heads.append(int.from_bytes(digest[:8], "big", signed=True))
-                tails.append(int.from_bytes(digest[8:], "big", signed=True))
+                head, tail = words_digest(hashed)
+                heads.append(head)
+                tails.append(tail)
                 bands.append(banded(shingles_of(hashed, words)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(heads, pa.int64()), pa.array(tails, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
@@ -212,9 +218,14 @@ def classes(df: DataFrame, doc_id: str, text: str, banded: Callable, features: C
     are else classified each by its own text.
     """
     docs = df.select(order_id(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    signed = written(_signed(docs, banded, words), "signatures")
+    return classified(written(_signed(docs, banded, words), "signatures"), docs, doc_id, features, threshold, words)
+
+
+def classified(signed: DataFrame, docs: DataFrame, doc_id: str, features: Callable, threshold: float, words: int) -> DataFrame:
+    """``classes`` for a written table of id, h1, h2 (``words_digest``) and bands of docs (id, text). Its other columns stay."""
+    kept = [c for c in signed.columns if c not in ("id", "h1", "h2", "bands")]
     copies = written(signed.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")), "copies")
-    members = written(join_groups(signed.select("id", "h1", "h2"), copies, ["h1", "h2"], "n").select("id", "node"), "members")
+    members = written(join_groups(signed.select("id", "h1", "h2", *kept), copies, ["h1", "h2"], "n").select("id", "node", *kept), "members")
     lone = members.where("id = node").select("id").distinct()
     nodes = signed.select("id", "bands").join(lone, "id", "left_semi")
     roots = links_between(nodes, docs, features, threshold, words).select(F.col("id").alias("node"), "root")
@@ -224,4 +235,4 @@ def classes(df: DataFrame, doc_id: str, text: str, banded: Callable, features: C
     sizes = written(placed.groupBy("class_id").agg(F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("texts")), "class-sizes")
     found = written(join_groups(placed, sizes, ["class_id"], "texts").select("node", "n", "class_id", "class_size"), "classes")
     null = F.lit(NULL_ID)
-    return join_groups(members, found, ["node"], "n").select(F.nullif("id", null).alias(doc_id), F.nullif("class_id", null).alias("class_id"), "class_size")
+    return join_groups(members, found, ["node"], "n").select(F.nullif("id", null).alias(doc_id), *kept, F.nullif("class_id", null).alias("class_id"), "class_size")

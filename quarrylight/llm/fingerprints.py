@@ -3,7 +3,8 @@
 Each of 128 functions ``(a * x + b mod 2**64) >> 32`` with random 64-bit a and b, a strongly universal family on 32-bit x,
 gives the smallest value over a document's shingles. The fingerprint is the low 16 bits of the minima in hexadecimal; the
 likeness of two fingerprints is the share of equal places and estimates the Jaccard similarity of the shingle sets.
-``near_duplicates`` joins bands of the signatures in Spark and verifies the Jaccard similarity.
+Bands of the signatures are joined in Spark and the Jaccard similarity of the sets is verified, by ``near_duplicates`` for
+texts alone and by ``fingerprint_classes`` for the signatures that its fingerprints are made from.
 
 ``with_neighbour`` gives each document the one that follows by id. Documents are dealt into ranges of ids by sampled
 quantiles, each range is sorted and streamed, and the first document of a range is also sent to the range before it
@@ -11,7 +12,7 @@ quantiles, each range is sorted and streamed, and the first document of a range
 
 A text without words has the fingerprint of the empty set, which is like only itself (1.0). Null counts as empty. Null
 ids come last. Rows with equal ids follow each other by text, null texts as empty. The document after the last is the
-first; a lone document follows itself.
+first; a lone document follows itself. Texts without words are one class.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.bucket_links import classes
-from quarrylight.llm.common import as_row, order_id, replace_columns, width
-from quarrylight.llm.shingles import WORDS, shingle_hashes
+from quarrylight.llm.bucket_links import classes, classified, words_digest
+from quarrylight.llm.common import NULL_ID, as_row, order_id, replace_columns, width, written
+from quarrylight.llm.shingles import WORDS, shingle_hashes, shingles_of, word_hashes
 
 PERMUTATIONS = 128
 #: 25 bands of 5: of pairs with similarity 0.8, 1 in 20,000 shares no band.
 ROWS = 5
+#: Every minimum of the empty set.
+EMPTY = np.uint32(2**32 - 1)
 _U = np.uint64
 _random = np.random.default_rng(20240229)
 _A = _random.integers(1, 2**64, PERMUTATIONS, np.uint64) | _U(1)
@@ -94,6 +97,9 @@ def in_id_ranges(df: DataFrame) -> DataFrame:
     return rows.repartition(width(spark), "range").sortWithinPartitions("range", "guard", "id", "text")
 
 
+_ARROW = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+
+
 def with_neighbour(df: DataFrame, schema: str, make: Callable[[int, str, str, dict], tuple]) -> DataFrame:
     """df (id, text) to one row a document, ``make(id, text, next text, memo)``; memo keeps what the call before left."""
 
@@ -111,36 +117,55 @@ def with_neighbour(df: DataFrame, schema: str, make: Callable[[int, str, str, di
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=fields)
                 out = []
 
-    fields = pa.schema([pa.field(n, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[t]) for n, t in (c.split() for c in schema.split(","))])
+    fields = pa.schema([pa.field(n, _ARROW[t]) for n, t in (c.split() for c in schema.split(","))])
     return in_id_ranges(df).mapInArrow(run, schema)
 
 
-def edited_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """For each document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Edited
-    is the text with its last quarter replaced by as much of the beginning of the next document."""
+def _slim(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return df.select(order_id(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+
+
+def _edited(docs: DataFrame, words: int) -> DataFrame:
+    """docs (id, text) to id, what ``edited_fingerprints`` returns, h1 and h2 (of the sequence of words), and bands."""
+
+    def signed(text: str) -> tuple[np.ndarray, int, int]:
+        hashed = word_hashes(text)
+        return signature(shingles_of(hashed, words)), *words_digest(hashed)
 
     def make(doc: int, own: str, following: str, memo: dict) -> tuple:
-        mine = memo.pop("next", None) or digits(signature(shingle_hashes(own, words)))
-        memo["next"] = digits(signature(shingle_hashes(following, words)))
+        least, h1, h2 = memo.pop("next", None) or signed(own)
+        memo["next"] = signed(following)
         quarter = len(own) // 4
         edited = own[: len(own) - quarter] + following[:quarter]
+        mine, after = digits(least), digits(memo["next"][0])
         other = digits(signature(shingle_hashes(edited, words))) if edited != own else mine
         digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-        return doc, len(own), digest, mine, other, likeness(mine, other), likeness(mine, memo["next"])
+        return doc, len(own), digest, mine, other, likeness(mine, other), likeness(mine, after), h1, h2, bands_of(least)
+
+    schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, h1 long, h2 long, bands array<long>"
+    return with_neighbour(docs, schema, make)
+
+
+def edited_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """For each document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Edited
+    is the text with its last quarter replaced by as much of the beginning of the next document."""
+    out = _edited(_slim(df, doc_id, text), words).drop("h1", "h2", "bands")
+    return out.select(F.nullif("id", F.lit(NULL_ID)).alias(doc_id), *out.columns[1:])
+
 
-    slim = df.select(order_id(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    out = with_neighbour(slim, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double", make)
-    return out.select(F.nullif("id", F.lit(2**63 - 1)).alias(doc_id), *out.columns[1:])
+def fingerprint_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, words: int = WORDS) -> DataFrame:
+    """``edited_fingerprints`` with class_id and class_size of ``near_duplicates``, from one signature of each text."""
+    docs = _slim(df, doc_id, text)
+    return classified(written(_edited(docs, words), "fingerprints"), docs, doc_id, np.unique, threshold, words)
 
 
-def bands_of(shingles: np.ndarray) -> list[int]:
-    """The bands of a document's signature."""
-    if not len(shingles):
+def bands_of(least: np.ndarray) -> list[int]:
+    """The bands of a signature; none of a text without words."""
+    if (least == EMPTY).all():
         return []
-    least = signature(shingles)[: PERMUTATIONS // ROWS * ROWS].reshape(-1, ROWS)
-    return [xxhash.xxh3_64_intdigest(band.tobytes(), i) - 2**63 for i, band in enumerate(least)]
+    return [xxhash.xxh3_64_intdigest(band.tobytes(), i) - 2**63 for i, band in enumerate(least[: PERMUTATIONS // ROWS * ROWS].reshape(-1, ROWS))]
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, words: int = WORDS) -> DataFrame:
     """doc_id with class_id and class_size: documents linked by a verified Jaccard similarity of their shingle sets."""
-    return classes(df, doc_id, text, bands_of, np.unique, threshold, words)
+    return classes(df, doc_id, text, lambda shingles: bands_of(signature(shingles)), np.unique, threshold, words)

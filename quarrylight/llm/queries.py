@@ -12,7 +12,7 @@ from quarrylight.llm.bpe import encode
 from quarrylight.llm.common import prepare, scratch
 from quarrylight.llm.dart_minhash import near_duplicate_classes
 from quarrylight.llm.exact_dedup import exact_dedup
-from quarrylight.llm.fingerprints import edited_fingerprints, near_duplicates
+from quarrylight.llm.fingerprints import fingerprint_classes, near_duplicates
 from quarrylight.llm.hard_negatives import mine_hard_negatives
 from quarrylight.llm.html_extract import extract
 from quarrylight.llm.line_dedup import dedup_lines
@@ -154,7 +154,7 @@ def op6_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return fingerprint_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import corpus_pipeline
 from quarrylight.llm.bpe import encode
 from quarrylight.llm.dart_minhash import near_dedup, near_duplicate_classes
 from quarrylight.llm.exact_dedup import exact_dedup
-from quarrylight.llm.fingerprints import edited_fingerprints, fingerprint, near_duplicates
+from quarrylight.llm.fingerprints import edited_fingerprints, fingerprint, fingerprint_classes, near_duplicates
 from quarrylight.llm.html_extract import extract
 from quarrylight.llm.line_dedup import dedup_lines
 from quarrylight.llm.mixing import mix, words_taken
@@ -33,7 +33,7 @@ def _warc(df):
 OPERATORS = {
     "line dedup": dedup_lines, "near classes": near_duplicate_classes, "near dedup": near_dedup, "warc": _warc,
     "quality": lambda df: score_quality(df, AttentionModel()), "mix": mix, "words taken": words_taken,
-    "html": lambda df: extract(df, "text"), "fingerprint": fingerprint, "edited": edited_fingerprints, "similar": near_duplicates,
+    "html": lambda df: extract(df, "text"), "fingerprint": fingerprint, "edited": edited_fingerprints, "fingerprint classes": fingerprint_classes, "similar": near_duplicates,
     "exact": exact_dedup, "bpe": lambda df: encode(df, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True),
     "urls": _urls,
 }
@@ -53,6 +53,16 @@ def test_odd_rows_with_clashing_names(name, docs, odd, clashing):
         assert rows
 
 
+def test_fingerprint_classes_of_odd_rows(docs, odd):
+    """Each row has the fingerprint and the class of its own text, also where ids are null or repeated."""
+    one = sorted(map(str, fingerprint_classes(docs(odd)).drop("class_id", "class_size").collect()))
+    assert one == sorted(map(str, edited_fingerprints(docs(odd)).collect()))
+    both = fingerprint_classes(docs(odd)).select("doc_id", "class_id", "class_size").collect()
+    assert sorted(map(str, both)) == sorted(map(str, near_duplicates(docs(odd)).collect()))
+    empty = {(r["class_id"], r["class_size"]) for r in both if r["doc_id"] in (1, 2, 3)}
+    assert empty == {(1, 4)}
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_table(name, docs, clashing):
     assert OPERATORS[name](docs([])).collect() == []
