@@ -218,14 +218,16 @@ def classes(df: DataFrame, doc_id: str, text: str, banded: Callable, features: C
     are else classified each by its own text.
     """
     docs = df.select(order_id(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    return classified(written(_signed(docs, banded, words), "signatures"), docs, doc_id, features, threshold, words)
+    _, members, found = text_classes(written(_signed(docs, banded, words), "signatures"), docs, features, threshold, words)
+    null = F.lit(NULL_ID)
+    return join_groups(members, found, ["node"], "n").select(F.nullif("id", null).alias(doc_id), F.nullif("class_id", null).alias("class_id"), "class_size")
 
 
-def classified(signed: DataFrame, docs: DataFrame, doc_id: str, features: Callable, threshold: float, words: int) -> DataFrame:
-    """``classes`` for a written table of id, h1, h2 (``words_digest``) and bands of docs (id, text). Its other columns stay."""
-    kept = [c for c in signed.columns if c not in ("id", "h1", "h2", "bands")]
+def text_classes(signed: DataFrame, docs: DataFrame, features: Callable, threshold: float, words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A written table of id, h1, h2 (``words_digest``) and bands of docs (id, text) to copies (h1, h2, node, n), members (id, node) and
+    the classes of nodes (node, n, class_id, class_size)."""
     copies = written(signed.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")), "copies")
-    members = written(join_groups(signed.select("id", "h1", "h2", *kept), copies, ["h1", "h2"], "n").select("id", "node", *kept), "members")
+    members = written(join_groups(signed.select("id", "h1", "h2"), copies, ["h1", "h2"], "n").select("id", "node"), "members")
     lone = members.where("id = node").select("id").distinct()
     nodes = signed.select("id", "bands").join(lone, "id", "left_semi")
     roots = links_between(nodes, docs, features, threshold, words).select(F.col("id").alias("node"), "root")
@@ -234,5 +236,4 @@ def classified(signed: DataFrame, docs: DataFrame, doc_id: str, features: Callab
     placed = written(texts.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("class_id")), "text-classes")
     sizes = written(placed.groupBy("class_id").agg(F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("texts")), "class-sizes")
     found = written(join_groups(placed, sizes, ["class_id"], "texts").select("node", "n", "class_id", "class_size"), "classes")
-    null = F.lit(NULL_ID)
-    return join_groups(members, found, ["node"], "n").select(F.nullif("id", null).alias(doc_id), *kept, F.nullif("class_id", null).alias("class_id"), "class_size")
+    return copies, members, found

@@ -27,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.bucket_links import classes, classified, words_digest
-from quarrylight.llm.common import NULL_ID, as_row, order_id, replace_columns, width, written
+from quarrylight.llm.bucket_links import classes, text_classes, words_digest
+from quarrylight.llm.common import NULL_ID, as_row, join_groups, order_id, replace_columns, width, written
 from quarrylight.llm.shingles import WORDS, shingle_hashes, shingles_of, word_hashes
 
 PERMUTATIONS = 128
@@ -156,7 +156,13 @@ def edited_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text
 def fingerprint_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, words: int = WORDS) -> DataFrame:
     """``edited_fingerprints`` with class_id and class_size of ``near_duplicates``, from one signature of each text."""
     docs = _slim(df, doc_id, text)
-    return classified(written(_edited(docs, words), "fingerprints"), docs, doc_id, np.unique, threshold, words)
+    made = written(_edited(docs, words), "fingerprints")
+    copies, _, found = text_classes(made.select("id", "h1", "h2", "bands"), docs, np.unique, threshold, words)
+    # Fingerprints are shuffled once, by their words.
+    texts = written(copies.join(found.drop("n"), "node").drop("node"), "word-classes")
+    every = join_groups(made.drop("bands"), texts, ["h1", "h2"], "n")
+    null = F.lit(NULL_ID)
+    return every.select(F.nullif("id", null).alias(doc_id), *made.columns[1:7], F.nullif("class_id", null).alias("class_id"), "class_size")
 
 
 def bands_of(least: np.ndarray) -> list[int]:
