@@ -17,6 +17,7 @@ from quarrylight.operators import documents as doc
 from quarrylight.operators import graph as gr
 from quarrylight.operators import lexical as lx
 from quarrylight.operators import metrics as me
+from quarrylight.operators import models
 from quarrylight.operators import ranking as rk
 from quarrylight.operators.scratch import scratch_path
 from quarrylight.operators.vector_search import nearest
@@ -221,6 +222,20 @@ def fresh_repos(spark, sf_dir):
 UNITS = r"(length({0}) + length(regexp_replace({0}, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')))"
 
 
+@registered(f"""with toks as (select doc_id, list_distinct({TOKENS}) as words from documents),
+held as (select doc_id, unnest(words) as word from toks),
+placed as (select doc_id, ('0x' || substr(md5(word), 1, 7))::bigint as h from held),
+sums as (select doc_id, (h >> 1) % 64 as place, sum(case when h % 2 = 1 then 1 else -1 end) as s from placed group by all),
+counted as (select word, count(*) as df from held group by word),
+added as (select word, place, sum(s)::bigint as s from held join sums using (doc_id) group by all),
+every as (select word, df, unnest(range(64)) as place from counted)
+select word, df, md5(string_agg(coalesce(s, 0)::varchar, ',' order by place)) as vector_md5 from every left join added using (word, place) group by word, df""")
+def word_vectors(spark, sf_dir):
+    """The vectors that the local encoder and scorer are trained from, of every word of the documents."""
+    found = models.word_vectors(load(spark, sf_dir, "documents"))
+    return found.select("word", "df", F.md5(F.array_join(F.col("vector").cast("array<string>"), ",").cast("binary")).alias("vector_md5"))
+
+
 @registered(f"select doc_id, ceil({UNITS.format('text')} / 4.0)::int as tokens from documents")
 def token_estimate(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", tx.estimate_tokens(F.col("text")).alias("tokens"))
