@@ -7,7 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylight.operators import models as m
+from quarrylight.operators.documents import chunks as chunked
+from quarrylight.plans.engine import Engine
 from quarrylight.plans.queries import QUERIES, SQL
+from quarrylight.plans.store import Store
+from tests.engine.test_documents_and_graph import SHA, TREE, nodes_of
 
 DATA = "/root/testdata/sf0.001"
 
@@ -78,6 +82,17 @@ def test_trained_model_knows_which_words_meet(spark):
     assert df.limit(1).select(score(F.lit(None).cast("string"), F.col("text"))).first()[0] is None
 
 
+def test_engine_answers_with_a_trained_model(spark, tmp_path):
+    nodes = nodes_of(spark, TREE)
+    model = m.train(chunked(nodes), vocabulary=1000)
+    store = Store(spark, str(tmp_path / "store"), 64)
+    engine = Engine(spark, store, m.trained_encoder(model), m.trained_scorer(model))
+    assert engine.index("o/r", nodes, 1000, SHA).status == "ready"
+    found = engine.find_chunks(spark.createDataFrame([(1, "setup of deep file")], "query_id long, query string"), 1001)
+    assert found.status == "ready" and not found.envelope["degraded"]
+    assert found.rows.where("rerank_score is not null").count() == found.rows.count() > 0
+
+
 def test_too_large_a_vocabulary_is_refused(spark):
     with pytest.raises(ValueError, match="bytes"):
         m.train(spark.createDataFrame([("a",)], "text string"), vocabulary=10**7)
