@@ -1,16 +1,15 @@
 """Hard negatives for contrastive training, by a block matrix product in two dimensions (as SUMMA deals blocks).
 
-Vectors become whole numbers. Anchors are dealt in blocks of ANCHORS, all rows in blocks of ROWS, dimensions in chunks of
-CHUNK. A task of the product has one anchor block and one row block for one chunk of dimensions, and makes a partial tile of
-int64 scores. Partial tiles of a pair of blocks are shuffled together and added. A tile gives each anchor's best rows of
-its label, reduced over all tiles to its positives; then, as the windows below the positives are known, the best rows of other
-labels in each window, again reduced over all tiles. Products run as float64 where their sums are whole numbers below 2^53,
+Vectors become whole numbers. Anchors are packed in blocks of ANCHORS, all rows in blocks of ROWS. A task of the product meets
+some row blocks with some anchor blocks; the tile of a pair of blocks stays where it is and panels of CHUNK dimensions are added
+to it. A tile is reduced at once to what its anchors may need of it and is not kept: first each anchor's best rows of its label,
+reduced over all tasks to its positives; then, in a second product, as the windows below the positives are known, the best rows of
+other labels in each window, again reduced over all tasks. Products run as float64 where their sums are whole numbers below 2^53,
 else as int64; both are exact.
 
-Scale: rows are dealt to blocks by a hash of their place in a written table, so repeated or similar rows and rows of one label
-spread evenly. A task holds two blocks, or the partial tiles of one pair (2 MB for each chunk of dimensions). Every anchor meets every
-row, so tiles grow as anchors times rows; blocks are copied once for ANCHORS (or ROWS) rows of the other side. Nothing is
-collected but the number of rows and the greatest number of dimensions.
+Scale: what is written and shuffled are the rows, in blocks, and each task's best rows of each anchor. Rows are read in a fixed
+number of tasks a core, so both grow with the table, while the product's time grows with anchors times rows, as every anchor meets
+every row. A task holds a batch of pairs of blocks, and the best rows of HELD anchors. Nothing is collected but the number of anchors.
 
 Rows with a null label, a null vector, or a null or non-finite component take no part. Components are held to +-2^25 after
 scaling, so that sums stay within int64; missing ones of a shorter vector count as zero. A null id comes after all others.
@@ -19,6 +18,8 @@ Repeated rows are rows of their own: as anchors, positives and negatives. Empty
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,13 +28,17 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm.common import NULL_ID, order_id, written
 
-ANCHORS, ROWS, CHUNK = 256, 1024, 32
+ANCHORS, ROWS, CHUNK = 512, 4096, 256
+#: Anchors that a task of the product meets, tasks a core that the rows are dealt to, and columns of a tile looked at together.
+HELD, TASKS, STRIP = 32_768, 3, 512
 #: Components are held to this after scaling: 2^50 a product, 1024 dimensions and a factor of 8 fit an int64.
-HELD = 2**25
+HELD_TO = 2**25
 EXACT = 2**53
-PART = "i int, j int, k int, anchors binary, scores binary, ids binary, rows binary, labels binary"
-TILE = "i int, j int, anchors binary, scores binary, ids binary, labels binary, best array<struct<anchor: long, anchor_id: long, score: long, id: long, row: long>>"
-FOUND = "anchor long, anchor_id long, positive_row long, positive_id long, positive_score long, id long, row long, score long"
+LEAST = np.iinfo(np.int64).min
+#: about: row, id and label of each row, as int64; v: its components, as int32.
+BLOCK = "i long, about binary, v binary"
+BEST = "i long, anchor long, score long, id long, row long"
+FOUND = "anchor long, anchor_id long, positive_row long, positive_id long, positive_score long, score long, id long, row long"
 
 
 def whole_vectors(df: DataFrame, id_: str, vector: str, label: str, scale: int) -> DataFrame:
@@ -41,7 +46,7 @@ def whole_vectors(df: DataFrame, id_: str, vector: str, label: str, scale: int)
     v = F.col(f"`{vector}`")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     rows = df.where(v.isNotNull() & F.col(f"`{label}`").isNotNull()).where(~bad)
-    held = F.transform(v, lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, F.lit(float(HELD))), F.lit(-float(HELD)))).cast("int"))
+    held = F.transform(v, lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, F.lit(float(HELD_TO))), F.lit(-float(HELD_TO)))).cast("int"))
     return rows.select(order_id(f"`{id_}`").alias("id"), F.col(f"`{label}`").cast("long").alias("label"), held.alias("v"))
 
 
@@ -54,79 +59,125 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def _partial(shard: pa.Table) -> pa.Table:
-    """One pair of blocks and one chunk of dimensions: the partial tile."""
-    def side(of: bool) -> tuple[np.ndarray, ...]:
-        some = shard.filter(pc.equal(shard.column("is_anchor"), of)).sort_by([("id", "ascending"), ("row", "ascending")])
-        row, id_, label = (some.column(c).to_numpy().astype(np.int64) for c in ("row", "id", "label"))
-        return row, id_, label, np.asarray(some.column("v").combine_chunks().flatten()).astype(np.int64).reshape(len(row), -1 if len(row) else 1)
+def _packed(size: int):
+    """Rows (row, id, label, v) of a partition to blocks of ``size``, each sorted by id. A block is as wide as its longest vector."""
 
-    first = {c: shard.column(c)[0].as_py() for c in ("i", "j", "k")}
-    (a_row, a_id, a_label, a), (row, id_, label, b) = side(True), side(False)
-    if not len(a) or not len(b):
-        return pa.table({c: pa.array([], t) for c, t in [("i", pa.int32()), ("j", pa.int32()), ("k", pa.int32())] + [(c, pa.binary()) for c in ("anchors", "scores", "ids", "rows", "labels")]})
-    # What the tile needs to know of its rows goes with the first chunk.
-    about = [np.stack([a_row, a_id, a_label]).tobytes(), id_.tobytes(), row.tobytes(), label.tobytes()] if first["k"] == 0 else [b""] * 4
-    return pa.table({
-        "i": pa.array([first["i"]], pa.int32()), "j": pa.array([first["j"]], pa.int32()), "k": pa.array([first["k"]], pa.int32()), "anchors": pa.array([about[0]], pa.binary()),
-        "scores": pa.array([product(a, b).tobytes()], pa.binary()), "ids": pa.array([about[1]], pa.binary()), "rows": pa.array([about[2]], pa.binary()), "labels": pa.array([about[3]], pa.binary()),
-    })
-
-
-def _added(most: int):
-    """The partial tiles of one pair of blocks to the tile, with each anchor's best rows of its label."""
-
-    def run(parts: pa.Table) -> pa.Table:
-        parts = parts.sort_by("k")
-        scores = np.zeros(len(parts.column("scores")[0].as_buffer()) // 8, np.int64)
-        for part in parts.column("scores"):
-            scores += np.frombuffer(part.as_buffer(), np.int64)
-        about = {c: np.frombuffer(parts.column(c)[0].as_buffer(), np.int64) for c in ("anchors", "ids", "rows", "labels")}
-        a_row, a_id, a_label = about["anchors"].reshape(3, -1)
-        tile = scores.reshape(len(a_row), -1)
-        best = []
-        for at in range(len(a_row)):
-            same = np.flatnonzero((about["labels"] == a_label[at]) & (about["rows"] != a_row[at]))
-            # Rows are in the order of their ids, which a stable sort keeps among equal scores.
-            for x in same[np.argsort(-tile[at, same], kind="stable")[:most]]:
-                best.append({"anchor": int(a_row[at]), "anchor_id": int(a_id[at]), "score": int(tile[at, x]), "id": int(about["ids"][x]), "row": int(about["rows"][x])})
-        fields = pa.list_(pa.struct([(c, pa.int64()) for c in ("anchor", "anchor_id", "score", "id", "row")]))
-        own = {c: pa.array([parts.column(c)[0].as_py()], pa.int32()) for c in ("i", "j")}
-        return pa.table(own | {
-            "anchors": parts.column("anchors")[:1], "scores": pa.array([scores.tobytes()], pa.binary()), "ids": parts.column("ids")[:1],
-            "labels": parts.column("labels")[:1], "best": pa.array([best], fields),
-        })
+    def block(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.sort_by([("id", "ascending"), ("row", "ascending")]).combine_chunks()
+        v = rows.column("v").combine_chunks()
+        lengths = pc.list_value_length(v).to_numpy()
+        wide = np.zeros((len(lengths), max(1, int(lengths.max()))), np.int32)
+        wide[np.arange(wide.shape[1]) < lengths[:, None]] = v.flatten().to_numpy()
+        about = np.stack([rows.column(c).to_numpy() for c in ("row", "id", "label")])
+        return pa.RecordBatch.from_arrays([pa.array([int(about[0].min())]), pa.array([about.tobytes()], pa.binary()), pa.array([wide.tobytes()], pa.binary())], names=["i", "about", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= size:
+                rows = pa.Table.from_batches(held)
+                for at in range(0, n - n % size, size):
+                    yield block(rows.slice(at, size))
+                # A copy, as a slice keeps all that it was cut from.
+                held, n = rows.slice(n - n % size).take(np.arange(n % size)).to_batches(), n % size
+        if n:
+            yield block(pa.Table.from_batches(held))
+
+    return run
+
+
+def _block(about: pa.Scalar, v: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    own = np.frombuffer(about.as_buffer(), np.int64).reshape(3, -1)
+    return own, np.frombuffer(v.as_buffer(), np.int32).reshape(own.shape[1], -1)
+
+
+def tile_of(a: np.ndarray, b: np.ndarray, chunk: int) -> np.ndarray:
+    """The product of two blocks, panels of ``chunk`` dimensions added in place."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    for k in range(0, min(a.shape[1], b.shape[1]), chunk):
+        out += product(*(side[:, k : min(k + chunk, a.shape[1], b.shape[1])].astype(np.int64) for side in (a, b)))
+    return out
+
+
+class Best:
+    """The best ``most`` candidates (score, id, row) of each of some groups."""
+
+    def __init__(self, groups: int, most: int):
+        self.most, self.least = most, np.full(groups, LEAST)
+        self.rows = tuple(np.zeros(0, np.int64) for _ in range(4))
+
+    def add(self, *found: np.ndarray) -> None:
+        """group, score, id, row of candidates that are no lower than ``least`` of their groups."""
+        if not len(found[0]):
+            return
+        group, score, id_, row = (np.concatenate(both) for both in zip(self.rows, found, strict=True))
+        order = np.lexsort((row, id_, -score, group))
+        sorted_group = group[order]
+        place = np.arange(len(order)) - np.searchsorted(sorted_group, sorted_group)
+        self.rows = tuple(c[order[place < self.most]] for c in (group, score, id_, row))
+        full = order[place == self.most - 1]
+        self.least[group[full]] = score[full]
+
+
+def _strips(n: int) -> Iterator[slice]:
+    """Few columns first, so that most of the others fall short of what was found."""
+    at, wide = 0, min(64, STRIP)
+    while at < n:
+        yield slice(at, at + wide)
+        at, wide = at + wide, min(2 * wide, STRIP)
+
+
+def _positives(most: int, chunk: int):
+    """Pairs of blocks to each anchor's best rows of its label, of the task's pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, Best]] = {}
+        for batch in batches:
+            for at, i in enumerate(batch.column("i").to_pylist()):
+                (a_about, a), (about, b) = (_block(batch.column(x)[at], batch.column(y)[at]) for x, y in (("about", "v"), ("b_about", "b_v")))
+                _, best = held.setdefault(i, (a_about.copy(), Best(len(a), most)))
+                tile = tile_of(a, b, chunk)
+                for some in _strips(len(b)):
+                    row, id_, label = about[:, some]
+                    group, x = np.nonzero((tile[:, some] >= best.least[:, None]) & (a_about[2][:, None] == label) & (a_about[0][:, None] != row))
+                    best.add(group, tile[:, some][group, x], id_[x], row[x])
+        for i, (a_about, best) in held.items():
+            group, *rest = best.rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(group), i)), pa.array(a_about[0][group]), *map(pa.array, rest)], names=["i", "anchor", "score", "id", "row"])
 
     return run
 
 
-def _windows(most: int, low: tuple[int, int]):
-    """Tiles with the positives of their anchors to each window's best rows of other labels."""
+def _windows(most: int, low: tuple[int, int], chunk: int):
+    """Pairs of blocks, with the positives of the anchors, to each window's best rows of other labels, of the task's pairs."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in FOUND.split(", ")]
+        held: dict[int, tuple] = {}
         for batch in batches:
-            out = []
-            for tile in range(batch.num_rows):
-                a_row, a_id, a_label = np.frombuffer(batch.column("anchors")[tile].as_buffer(), np.int64).reshape(3, -1)
-                ids, labels = (np.frombuffer(batch.column(c)[tile].as_buffer(), np.int64) for c in ("ids", "labels"))
-                scores = np.frombuffer(batch.column("scores")[tile].as_buffer(), np.int64).reshape(len(a_row), -1)
-                wanted: dict[int, list] = {}
-                for p in batch.column("positives")[tile].as_py():
-                    wanted.setdefault(p["anchor"], []).append(p)
-                for at, anchor in enumerate(a_row.tolist()):
-                    if anchor not in wanted:
-                        continue
-                    others = np.flatnonzero(labels != a_label[at])
-                    others = others[np.argsort(-scores[at, others], kind="stable")]
-                    falling = -scores[at, others]
-                    for p in wanted[anchor]:
-                        begin = int(np.searchsorted(falling, -p["score"]))
-                        for x in others[begin : begin + most]:
-                            if low[1] * int(scores[at, x]) < low[0] * p["score"]:
-                                break
-                            out.append((anchor, int(a_id[at]), p["row"], p["id"], p["score"], int(ids[x]), int(x), int(scores[at, x])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * len(names))], names=names)
+            for at, i in enumerate(batch.column("i").to_pylist()):
+                (a_about, a), (about, b) = (_block(batch.column(x)[at], batch.column(y)[at]) for x, y in (("about", "v"), ("b_about", "b_v")))
+                if i not in held:
+                    wanted = batch.column("positives")[at].values
+                    anchor, p_row, p_id, score = (wanted.field(c).to_numpy().copy() for c in ("anchor", "row", "id", "score"))
+                    by_row = np.argsort(a_about[0])
+                    own = by_row[np.searchsorted(a_about[0], anchor, sorter=by_row)]
+                    # The least whole number that is low[0] / low[1] of the score or more.
+                    floor = np.array([-(-low[0] * s // low[1]) for s in score.tolist()], np.int64)
+                    held[i] = own, (anchor, a_about[1][own], p_row, p_id, score), floor, a_about[2][own], Best(len(own), most)
+                own, (*_, score), floor, a_label, best = held[i]
+                tile = tile_of(a, b, chunk)
+                for some in _strips(len(b)):
+                    row, id_, label = about[:, some]
+                    part = tile[:, some][own]
+                    group, x = np.nonzero((part <= score[:, None]) & (part >= np.maximum(floor, best.least)[:, None]) & (a_label[:, None] != label))
+                    best.add(group, part[group, x], id_[x], row[x])
+        for _, of, _, _, best in held.values():
+            group, *rest = best.rows
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*(c[group] for c in of), *rest)], names=names)
 
     return run
 
@@ -138,33 +189,24 @@ def mine_hard_negatives(
     """For each row of df where ``anchor`` (of its id) holds, and each of its best ``positives`` other rows of its label: the best ``negatives`` rows of
     other labels whose score is at most the positive's and at least low[0]/low[1] of it. Scores are inner products of floor(scale * x);
     higher ones come first, then smaller ids. Returns anchor_id, positive_id, rank, negative_id, positive_score, negative_score."""
-    # A tile is 2 MB, and a batch of rows may hold many.
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
+    # A pair of blocks is over 1 MB, and a batch of rows may hold many.
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
     # Places in the written table tell repeated rows apart.
-    rows = written(whole_vectors(df, id_, vector, label, scale).withColumn("row", F.monotonically_increasing_id()), "negatives-rows")
-    is_anchor = anchor & (F.col("id") != NULL_ID)
-    n, n_anchors, longest = rows.agg(F.count(F.lit(1)), F.count_if(is_anchor), F.max(F.size("v"))).first()
-    blocks, anchor_blocks, chunks = max(1, -(-n // ROWS)), max(1, -(-n_anchors // ANCHORS)), max(1, -(-(longest or 0) // CHUNK))
-    own = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
-    own_anchor = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(anchor_blocks)).cast("int")
-    k = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("k")
-    part = F.slice("v", F.col("k") * CHUNK + 1, CHUNK)
-    shard = F.concat(part, F.array_repeat(F.lit(0), CHUNK - F.size(part)))
-    kept = ["i", "j", "k", "row", "id", "label"]
-
-    def dealt(some: DataFrame, i: Column, j: Column, whose: bool) -> DataFrame:
-        return some.withColumn("i", i).withColumn("j", j).select("*", k).select(*kept, F.lit(whose).alias("is_anchor"), shard.alias("v"))
-
-    everywhere = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    shards = dealt(rows.where(is_anchor), own_anchor, everywhere(blocks), True).unionByName(dealt(rows, everywhere(anchor_blocks), own, False))
-    partial = shards.groupBy("i", "j", "k").applyInArrow(_partial, PART)
-    tiles = written(partial.groupBy("i", "j").applyInArrow(_added(positives), TILE), "negatives-tiles")
+    rows = written(whole_vectors(df, id_, vector, label, scale).withColumn("row", F.monotonically_increasing_id()), "negatives-rows").select("row", "id", "label", "v")
+    own = rows.where(anchor & (F.col("id") != NULL_ID))
+    parts = max(1, -(-own.count() // HELD))
+    blocks = written(rows.mapInArrow(_packed(ROWS), BLOCK), "negatives-blocks").select(F.col("about").alias("b_about"), F.col("v").alias("b_v"))
+    blocks = blocks.coalesce(TASKS * spark.sparkContext.defaultParallelism)
+    anchors = written(own.repartition(parts, "row").mapInArrow(_packed(ANCHORS), BLOCK), "negatives-anchors")
+
+    found = blocks.crossJoin(anchors.repartition(parts, "i")).mapInArrow(_positives(positives, CHUNK), BEST)
     by_score = Window.partitionBy("anchor").orderBy(F.desc("score"), "id", "row")
-    best = tiles.select("i", F.explode("best").alias("b")).select("i", "b.*").withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= positives)
-    # No more than ANCHORS times ``positives`` in expectation, copied to the anchor block's tiles.
-    known = best.groupBy("i").agg(F.collect_list(F.struct("anchor", "row", "id", "score")).alias("positives"))
-    asked = known.select("i", everywhere(blocks).alias("j"), "positives")
-    found = tiles.drop("best").join(asked, ["i", "j"]).select("anchors", "scores", "ids", "labels", "positives").mapInArrow(_windows(negatives, low), FOUND)
+    best = found.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= positives)
+    # No more than ANCHORS times ``positives``.
+    known = written(best.groupBy("i").agg(F.collect_list(F.struct("anchor", "row", "id", "score")).alias("positives")), "negatives-positives")
+    asked = anchors.join(known, "i").repartition(parts, "i")
+    found = blocks.crossJoin(asked).mapInArrow(_windows(negatives, low, CHUNK), FOUND)
     in_window = Window.partitionBy("anchor", "positive_row").orderBy(F.desc("score"), "id", "row")
     ranked = found.withColumn("rank", F.row_number().over(in_window)).where(F.col("rank") <= negatives)
     shown = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))

@@ -1,13 +1,14 @@
 """Hard negatives against brute force: blocks of any size, ties, repeated rows, odd vectors."""
 
 import math
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylight.llm import hard_negatives
+from quarrylight.llm import common, hard_negatives
 from quarrylight.llm import queries as q
 from quarrylight.llm.common import prepare
 from quarrylight.llm.hard_negatives import mine_hard_negatives, product
@@ -79,3 +80,15 @@ def test_products_are_exact_at_any_size():
     for most in (100, 2**25):
         a, b = r.integers(-most, most, (5, 32)), r.integers(-most, most, (9, 32))
         assert (product(a, b) == np.array([[sum(int(x) * int(y) for x, y in zip(u, v, strict=True)) for v in b] for u in a])).all()
+
+
+def test_no_scores_of_pairs_are_written_or_shuffled(spark, tmp_path):
+    """What goes to disk grows with the rows, not with anchors times rows."""
+    r = random.Random(5)
+    sizes = []
+    for n in (1000, 4000):
+        rows = [(i, [r.random() for _ in range(8)], i % 5) for i in range(n)]
+        since = len(common._scratched)
+        mined(spark.createDataFrame(rows, SCHEMA).coalesce(2))
+        sizes.append(sum(os.path.getsize(os.path.join(at, f)) for path in common._scratched[since:] for at, _, files in os.walk(path) for f in files if f.endswith(".parquet")))
+    assert sizes[1] < 5 * sizes[0]
