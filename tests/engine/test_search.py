@@ -158,3 +158,26 @@ def test_repositories_without_a_match_or_with_broken_postings(spark, two):
     assert {r["repo"] for r in answer.rows.collect()} == {"o/r", "o/s"}
     shutil.rmtree(os.path.join(two.store.folder, "lengths", "repo=o%2Fr"))
     assert {r["repo"]: r["reason"] for r in two.store.lexical_state().collect()} == {"o/r": "no_postings", "o/s": "damaged_postings"}
+
+
+def test_no_posting_becomes_a_row(spark, texts, tmp_path):
+    """Neither the index nor a question makes a row of a posting (and query): both would be shuffled."""
+    lx.write_index(texts, ["repo", "id"], str(tmp_path / "index"))
+    index = lx.read_index(spark, str(tmp_path / "index"))
+    asking = lx.question(index, spark.createDataFrame([(1, "common w1 w3"), (2, "common w7")], "query_id long, query string"))
+    indexed = spark.read.parquet(str(tmp_path / "index" / "forward"))
+    for made in (lx.blocks(indexed, ["repo"], ["id"]), lx.topk(asking, ["repo", "id"], 4).rows, lx.totals(asking, ["repo", "id"])):
+        assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_segment_in_many_batches(spark, texts, tmp_path):
+    queries = spark.createDataFrame([(1, "common w1 w3"), (2, "w7 w7 w11 common")], "query_id long, query string")
+    key, found = ["repo", "id"], []
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for n in ("3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        lx.write_index(texts, key, str(tmp_path / n))
+        asking = lx.question(lx.read_index(spark, str(tmp_path / n)), queries)
+        found.append([sorted(map(str, rows.collect())) for rows in (lx.topk(asking, key, 4).rows.drop("score"), lx.totals(asking, key))])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found[0] == found[1] and found[0][0]
