@@ -151,3 +151,8 @@ def test_html_tree(spark):
     assert rows[4]["mermaid"] == 'flowchart TD\n  N0["Start"]\n  N1["B"]\n  N0 -->|go| N1'
     meta = {r["repo"]: (r["not_found"], r["empty_shell"], r["first_commit_sha"]) for r in html_tree.page_meta(pages).collect()}
     assert meta == {"o/r": (False, False, SHA), "n/f": (True, False, None), "e/s": (False, True, None), "z/z": (False, True, None)}
+
+
+def test_titles_cut_in_a_reference(spark):
+    pages = spark.createDataFrame([(1, "<title>a &lt;b&gt; &amp;&amp;&amp</title><p><a href='x?a&ltb'>y</a>"), (2, "<title>&amp;amp; &#38 &</title>")], "page_id long, html string")
+    assert [tuple(r) for r in html_tree.text_nodes(pages, "page_id").orderBy("page_id").collect()] == [(1, "a <b> &&&amp", 1, 3), (2, "&amp; &#38 &", 0, 1)]
