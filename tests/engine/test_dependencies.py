@@ -150,3 +150,14 @@ def test_probe_and_difference(spark):
     assert sorted((r["name"], r["has_wiki"]) for r in dep.resolve_and_probe(deps, repos, wiki).collect()) == [("a", True), ("b", None)]
     after = deps.where("name = 'a'").withColumn("kind", F.lit("runtime"))
     assert [r["name"] for r in dep.removed(deps, after).collect()] == ["b"]
+
+
+def test_a_bill_gives_one_entry_a_coordinate(spark):
+    """What is joined to the projects does not grow with a bill's repeated entries; the later entry wins, of equal ones the greater version."""
+    imports = spark.createDataFrame([("p", "a", 0), ("p", "b", 1), ("q", "b", 0)], "project string, gav string, pos int")
+    managed = spark.createDataFrame([("b", "x:y", f"{i}.0", i) for i in range(500)] + [("b", "x:y", "9.9", 499), ("b", "x:y", "0.1", None), ("a", "x:z", "7.0", None)], "gav string, coord string, version string, pos int")
+    edges = spark.createDataFrame([], "gav string, child string, pos int")
+    found = dep.bom_versions(imports, managed, edges)
+    assert sorted(map(tuple, found.collect())) == [("p", "x:y", "9.9", 0), ("p", "x:z", "7.0", 0), ("q", "x:y", "9.9", 0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Aggregate" in plan[plan.index("Join"):]
