@@ -33,6 +33,8 @@ GROUP_CHARS = 1 << 18
 BATCH_ROWS = 256
 #: Words that a task adds up before it hands them on.
 HELD_WORDS = 50_000
+#: Bytes of an Arrow batch of words, which are several times as large as Python strings.
+BATCH_BYTES = "4m"
 
 
 def length_groups(lengths: list[int], most: int = GROUP_CHARS) -> Iterator[list[int]]:
@@ -98,6 +100,7 @@ def index_place(word: str, dimension: int) -> tuple[int, int]:
 
 def word_vectors(chunks: DataFrame, text: str = "text", dimension: int = 64) -> DataFrame:
     """word, df (chunks that hold it), vector (array<long>). Null texts hold no words."""
+    chunks.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     rows = chunks.select(F.array_distinct(index_tokens(F.col(f"`{text}`"))).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,10 +110,13 @@ def word_vectors(chunks: DataFrame, text: str = "text", dimension: int = 64) ->
         def take() -> pa.RecordBatch:
             sums = np.stack(list(held.values()))
             columns = [pa.array(list(held), pa.string()), *[pa.array(sums[:, i]) for i in range(dimension + 1)]]
+            held.clear()
+            places.clear()
             return pa.RecordBatch.from_arrays(columns, names=["word", "df", *names])
 
         for batch in batches:
-            for words in batch.column(0).to_pylist():
+            # One text's words at a time: a batch holds many.
+            for words in (row.as_py() for row in batch.column(0)):
                 context = np.zeros(dimension + 1, np.int64)
                 context[0] = 1
                 for w in words or ():
@@ -123,10 +129,8 @@ def word_vectors(chunks: DataFrame, text: str = "text", dimension: int = 64) ->
                         held[w] += context
                     else:
                         held[w] = context.copy()
-            if len(held) > HELD_WORDS:
-                yield take()
-                held.clear()
-                places.clear()
+                if len(held) > HELD_WORDS:
+                    yield take()
         if held:
             yield take()
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,14 @@ def test_word_vectors_query_equals_its_sql(spark):
     want = con.execute(SQL["word_vectors"]).fetchall()
     got = QUERIES["word_vectors"](spark, DATA).collect()
     assert sorted(map(tuple, got)) == sorted(want) and got
+
+
+def test_word_vectors_in_bounded_batches(spark, monkeypatch):
+    """Many long texts in one partition reach Python in batches of bounded bytes, and are handed on in the middle of a batch with equal sums."""
+    texts = spark.range(3000, numPartitions=1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.concat(F.lit("w"), (i + F.col("id") % 7).cast("string"))), " ").alias("text"))
+    few = texts.limit(20)
+    want = sorted(map(str, m.word_vectors(few).collect()))
+    sizes = texts.select(F.split("text", " ").alias("words")).mapInArrow(lambda batches: (pa.record_batch({"n": [b.nbytes]}) for b in batches), "n long")
+    assert sizes.agg(F.max("n")).first()[0] < 12 << 20
+    monkeypatch.setattr(m, "HELD_WORDS", 10)
+    assert sorted(map(str, m.word_vectors(few).collect())) == want
