@@ -7,6 +7,7 @@ import random
 import shutil
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +182,12 @@ def test_a_segment_in_many_batches(spark, texts, tmp_path):
         found.append([sorted(map(str, rows.collect())) for rows in (lx.topk(asking, key, 4).rows.drop("score"), lx.totals(asking, key))])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert found[0] == found[1] and found[0][0]
+
+
+def test_texts_reach_python_in_bounded_batches(spark):
+    """The tokens of many long texts of one partition are not one batch."""
+    texts = spark.range(3000, numPartitions=1).select(F.lit("a").alias("repo"), "id", F.repeat(F.lit("word "), 2000).alias("text"))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    lx.forward(texts, ["repo", "id"])
+    sizes = texts.select(F.split("text", " ").alias("words")).mapInArrow(lambda batches: (pa.record_batch({"n": [b.nbytes]}) for b in batches), "n long")
+    assert sizes.agg(F.max("n")).first()[0] < 20 << 20
