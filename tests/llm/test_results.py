@@ -16,17 +16,18 @@ import pytest
 import corpus_pipeline
 from quarrylight.llm import queries as q
 from quarrylight.llm.bpe import Codec, decode, encode, pieces, read_ranks
+from quarrylight.llm.bucket_links import words_digest
 from quarrylight.llm.common import scratch
 from quarrylight.llm.components import components
 from quarrylight.llm.dart_minhash import BANDS, ROWS, dart_signature, near_dedup, near_duplicate_classes
 from quarrylight.llm.exact_dedup import DigestIndex, bit_filter, exact_dedup, may_be_in
-from quarrylight.llm.fingerprints import digits, likeness, near_duplicates, signature
+from quarrylight.llm.fingerprints import _resigned, _signed, digits, fingerprint_classes, likeness, near_duplicates, signature
 from quarrylight.llm.html_extract import main_text
 from quarrylight.llm.line_dedup import dedup_lines
 from quarrylight.llm.minimal_hash import MinimalHash
 from quarrylight.llm.mixing import mix, words_taken
 from quarrylight.llm.quality import WIDTH, AttentionModel, encode_passages, pooled, score_quality
-from quarrylight.llm.shingles import shingle_hashes
+from quarrylight.llm.shingles import shingle_hashes, word_hashes
 from quarrylight.llm.url_filters import filter_urls
 from quarrylight.llm.warc import chunked, http_block, parse, read_warc, record, unchunked, write_warc
 
@@ -248,6 +249,32 @@ def test_op7(spark):
     assert [(g[0], *g[7:]) for g in got] == brute_classes(docs, plain)
 
 
+def test_op7_shuffles_texts_once_and_compressed(spark, docs, prose):
+    """Texts meet their neighbours compressed; for the join only those of shared buckets move."""
+    made = [(i, prose(i, 60 if i == 3 else 30_000)) for i in range(60)]
+    made += [(1000, made[3][1] + " more")]
+    path = scratch(spark, "texts")
+    docs(made).write.parquet(path)
+    written = lambda: spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in fingerprint_classes(spark.read.parquet(path)).collect()}
+    assert got == {i: (3, 2) if i in (3, 1000) else (i, 1) for i, _ in made}
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert 0 < written() - before < 0.75 * sum(len(t) for _, t in made)
+
+
+def test_parts_of_a_text_are_signed_as_the_whole():
+    r = random.Random(5)
+    some = [*"aZ09_ \n.'\t\u00a0\u3000", "\u03a3", "\u0130", "\u00e9", "\u4e2d", "\U0001f600", "word ", "\u039f\u0394\u039f\u03a3 ", "two words\n"]
+    for _ in range(400):
+        own, following = ("".join(r.choice(some) for _ in range(r.randrange(90))) for _ in "ab")
+        quarter = len(own) // 4
+        edited = own[: len(own) - quarter] + following[:quarter]
+        signed = _signed(own, 5)
+        assert (signed.whole == signature(shingle_hashes(own))).all() and (signed.h1, signed.h2) == words_digest(word_hashes(own))
+        assert (_resigned(signed, edited, 5) == signature(shingle_hashes(edited))).all()
+
+
 def test_minhash_near_duplicates(spark):
     found = q.queries()["minhash_near_duplicates"](spark, DATA).collect()
     assert sorted(map(tuple, found)) == brute_classes(rows("documents", "doc_id", "text"), plain)
