@@ -191,3 +191,12 @@ def test_texts_reach_python_in_bounded_batches(spark):
     lx.forward(texts, ["repo", "id"])
     sizes = texts.select(F.split("text", " ").alias("words")).mapInArrow(lambda batches: (pa.record_batch({"n": [b.nbytes]}) for b in batches), "n long")
     assert sizes.agg(F.max("n")).first()[0] < 20 << 20
+
+
+def test_a_segment_of_long_texts_is_bounded(spark, tmp_path):
+    """Segments of long chunks hold fewer of them; the blocks still have all postings."""
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1499)), lambda i: F.concat(F.lit("w"), (i * 7 + F.col("id")).cast("string"))), " ")
+    texts = spark.range(1000, numPartitions=4).select(F.lit("a").alias("repo"), "id", words.alias("text"))
+    lx.write_index(texts, ["repo", "id"], str(tmp_path / "index"))
+    sizes = [r["n"] for r in lx.read_index(spark, str(tmp_path / "index"))[0].groupBy("segment").agg(F.sum("n").alias("n")).collect()]
+    assert sum(sizes) == 1_500_000 and max(sizes) < 1.5 * lx.POSTINGS
