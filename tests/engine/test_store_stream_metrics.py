@@ -1,6 +1,7 @@
 import datetime
 import json
 import math
+import re
 import shutil
 import time
 
@@ -12,6 +13,7 @@ from quarrylight.operators import metrics as me
 from quarrylight.operators import ranking
 from quarrylight.plans import output
 from quarrylight.plans.engine import Engine
+from quarrylight.plans.queries import QUERIES
 from quarrylight.plans.store import Store, migrated, upserted
 from quarrylight.schemas import CHUNK_KEY
 from quarrylight.streaming import feeds
@@ -218,6 +220,18 @@ def test_quality_measures(spark):
     assert tuple(me.ordering_score(ranked, expected).first()) == (0, 0.5, 1)
 
 
+def test_items_relevant_to_every_query_make_no_pairs(spark):
+    """The same measures as of the pairs written out, from a plan without a row a pair."""
+    ranked = spark.createDataFrame([(q, i, n) for q in range(6) for n, i in enumerate(range(q, q + 12), 1)] + [(9, 1, 1)], "query_id long, item long, pos int")
+    items = spark.createDataFrame([(3,), (5,), (5,), (40,), (None,)], "item long")
+    queries = spark.range(8).withColumnRenamed("id", "query_id")
+    got = me.ndcg(ranked, items, 4, queries)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, me.ndcg(ranked, queries.join(items), 4).collect())) and got.count() == 8
+    assert me.ndcg(ranked, items.where("false"), 4, queries).collect() == []
+    plan = QUERIES["ndcg_recall"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join (Inner|Cross)\s*(, rightHint|, leftHint|$)", plan, re.M)
+
+
 def test_watcher(spark, tmp_path):
     source = tmp_path / "events"
     source.mkdir()
