@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.operators import lexical as lx
 from quarrylight.operators import ranking as rk
+from quarrylight.operators import vector_search
 from quarrylight.operators.vector_search import best_rows, nearest
 from quarrylight.plans.engine import Engine
 from quarrylight.plans.store import Store
@@ -83,6 +84,24 @@ def test_best_rows_of_many_queries():
             assert sorted(x for x in rows[q == query] if groups[x] == g) == sorted(want)
 
 
+def test_what_a_task_holds_does_not_grow_with_rows_times_queries():
+    """All rows are among the best of some query, over many groups: a row's scores for all queries are not held."""
+    r = np.random.default_rng(3)
+    wanted, x, k = r.normal(size=(600, 8)), r.normal(size=(6000, 8)).astype(np.float32), 20
+    wanted /= np.sqrt((wanted * wanted).sum(1, keepdims=True))
+    table = pa.table({"repo": [None if i % 15 == 0 else f"r{i % 15}" for i in range(6000)], "id": range(6000), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 8).cast(pa.list_(pa.float32()))})
+    best = vector_search._Best(wanted, ["repo", "id"], "repo", k)
+    for at in range(0, 6000, 1700):
+        best.add(table.slice(at, 1700).combine_chunks(), "embedding")
+    held = sum(a.nbytes for arrays in best.held.values() for a in arrays) + best.groups.nbytes
+    assert best.keys.num_rows > 5000 and held <= 16 * 600 * 15 * k + 4 * 6000 < 6000 * 600
+    unit = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1, keepdims=True))
+    scores = np.round(unit @ wanted.T, 12)
+    want = {(q, g + 15 * int(i)) for q in range(600) for g in range(15) for i in np.argsort(-scores[g::15, q], kind="stable")[:k]}
+    out = [(q, i) for batch in best.out() for q, i in zip(batch.column("q").to_pylist(), batch.column("id").to_pylist(), strict=True)]
+    assert len(out) == len(want) and set(out) == want
+
+
 @pytest.fixture
 def texts(spark):
     """A common word in every chunk, rare words in few; short and long chunks; a null text, an empty one, a nameless repository."""
