@@ -161,3 +161,15 @@ def test_a_bill_gives_one_entry_a_coordinate(spark):
     assert sorted(map(tuple, found.collect())) == [("p", "x:y", "9.9", 0), ("p", "x:z", "7.0", 0), ("q", "x:y", "9.9", 0)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan and "Aggregate" in plan[plan.index("Join"):]
+
+
+def test_the_whole_closure_of_bills(spark):
+    """Without a depth, a long chain with a cycle is followed to its end; the default keeps to its levels."""
+    imports = spark.createDataFrame([("p", "b0", 0), ("q", "b9", 0)], "project string, gav string, pos int")
+    edges = spark.createDataFrame([(f"b{i}", f"b{i + 1}", 0) for i in range(11)] + [("b11", "b2", 0), ("b1", "b5", 1)], "gav string, child string, pos int")
+    managed = spark.createDataFrame([(f"b{i}", c, f"{i}", 0) for i in range(12) for c in (f"own{i}", f"mod{i % 3}")], "gav string, coord string, version string, pos int")
+    depths = {"p": {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, **{i: i - 3 for i in range(5, 12)}}, "q": {i: (i - 9 if i > 8 else i + 1) for i in range(2, 12)}}
+    found = {(r["project"], r["coord"]): (r["version"], r["depth"]) for r in dep.bom_versions(imports, managed, edges, depth=None).collect()}
+    assert {k: v for k, v in found.items() if k[1].startswith("own")} == {(p, f"own{i}"): (str(i), d) for p, own in depths.items() for i, d in own.items()}
+    assert {k: v[1] for k, v in found.items() if k[1].startswith("mod")} == {(p, f"mod{m}"): min(d for i, d in own.items() if i % 3 == m) for p, own in depths.items() for m in range(3)}
+    assert max(r["depth"] for r in dep.bom_versions(imports, managed, edges).collect()) == 4
